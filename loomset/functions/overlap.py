@@ -26,17 +26,17 @@ def clipped_counts(df: DataFrame, key: str, features: dict[str, tuple[str, str,
     hashed by ``key`` once, before they unfold into n-grams; both groupings then find
     their rows in place, so the texts shuffle and the n-grams do not.
     """
-    sides = []
-    for name, (pred, ref, n) in features.items():
-        for column, is_pred in ((pred, True), (ref, False)):
-            sides.append(
-                F.transform(
-                    ngrams(F.col(column), n),
-                    lambda g, name=name, is_pred=is_pred: F.struct(
-                        F.lit(name).alias("f"), F.lit(is_pred).alias("p"), g.alias("g")
-                    ),
-                )
-            )
+    def side(name: str, column: str, is_pred: bool, n: int) -> Column:
+        return F.transform(
+            ngrams(F.col(column), n),
+            lambda g: F.struct(F.lit(name).alias("f"), F.lit(is_pred).alias("p"), g.alias("g")),
+        )
+
+    sides = [
+        one
+        for name, (pred, ref, n) in features.items()
+        for one in (side(name, pred, True, n), side(name, ref, False, n))
+    ]
     grams = df.repartition(key).select(key, *keep, F.explode_outer(F.concat(*sides)).alias("x"))
     common = grams.groupBy(key, *keep, "x.f", "x.g").agg(
         F.least(F.count_if("x.p"), F.count_if(~F.col("x.p"))).alias("c")

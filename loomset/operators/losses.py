@@ -43,7 +43,7 @@ def best_step(records: DataFrame) -> DataFrame:
 
 def early_stop_step(records: DataFrame, patience: int = PATIENCE, block: int = STEP_BLOCK) -> DataFrame:
     """(run_id, stop_step): the first evaluation at which the loss had failed to improve
-    ``patience`` times in a row; NULL for runs that never stop (or with ``patience`` 0).
+    ``patience`` times in a row. Runs that never stop, so all with ``patience`` 0, have no row.
 
     (run_id, step) is unique. Runs are scanned in blocks of ``block`` steps, each a
     window partition of its own; what earlier blocks pass on (best loss, evaluation
@@ -54,7 +54,7 @@ def early_stop_step(records: DataFrame, patience: int = PATIENCE, block: int = S
         "run_id", "step", "eval_loss", F.floor(F.col("step") / block).alias("blk")
     )
     if patience <= 0:
-        return evals.groupBy("run_id").agg(F.lit(None).cast("long").alias("stop_step"))
+        return evals.where(F.lit(False)).select("run_id", F.col("step").alias("stop_step"))
     in_block = Window.partitionBy("run_id", "blk").orderBy("step")
     earlier_rows = in_block.rowsBetween(Window.unboundedPreceding, -1)
     earlier_blocks = Window.partitionBy("run_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,6 +75,4 @@ def early_stop_step(records: DataFrame, patience: int = PATIENCE, block: int = S
     )
     since = F.col("nth") - F.coalesce(F.max("improved").over(in_block), F.col("last_before"))
     counted = marked.join(last_improved, ["run_id", "blk"]).select("run_id", "step", since.alias("since"))
-    return counted.groupBy("run_id").agg(
-        F.min(F.when(F.col("since") >= patience, F.col("step"))).alias("stop_step")
-    )
+    return counted.where(F.col("since") >= patience).groupBy("run_id").agg(F.min("step").alias("stop_step"))

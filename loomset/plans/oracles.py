@@ -522,13 +522,13 @@ ORACLES: dict[str, str] = {
         "train_logs",
     ),
     "early_stop_step": with_ctes(
-        """SELECT run_id, min(step) FILTER (since >= 3) AS stop_step FROM (
+        """SELECT run_id, min(step) AS stop_step FROM (
              SELECT run_id, step, row_number() OVER (PARTITION BY run_id, island ORDER BY step) - 1 AS since FROM (
                SELECT run_id, step, sum(improved) OVER (PARTITION BY run_id ORDER BY step) AS island FROM (
                  SELECT run_id, step, (best IS NULL OR eval_loss < best)::INTEGER AS improved FROM (
                    SELECT run_id, step, eval_loss, min(eval_loss) OVER (PARTITION BY run_id ORDER BY step
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
-                   FROM train_logs WHERE eval_loss IS NOT NULL) a) b) c) d GROUP BY run_id""",
+                   FROM train_logs WHERE eval_loss IS NOT NULL) a) b) c) d WHERE since >= 3 GROUP BY run_id""",
         "train_logs",
     ),
     "sink_csv_roundtrip": with_ctes("SELECT instruction AS prompt, output AS response FROM conv_pairs", "conv_pairs"),
@@ -555,8 +555,8 @@ ORACLES: dict[str, str] = {
         FROM documents WHERE length(text) BETWEEN 50 AND 2048""",
     "stream_loss_window": with_ctes(
         """SELECT run_id, date_trunc('hour', ts) AS window_start, count(*)::BIGINT AS n, round(avg(train_loss), 4) AS train_loss
-           FROM train_logs WHERE train_loss IS NOT NULL GROUP BY ALL
-           HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM train_logs WHERE train_loss IS NOT NULL)""",
+           FROM train_logs WHERE train_loss IS NOT NULL GROUP BY run_id, date_trunc('hour', ts)
+           HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM train_logs WHERE train_loss IS NOT NULL)""",
         "train_logs",
     ),
 }
