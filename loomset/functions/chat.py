@@ -9,9 +9,15 @@ from pyspark.sql import Column, functions as F
 from loomset.functions.text import strip
 from loomset.schema import INSTRUCTION, INSTRUCTION_KIND, Kind, MESSAGES_TYPE, OUTPUT, TEXT
 
-# Default system prompt, judge criteria.
+# Default system prompt, plain training text, judge criteria and judge prompt.
 SYSTEM_PROMPT = "You are a helpful, respectful and honest assistant."
+PLAIN_INSTRUCTION = "### Instruction:\n"
+PLAIN_RESPONSE = "\n\n### Response:\n"
 JUDGE_CRITERIA = ("helpfulness", "accuracy", "coherence", "safety", "relevance")
+JUDGE_CRITERION = "Evaluate the following response based on: "
+JUDGE_PROMPT = "\n\nPrompt: "
+JUDGE_RESPONSE = "\n\nResponse: "
+JUDGE_REQUEST = "\n\nScore (1-10) and brief reasoning:"
 
 
 @dataclass(frozen=True)
@@ -75,8 +81,7 @@ def plain(kind: Kind) -> Column:
     """Instruction pairs under two headings; text unchanged."""
     if kind is INSTRUCTION_KIND:
         return F.concat(
-            F.lit("### Instruction:\n"), _text(F.col(INSTRUCTION)),
-            F.lit("\n\n### Response:\n"), _text(F.col(OUTPUT)),
+            F.lit(PLAIN_INSTRUCTION), _text(F.col(INSTRUCTION)), F.lit(PLAIN_RESPONSE), _text(F.col(OUTPUT))
         )
     return F.col(TEXT)
 
@@ -124,9 +129,8 @@ def format_example(kind: Kind, template: str | None = None, system_prompt: str =
 
 def judge_prompt(criteria: Column, prompt: Column, response: Column) -> Column:
     return F.concat(
-        F.lit("Evaluate the following response based on: "), criteria,
-        F.lit("\n\nPrompt: "), _text(prompt), F.lit("\n\nResponse: "), _text(response),
-        F.lit("\n\nScore (1-10) and brief reasoning:"),
+        F.lit(JUDGE_CRITERION), criteria, F.lit(JUDGE_PROMPT), _text(prompt),
+        F.lit(JUDGE_RESPONSE), _text(response), F.lit(JUDGE_REQUEST),
     )
 
 

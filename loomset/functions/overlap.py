@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomset.runtime import spread
+
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams as blank-joined strings; empty when there are fewer than n tokens."""
@@ -23,8 +25,9 @@ def clipped_counts(df: DataFrame, key: str, features: dict[str, tuple[str, str,
     """(key, keep..., one count per feature): n-grams both sides share, each side's repeats respected.
 
     ``features`` maps a name to (prediction tokens, reference tokens, n). Rows are
-    hashed by ``key`` once, before they unfold into n-grams; both groupings then find
-    their rows in place, so the texts shuffle and the n-grams do not.
+    hashed by ``key`` before they unfold, so both groupings find theirs in place: the
+    tokens shuffle once and the n-grams, many times as large, never do. (Arrow UDFs
+    must come before: Spark forgets the partitioning behind one.)
     """
     def side(name: str, column: str, is_pred: bool, n: int) -> Column:
         return F.transform(
@@ -37,7 +40,7 @@ def clipped_counts(df: DataFrame, key: str, features: dict[str, tuple[str, str,
         for name, (pred, ref, n) in features.items()
         for one in (side(name, pred, True, n), side(name, ref, False, n))
     ]
-    grams = df.repartition(key).select(key, *keep, F.explode_outer(F.concat(*sides)).alias("x"))
+    grams = spread(df, key).select(key, *keep, F.explode_outer(F.concat(*sides)).alias("x"))
     common = grams.groupBy(key, *keep, "x.f", "x.g").agg(
         F.least(F.count_if("x.p"), F.count_if(~F.col("x.p"))).alias("c")
     )

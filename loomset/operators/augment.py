@@ -6,10 +6,10 @@ import hashlib
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from loomset.functions.text import bind, tokens
-from loomset.runtime import fits
+from loomset.runtime import small_table
 from loomset.schema import INSTRUCTION_KIND, Kind, TEXT_KIND
 
 # Share of the words to change, and the least and most words per text.
@@ -32,7 +32,8 @@ def changed_words(n: Column) -> Column:
 
 
 def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str = "synonym",
-            lexicon: DataFrame | None = None, seed: int = SEED) -> DataFrame:
+            lexicon: DataFrame | None = None, seed: int = SEED,
+            inline_limit: int = BROADCAST_ENTRIES) -> DataFrame:
     """Originals plus ``factor - 1`` changed copies, told apart by ``copy_no``.
 
     ``synonym`` and ``spelling`` replace words found in ``lexicon`` (word, replacement);
@@ -50,8 +51,9 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
         return copies.withColumn(column, F.when(changes, _without_words(F.col(column), salt)).otherwise(F.col(column)))
     if lexicon is None:
         raise ValueError(f"{method} needs a lexicon of (word, replacement)")
-    if fits(lexicon, BROADCAST_ENTRIES):
-        replace = _replacer(lexicon)
+    entries = small_table(lexicon.select("word", "replacement"), inline_limit)
+    if entries is not None:
+        replace = _replacer(df.sparkSession, entries)
         return copies.withColumn(column, F.when(changes, replace(F.col(column), salt)).otherwise(F.col(column)))
     return _replace_by_join(copies, key, column, lexicon, seed)
 
@@ -73,11 +75,11 @@ def _hash(*parts: object) -> str:
     return hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()
 
 
-def _replacer(lexicon: DataFrame):
+def _replacer(spark: SparkSession, entries: list[Row]):
     options: dict[str, list[str]] = {}
-    for row in lexicon.select("word", "replacement").toLocalIterator():
-        options.setdefault(row["word"], []).append(row["replacement"])
-    shared = lexicon.sparkSession.sparkContext.broadcast(options)
+    for word, replacement in entries:
+        options.setdefault(word, []).append(replacement)
+    shared = spark.sparkContext.broadcast(options)
 
     def change(text: str | None, salt: str) -> str | None:
         words = (text or "").split()
@@ -105,7 +107,7 @@ def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFram
     salt = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy_no").cast("string"))
     words = copies.where("copy_no > 0").select(
         key, "copy_no", changed_words(F.size(tokens(column))).alias("_most"),
-        F.posexplode(tokens(column)).alias("pos", "word"),
+        F.posexplode_outer(tokens(column)).alias("pos", "word"),
     )
     hits = (
         words.withColumn("h", F.md5(F.concat_ws("-", salt, F.col("pos").cast("string"))))

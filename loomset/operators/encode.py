@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomset.functions.text import tokens
-from loomset.runtime import fits
+from loomset.runtime import small_table
 
 # The last-resort end token, the unknown token, the id losses ignore, usual lengths.
 END_TOKEN = "</s>"
@@ -31,10 +31,10 @@ def build_vocab(df: DataFrame, *columns: str, size: int) -> DataFrame:
     Counting combines map-side, so a hot word costs one row per task; only the
     ``size`` winners are ranked together.
     """
-    words = F.concat(*[tokens(c) for c in columns])
+    words = F.concat(*[tokens(c) for c in columns]) if len(columns) > 1 else tokens(columns[0])
     counts = (
-        df.select(F.explode(words).alias("token"))
-        .where(~F.col("token").isin(END_TOKEN, UNKNOWN_TOKEN))
+        df.select(F.explode_outer(words).alias("token"))
+        .where(F.col("token").isNotNull() & ~F.col("token").isin(END_TOKEN, UNKNOWN_TOKEN))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
@@ -55,9 +55,9 @@ def token_ids(df: DataFrame, key: str, columns: dict[str, str], vocab: DataFrame
     A vocabulary within ``inline_limit`` rows (checked) travels to the workers and the
     rows never shuffle. A larger one is joined: see :func:`_ids_by_join`.
     """
-    if fits(vocab, inline_limit):
-        lookup = {r["token"]: r["id"] for r in vocab.select("token", "id").toLocalIterator()}
-        shared = df.sparkSession.sparkContext.broadcast(lookup)
+    entries = small_table(vocab.select("token", "id"), inline_limit)
+    if entries is not None:
+        shared = df.sparkSession.sparkContext.broadcast(dict(entries))
 
         def to_ids(texts: pd.Series) -> pd.Series:
             ids = shared.value

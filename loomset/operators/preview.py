@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from loomset.schema import INSTRUCTION_KIND, Kind, PREFERENCE_KIND
 
 
+# Labels of the formatted preview and the rule between examples.
+PREFERENCE_LABELS = ("**Prompt:** ", "\n**✅ Chosen:** ", "\n**❌ Rejected:** ")
+INSTRUCTION_LABELS = ("**Instruction:** ", "\n**Output:** ")
+RULE = "\n\n---\n\n"
+
+
 def preview(df: DataFrame, kind: Kind, order: str, n: int | None = None) -> DataFrame:
     """The first rows by ``order``: 10 for text, 5 for the other kinds."""
     rows = kind.preview_rows if n is None else n
@@ -15,16 +21,10 @@ def preview(df: DataFrame, kind: Kind, order: str, n: int | None = None) -> Data
 
 def preview_formatted(df: DataFrame, kind: Kind, order: str) -> DataFrame:
     """(order, preview): labelled examples; 3 for preferences, 5 for the other kinds."""
-    cols = [F.coalesce(F.col(c), F.lit("")) for c in kind.columns]
-    if kind is PREFERENCE_KIND:
-        shown = F.concat(
-            F.lit("**Prompt:** "), cols[0], F.lit("\n**✅ Chosen:** "), cols[1],
-            F.lit("\n**❌ Rejected:** "), cols[2],
-        )
-    elif kind is INSTRUCTION_KIND:
-        shown = F.concat(F.lit("**Instruction:** "), cols[0], F.lit("\n**Output:** "), cols[1])
-    else:
-        shown = cols[0]
+    labels = {PREFERENCE_KIND: PREFERENCE_LABELS, INSTRUCTION_KIND: INSTRUCTION_LABELS}.get(kind, ("",))
+    shown = F.concat(
+        *[F.concat(F.lit(label), F.coalesce(F.col(c), F.lit(""))) for label, c in zip(labels, kind.columns)]
+    )
     head = preview(df, kind, order, 3 if kind is PREFERENCE_KIND else 5)
     return head.select(order, shown.alias("preview"))
 
@@ -33,5 +33,5 @@ def joined_preview(formatted: DataFrame, order: str) -> DataFrame:
     """The formatted examples of one preview (a handful of rows) as one text, ruled apart."""
     pairs = F.sort_array(F.collect_list(F.struct(order, "preview")))
     return formatted.agg(
-        F.array_join(F.transform(pairs, lambda p: p["preview"]), "\n\n---\n\n").alias("preview")
+        F.array_join(F.transform(pairs, lambda p: p["preview"]), RULE).alias("preview")
     )

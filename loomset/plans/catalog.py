@@ -324,7 +324,7 @@ def _vocab(texts: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def vocab_build(spark, sf):
-    return _vocab(fx.documents(spark, sf), "text")
+    return _vocab(fx.heavy_documents(spark, sf), "text")
 
 
 @query
@@ -337,7 +337,7 @@ def encode_pad(spark, sf):
 @query
 def encode_documents(spark, sf):
     """The encoder over whole documents, longer than the context on average."""
-    docs = fx.documents(spark, sf)
+    docs = fx.heavy_documents(spark, sf)
     rows = encode.encode(docs, "doc_id", "text", _vocab(docs, "text"))
     return rows.select("doc_id", _csv("input_ids"))
 
@@ -357,7 +357,7 @@ def encode_preference(spark, sf):
 
 @query
 def truncate_tokens(spark, sf):
-    return fx.documents(spark, sf).select("doc_id", first_tokens("text", encode.MAX_LENGTH).alias("text"))
+    return fx.heavy_documents(spark, sf).select("doc_id", first_tokens("text", encode.MAX_LENGTH).alias("text"))
 
 
 # --- augmentation
@@ -365,7 +365,7 @@ def truncate_tokens(spark, sf):
 
 def _lexicon(spark, sf, change) -> DataFrame:
     """The most frequent words of the documents with a made-up replacement each."""
-    words = encode.build_vocab(fx.documents(spark, sf), "text", size=LEXICON_SIZE).where("n > 0")
+    words = encode.build_vocab(fx.heavy_documents(spark, sf), "text", size=LEXICON_SIZE).where("n > 0")
     return words.select(F.col("token").alias("word"), change(F.col("token")).alias("replacement"))
 
 
@@ -382,12 +382,12 @@ def augment_report(spark, sf):
 @query
 def augment_synonym(spark, sf):
     lexicon = _lexicon(spark, sf, lambda w: F.concat(F.lit("syn:"), w))
-    return augment.augment(fx.documents(spark, sf), TEXT_KIND, "doc_id", 2, "synonym", lexicon)
+    return augment.augment(fx.heavy_documents(spark, sf), TEXT_KIND, "doc_id", 2, "synonym", lexicon)
 
 
 @query
 def augment_random_word(spark, sf):
-    return augment.augment(fx.documents(spark, sf), TEXT_KIND, "doc_id", 2, "random_word")
+    return augment.augment(fx.heavy_documents(spark, sf), TEXT_KIND, "doc_id", 2, "random_word")
 
 
 @query

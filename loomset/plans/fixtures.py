@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomset.functions.text import tokens
+from loomset.runtime import balance
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +19,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def heavy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is costly per row."""
+    return balance(documents(spark, sf_dir))
+
+
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, instruction, output): each user turn answered by the assistant's next turn.
 
     Turns are numbered without gaps, so "next" is an equi-join that spreads even one
     very long conversation over all tasks.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = balance(table(spark, sf_dir, "conversations"))
     asked = turns.where("role = 'user'").select(
         "conv_id", "turn", (F.col("turn") + 1).alias("next"), F.col("text").alias("instruction")
     )
@@ -55,16 +61,11 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     row = F.col("row_id").cast("string")
     digit = lambda c, i: F.substring(F.md5(c), i, 1)
-    words = tokens("reference")
     kept = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-        lambda s: digit(F.concat(row, F.lit("-"), s["i"].cast("string")), 1) > "4",
+        tokens("reference"), lambda _, i: digit(F.concat(row, F.lit("-"), i.cast("string")), 1) > "4"
     )
     half = F.floor(F.size("kept") / 2).cast("int")
-    text = F.transform("kept", lambda s: s["w"])
-    swapped = F.concat(
-        F.slice(text, half + 1, F.size("kept")), F.slice(text, F.lit(1), half)
-    )
+    swapped = F.concat(F.slice("kept", half + 1, F.size("kept")), F.slice("kept", F.lit(1), half))
     return (
         conv_pairs(spark, sf_dir)
         .select("row_id", F.col("instruction").alias("prompt"), F.col("output").alias("reference"))
@@ -73,7 +74,7 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "row_id", "prompt", "reference",
             F.when(digit(row, 1) == "0", "")
             .when(digit(row, 2) >= "8", F.array_join(swapped, " "))
-            .otherwise(F.array_join(text, " "))
+            .otherwise(F.array_join("kept", " "))
             .alias("prediction"),
         )
     )
@@ -98,7 +99,7 @@ def pairs_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefs_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preferences with short fields emptied; some rows lose all three."""
-    short = lambda c: F.length(c) < 600
+    short = lambda c: F.length(c) < 250
     return conv_prefs(spark, sf_dir).select(
         "row_id",
         *[_blank(c, short(c)) for c in ("prompt", "chosen", "rejected")],

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomset.functions.chat import format_example
+from loomset.functions.chat import JUDGE_CRITERIA, format_example
 from loomset.operators.batching import with_ordinal
 from loomset.operators.clean import drop_empty, validation_report
 from loomset.operators.encode import MAX_LENGTH, build_vocab, encode
 from loomset.operators.metrics import assemble_results, metric_report, score_rows
 from loomset.operators.preview import preview
+from loomset.operators.scoring import batch_score, judge
 from loomset.operators.split import with_split
 from loomset.operators.stats import dataset_stats
 from loomset.runtime import materialise
 from loomset.schema import Kind
-from loomset.sinks.writers import write_card, write_split
-from loomset.sources.readers import read_examples
+from loomset.sinks.writers import write_card, write_csv, write_split
+from loomset.sources.readers import read_eval, read_examples, read_prompts
+
+Load = Callable[[], Any]
+Score = Callable[[Any, list[str]], list[str]]
 
 
 @dataclass
@@ -57,10 +63,7 @@ def with_row_id(df: DataFrame, *order: str) -> DataFrame:
 
 def evaluate(eval_rows: DataFrame, predictions: DataFrame, key: str,
              judgments: DataFrame | None = None, stem: bool = True) -> tuple[DataFrame | None, DataFrame]:
-    """(metric report, result table); no report unless some reference is given.
-
-    Scores are computed once and kept on disk for both outputs.
-    """
+    """(metric report, result table); without references there is no report."""
     prompts = eval_rows.select(key, "prompt")
     references = eval_rows.select(key, "reference") if "reference" in eval_rows.columns else None
     results = assemble_results(prompts, predictions.select(key, "prediction"), key, references, judgments)
@@ -68,3 +71,32 @@ def evaluate(eval_rows: DataFrame, predictions: DataFrame, key: str,
         return None, results
     scored = score_rows(results.where(F.col("reference").isNotNull()), key, stem=stem)
     return metric_report(scored), results
+
+
+def answer_file(spark: SparkSession, path: str, out: str, load: Load, score: Score, **options) -> DataFrame:
+    """Prompt file -> (prompt, response) CSV. A prompt that fails has its error as response."""
+    scored = batch_score(read_prompts(spark, path), load, score, **options)
+    rows = scored.select("prompt", F.coalesce("response", "error").alias("response"))
+    write_csv(rows, out)
+    return spark.read.schema(rows.schema).options(header=True, multiLine=True, escape='"').csv(out)
+
+
+def evaluate_file(spark: SparkSession, path: str, load: Load, score: Score,
+                  judge_with: tuple[Load, Score] | None = None, criteria: str = JUDGE_CRITERIA[0],
+                  **options) -> tuple[DataFrame | None, DataFrame]:
+    """Evaluation file -> (metric report, result table), optionally with a judge's verdicts.
+
+    Model answers are written once before metrics, judge and table read them.
+    """
+    rows = read_eval(spark, path).withColumn("row_id", F.monotonically_increasing_id())
+    scored = batch_score(rows, load, score, response="answer", **options)
+    answered = materialise(
+        scored.select("row_id", "prompt", "reference", F.coalesce("answer", "error").alias("prediction")), "answers"
+    )
+    judgments = None
+    if judge_with is not None:
+        verdicts = judge(answered, "row_id", *judge_with, criteria=(criteria,), response="prediction", model_key="judge")
+        judgments = verdicts.select("row_id", F.coalesce("judgment", "error").alias("judgment"))
+    has_references = answered.where(F.col("reference").isNotNull()).limit(1).count() > 0
+    eval_rows = answered.select("row_id", "prompt", *(["reference"] if has_references else []))
+    return evaluate(eval_rows, answered, "row_id", judgments)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomset.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
 from loomset.functions.text import WS
 
 WS_SQL = "'" + WS + "'"
@@ -49,9 +50,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT row_id, CASE WHEN length(instruction) < 400 THEN '' ELSE instruction END AS instruction,
                CASE WHEN length(output) < 400 THEN '' ELSE output END AS output FROM conv_pairs"""),
     "prefs_blanked": (("conv_prefs",), """
-        SELECT row_id, CASE WHEN length(prompt) < 600 THEN '' ELSE prompt END AS prompt,
-               CASE WHEN length(chosen) < 600 THEN '' ELSE chosen END AS chosen,
-               CASE WHEN length(rejected) < 600 THEN '' ELSE rejected END AS rejected FROM conv_prefs"""),
+        SELECT row_id, CASE WHEN length(prompt) < 250 THEN '' ELSE prompt END AS prompt,
+               CASE WHEN length(chosen) < 250 THEN '' ELSE chosen END AS chosen,
+               CASE WHEN length(rejected) < 250 THEN '' ELSE rejected END AS rejected FROM conv_prefs"""),
     "emb_pairs": ((), """
         SELECT vec_id // 10 AS pair_id, CASE WHEN vec_id % 10 < 5 THEN 'pred' ELSE 'ref' END AS side,
                vec_id % 5 AS pos, embedding::DOUBLE[] AS vec FROM embeddings"""),
@@ -264,10 +265,111 @@ def _rouge_l_ctes() -> dict[str, str]:
     }
 
 
+def _measure(cut: int) -> str:
+    """Vowel-consonant runs of ``w`` without its last ``cut`` letters, from its shape ``s``."""
+    part = f"s[1 : length(w) - {cut}]"
+    return f"((length({part}) - length(replace({part}, 'vc', ''))) // 2)"
+
+
+def _base(cut: int) -> str:
+    return f"w[1 : length(w) - {cut}]"
+
+
+def _short_end(cut: int) -> str:
+    part = f"s[1 : length(w) - {cut}]"
+    return f"(({part} LIKE '%cvc' AND right({_base(cut)}, 1) NOT IN ('w', 'x', 'y')) OR {part} = 'vc')"
+
+
+def _suffix_rules(rules: dict[str, str]) -> str:
+    cases = []
+    for suffix, new in rules.items():
+        n = len(suffix)
+        m = _measure(3 if suffix == "logi" else n)
+        cases.append(f"WHEN ends_with(w, '{suffix}') THEN CASE WHEN {m} > 0 THEN {_base(n)} || '{new}' ELSE w END")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def _past_rule() -> str:
+    cases = []
+    for suffix in ("ed", "ing"):
+        n = len(suffix)
+        b = _base(n)
+        cases.append(f"""
+            WHEN ends_with(w, '{suffix}') AND contains(s[1 : length(w) - {n}], 'v') THEN CASE
+              WHEN right({b}, 2) IN ('at', 'bl', 'iz') THEN {b} || 'e'
+              WHEN length({b}) > 1 AND {b}[-1] = {b}[-2] AND s[length(w) - {n}] = 'c' THEN
+                CASE WHEN {b}[-1] IN ('l', 's', 'z') THEN {b} ELSE {_base(n + 1)} END
+              WHEN {_measure(n)} = 1 AND {_short_end(n)} THEN {b} || 'e' ELSE {b} END""")
+    return f"""CASE WHEN ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN {_base(1)} ELSE {_base(2)} END
+        WHEN ends_with(w, 'eed') THEN CASE WHEN {_measure(3)} > 0 THEN {_base(1)} ELSE w END {' '.join(cases)} ELSE w END"""
+
+
+def _stem_ctes(words: str) -> dict[str, str]:
+    """CTEs up to ``stems`` (t, w): the stem of every distinct token ``words`` selects as ``t``."""
+    residue = " ".join(
+        f"WHEN ends_with(w, '{x}') THEN CASE WHEN {_measure(len(x))} > 1"
+        + (f" AND right({_base(3)}, 1) IN ('s', 't')" if x == "ion" else "")
+        + f" THEN {_base(len(x))} ELSE w END"
+        for x in STEP_4
+    )
+    steps = [
+        f"""CASE WHEN ends_with(w, 'ies') THEN CASE WHEN length(w) = 4 THEN {_base(1)} ELSE {_base(2)} END
+            WHEN ends_with(w, 'sses') THEN {_base(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_base(1)} ELSE w END""",
+        _past_rule(),
+        f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND s[length(w) - 1] = 'c' THEN {_base(1)} || 'i' ELSE w END",
+        _suffix_rules(STEP_2),
+        f"CASE WHEN was LIKE '%alli' AND w <> was THEN {_suffix_rules(STEP_2)} ELSE w END",
+        _suffix_rules(STEP_3),
+        f"CASE {residue} ELSE w END",
+        f"""CASE WHEN ends_with(w, 'e') AND ({_measure(1)} > 1 OR ({_measure(1)} = 1 AND NOT {_short_end(1)})) THEN {_base(1)} ELSE w END""",
+        f"CASE WHEN ends_with(w, 'll') AND {_measure(1)} > 1 THEN {_base(1)} ELSE w END",
+    ]
+    shape = (
+        "list_reduce(string_split(w, ''), lambda acc, ch: acc || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') "
+        "OR (ch = 'y' AND acc[-1] = 'c') THEN 'v' ELSE 'c' END, '')"
+    )
+    ctes = {"st0": f"SELECT t, t AS w, t AS was FROM (SELECT DISTINCT t FROM ({words}) a WHERE length(t) > 3) b"}
+    for i, step in enumerate(steps):
+        ctes[f"st{i + 1}"] = f"SELECT t, {step} AS w, w AS was FROM (SELECT *, {shape} AS s FROM st{i}) x"
+    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in IRREGULAR.items())
+    ctes["stems"] = f"SELECT t, CASE t {known} ELSE w END AS w FROM st{len(steps)}"
+    return ctes
+
+
+def _stemmed_tokens() -> dict[str, str]:
+    """CTE ``rt`` (row_id, p, r) of stemmed ROUGE tokens."""
+    side = lambda c: f"""
+        (SELECT u.row_id, list(coalesce(m.w, u.t) ORDER BY u.pos) AS l
+         FROM (SELECT row_id, unnest({c}) AS t, generate_subscripts({c}, 1) AS pos FROM raw) u
+         LEFT JOIN stems m ON m.t = u.t GROUP BY u.row_id)"""
+    return {
+        "raw": _ROUGE_TOKENS,
+        **_stem_ctes("SELECT unnest(list_concat(p, r)) AS t FROM raw"),
+        "rt": f"""SELECT raw.row_id, coalesce(a.l, []::VARCHAR[]) AS p, coalesce(b.l, []::VARCHAR[]) AS r FROM raw
+                  LEFT JOIN {side('p')} a USING (row_id) LEFT JOIN {side('r')} b USING (row_id)""",
+    }
+
+
+def _rouge_stemmed_ctes() -> dict[str, str]:
+    ctes = _rouge_n_ctes()
+    del ctes["rt"]
+    return {**_stemmed_tokens(), **ctes, **_rouge_l_ctes()}
+
+
 def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+_EMBEDDING = {
+    "c": """SELECT a.pair_id, a.pos AS i, b.pos AS j, list_cosine_similarity(a.vec, b.vec) AS cos
+            FROM emb_pairs a JOIN emb_pairs b ON a.pair_id = b.pair_id WHERE a.side = 'pred' AND b.side = 'ref'""",
+    "pr": """SELECT pair_id, p, r FROM
+             (SELECT pair_id, avg(v) AS p FROM (SELECT pair_id, max(cos) AS v FROM c GROUP BY pair_id, i) t GROUP BY pair_id) a
+             JOIN (SELECT pair_id, avg(v) AS r FROM (SELECT pair_id, max(cos) AS v FROM c GROUP BY pair_id, j) t GROUP BY pair_id) b
+             USING (pair_id)""",
+    "m": "SELECT *, CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pr",
+}
+
 ORACLES: dict[str, str] = {
     "src_format_route": """
         SELECT doc_id, path, CASE
@@ -468,21 +570,32 @@ ORACLES: dict[str, str] = {
     "rouge_l_rows": _recursive(
         with_ctes('SELECT row_id, round(rougeL, 6) AS "rougeL" FROM lcs', "eval_pairs", rt=_ROUGE_TOKENS, **_rouge_l_ctes())
     ),
+    "rouge_stemmed": _recursive(
+        with_ctes(
+            """SELECT row_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougeL, 6) AS "rougeL"
+               FROM rouge JOIN lcs USING (row_id)""",
+            "eval_pairs", **_rouge_stemmed_ctes(),
+        )
+    ),
+    "eval_metrics": _recursive(
+        with_ctes(
+            """SELECT 'BLEU-1' AS metric, round(coalesce(avg(bleu), 0.0), 4) AS value FROM bleu
+               UNION ALL SELECT 'ROUGE-1', round(coalesce(avg(rouge1), 0.0), 4) FROM rouge
+               UNION ALL SELECT 'ROUGE-2', round(coalesce(avg(rouge2), 0.0), 4) FROM rouge
+               UNION ALL SELECT 'ROUGE-L', round(coalesce(avg(rougeL), 0.0), 4) FROM lcs""",
+            "eval_pairs", **_bleu_ctes(), **_rouge_stemmed_ctes(),
+        )
+    ),
     "eval_results": with_ctes(
         """SELECT row_id, prompt, prediction, reference, length(prediction) || ' chars' AS judgment
            FROM eval_pairs WHERE prediction <> ''""",
         "eval_pairs",
     ),
-    "embedding_match": with_ctes(
-        """SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r,
-                  round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM m""",
-        "emb_pairs",
-        c="""SELECT a.pair_id, a.pos AS i, b.pos AS j, list_cosine_similarity(a.vec, b.vec) AS cos
-             FROM emb_pairs a JOIN emb_pairs b ON a.pair_id = b.pair_id WHERE a.side = 'pred' AND b.side = 'ref'""",
-        m="""SELECT pair_id, avg(p) AS p, any_value(r) AS r FROM (
-               SELECT pair_id, i, max(cos) AS p FROM c GROUP BY pair_id, i) a
-             JOIN (SELECT pair_id, avg(r) AS r FROM (SELECT pair_id, j, max(cos) AS r FROM c GROUP BY pair_id, j) t GROUP BY pair_id) b
-             USING (pair_id) GROUP BY pair_id""",
+    "embedding_match": with_ctes("SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM m", "emb_pairs", **_EMBEDDING),
+    "embedding_report": with_ctes(
+        """SELECT 'BERTScore-P' AS metric, round(avg(p), 4) AS value FROM m UNION ALL SELECT 'BERTScore-R', round(avg(r), 4) FROM m
+           UNION ALL SELECT 'BERTScore-F1', round(avg(f1), 4) FROM m""",
+        "emb_pairs", **_EMBEDDING,
     ),
     "batch_score": with_ctes(
         "SELECT row_id, prompt, length(prompt) || ' chars: ' || prompt AS response, NULL::VARCHAR AS error FROM eval_pairs",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _test_dirs: dict[str, str] = {}
@@ -46,6 +46,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` by ``keys`` over all shuffle partitions.
+
+    For steps that unfold rows many times over: with the number given, adaptive
+    execution does not merge partitions that only look small before they unfold.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def balance(table: DataFrame) -> DataFrame:
+    """A freshly read ``table`` dealt out evenly if it has fewer splits than the session has cores.
+
+    For costly work per row on a small file; a table of many splits passes unchanged.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def small_table(df: DataFrame, max_rows: int) -> list[Row] | None:
+    """The rows of ``df`` if there are at most ``max_rows``, else None; never fetches more than one beyond."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None

@@ -63,7 +63,7 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def split_paragraphs(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """(keep..., pos, text): blocks between blank lines, stripped, blank ones dropped."""
-    blocks = df.select(*keep, F.posexplode(F.split(column, "\n\n")).alias("pos", "block"))
+    blocks = df.select(*keep, F.posexplode_outer(F.split(column, "\n\n")).alias("pos", "block"))
     return blocks.select(*keep, "pos", strip("block").alias(TEXT)).where(F.col(TEXT) != "")
 
 
