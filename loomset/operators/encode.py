@@ -83,11 +83,11 @@ def _ids_by_join(df: DataFrame, key: str, new: str, column: str, vocab: DataFram
         key, F.posexplode_outer(F.slice(tokens(column), 1, max_length)).alias("pos", "token")
     ).withColumn("_salt", salt)
     spread = vocab.select(
-        "token", "id", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
+        "token", F.col("id").alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
     )
     found = words.join(spread, ["token", "_salt"], "left").select(
         key,
-        F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))).alias("at"),
+        F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("id"))).alias("at"),
     )
     rows = found.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list("at")), lambda p: p["id"]).alias(new)

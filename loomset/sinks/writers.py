@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomset.functions.text import example_length
@@ -54,38 +55,49 @@ def write_card(df: DataFrame, kind: Kind, path: str) -> None:
 
 
 class DatasetRegistry:
-    """Versioned datasets below one root: ``data/version=V`` and ``metadata_vV.json``."""
+    """Versioned datasets below one root: ``data/version=V`` and a metadata row named ``metadata_vV.json``."""
+
+    SCHEMA = (
+        "base_model string, notes string, trained_with string, version string, uploaded_at string, "
+        "num_examples long, name string"
+    )
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
     def publish(self, df: DataFrame, version: str, metadata: dict[str, str] | None = None) -> DataFrame:
-        """Write data, then its metadata row (so a listed version is complete); returns the row."""
+        """Write the data, then append its metadata (so a listed version is complete); returns the row.
+
+        A version that exists already is an error.
+        """
         version = version.strip()
         if not version:
             raise ValueError("a version tag is required, such as 1.0")
         target = f"{self.root}/data/version={version}"
         df.write.parquet(target)
         fields = {"base_model": "unknown", "notes": "", "trained_with": ""} | (metadata or {})
-        row = self.spark.read.parquet(target).agg(F.count("*").alias("num_examples")).select(
+        row = self.spark.read.schema(df.schema).parquet(target).agg(F.count("*").alias("num_examples")).select(
             *[F.lit(v).alias(k) for k, v in fields.items()],
             F.lit(version).alias("version"),
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("uploaded_at"),
             "num_examples",
+            F.lit(f"metadata_v{version}.json").alias("name"),
         )
-        row.coalesce(1).write.json(f"{self.root}/metadata_v{version}.json")
-        return self.spark.read.schema(row.schema).json(f"{self.root}/metadata_v{version}.json")
+        row.coalesce(1).write.mode("append").partitionBy("name").json(f"{self.root}/metadata")
+        return self._metadata().where(F.col("version") == version)
 
     def list_versions(self) -> DataFrame:
-        """(name, version, num_examples) by name, as text; no rows when nothing is published.
-
-        ``num_examples`` comes from the metadata each publication wrote.
-        """
-        schema = "base_model string, notes string, trained_with string, version string, uploaded_at string, num_examples long"
-        entries = self.spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{self.root}/metadata_v*.json")
-        name = F.regexp_extract(F.col("_metadata.file_path"), "/(metadata_v[^/]*)/[^/]*$", 1)
-        return entries.select(name.alias("name"), "version", "num_examples").orderBy("name")
+        """(name, version, num_examples) in the order of the names as text; no rows if nothing is published."""
+        return self._metadata().select("name", "version", "num_examples").orderBy("name")
 
     def load(self, version: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/data/version={version}")
+
+    def _metadata(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).json(f"{self.root}/metadata")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)

@@ -69,7 +69,7 @@ def split_paragraphs(df: DataFrame, column: str, *keep: str) -> DataFrame:
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, text) of extracted document text, one document per file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return split_paragraphs(files.select(F.col("_metadata.file_path").alias("path"), "value"), "value", "path")
 
 
