@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 # Words with their own stems.
 IRREGULAR = {
@@ -120,14 +118,25 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and measure(w[:-1]) > 1 else w
 
 
-def _stem_arrays(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    cached = lru_cache(maxsize=1 << 20)(stem)
-    for arrays in batches:
-        yield arrays.map(
-            lambda ts: None if ts is None else [t if len(t) < MIN_STEMMED else cached(t) for t in ts]
-        )
+_seen: dict[str, str] = {}
+_SEEN_MAX = 1 << 20
 
 
-def stem_tokens(tokens):
-    """Array of tokens -> array of stems; each task keeps the stems of the words it has seen."""
-    return F.pandas_udf(_stem_arrays, "array<string>")(tokens)
+def _stem_once(word: str) -> str:
+    """The stem, remembered by the task: frequent words are worked out once."""
+    if len(word) < MIN_STEMMED:
+        return word
+    if word not in _seen:
+        if len(_seen) >= _SEEN_MAX:
+            _seen.clear()
+        _seen[word] = stem(word)
+    return _seen[word]
+
+
+def _stem_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [] if t is None else [_stem_once(w) for w in t.split(" ") if w])
+
+
+def stem_words(text: Column) -> Column:
+    """Blank-separated words -> array of stems."""
+    return F.pandas_udf(_stem_texts, "array<string>")(text)

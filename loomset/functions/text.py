@@ -34,9 +34,13 @@ def tokens(c: Column | str) -> Column:
     return _no_blanks(F.split(strip(c), WS_RUN))
 
 
+def alnum_text(c: Column | str) -> Column:
+    """Lower-case runs of a-z and 0-9 with blanks for all else."""
+    return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " ")
+
+
 def alnum_tokens(c: Column | str) -> Column:
-    """Lower-case tokens of a-z and 0-9, all else being a separator."""
-    return _no_blanks(F.split(F.lower(_col(c)), "[^a-z0-9]+"))
+    return _no_blanks(F.split(alnum_text(c), " "))
 
 
 def _no_blanks(words: Column) -> Column:

@@ -54,7 +54,8 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
     entries = small_table(lexicon.select("word", "replacement"), inline_limit)
     if entries is not None:
         replace = _replacer(df.sparkSession, entries)
-        return copies.withColumn(column, F.when(changes, replace(F.col(column), salt)).otherwise(F.col(column)))
+        changed = replace(F.when(changes, F.col(column)), salt)  # originals do not travel to Python
+        return copies.withColumn(column, F.coalesce(changed, F.col(column)))
     return _replace_by_join(copies, key, column, lexicon, seed)
 
 
@@ -82,7 +83,9 @@ def _replacer(spark: SparkSession, entries: list[Row]):
     shared = spark.sparkContext.broadcast(options)
 
     def change(text: str | None, salt: str) -> str | None:
-        words = (text or "").split()
+        if text is None:
+            return None
+        words = text.split()
         known = shared.value
         hits = [(_hash(salt, i), i) for i, w in enumerate(words) if w in known]
         if not hits:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomset.functions.overlap import clipped_counts, lcs
-from loomset.functions.stem import stem_tokens
-from loomset.functions.text import alnum_tokens, tokens
+from loomset.functions.stem import stem_words
+from loomset.functions.text import alnum_text, alnum_tokens, tokens
 
 # BLEU orders with equal weights, the smoothing constant.
 ORDERS = (1, 2, 3, 4)
@@ -23,7 +23,7 @@ def _tokenised(df: DataFrame, key: str, rouge: bool, bleu: bool, stem: bool) ->
     if bleu:
         rows = rows.withColumns({"_pt": tokens("prediction"), "_rt": tokens("reference")})
     if rouge:
-        as_tokens = (lambda c: stem_tokens(alnum_tokens(c))) if stem else alnum_tokens
+        as_tokens = (lambda c: stem_words(alnum_text(c))) if stem else alnum_tokens
         rows = rows.withColumns({"_ps": as_tokens("prediction"), "_rs": as_tokens("reference")})
     return rows.drop("prediction", "reference")
 

@@ -31,16 +31,16 @@ def with_split(
         F.sum("n").over(Window.partitionBy()).alias("total"),
     )
     wanted = F.ceil(F.lit(float(test_fraction)) * F.col("total"))
-    edge = running.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)).select(
-        "b", (wanted - (F.col("upto") - F.col("n"))).alias("rest")
-    )
-    ranked = hashed.where(bucket == edge.select("b").scalar()).select(
+    before = F.col("upto") - F.col("n")
+    edge = running.where((F.col("upto") >= wanted) & (before < wanted)).select(
+        F.struct("b", (wanted - before).alias("rest"))
+    ).scalar()
+    ranked = hashed.where(bucket == edge["b"]).select(
         "h", "k", F.row_number().over(Window.orderBy("h", "k")).alias("rn")
     )
-    cut = ranked.where(F.col("rn") == edge.select("rest").scalar())
-    cut_hash, cut_key = cut.select("h").scalar(), cut.select("k").scalar()
+    cut = ranked.where(F.col("rn") == edge["rest"]).select(F.struct("h", "k")).scalar()
     h = split_hash(F.col(key), seed)
-    in_test = (h < cut_hash) | ((h == cut_hash) & (F.col(key) <= cut_key))
+    in_test = (h < cut["h"]) | ((h == cut["h"]) & (F.col(key) <= cut["k"]))
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 

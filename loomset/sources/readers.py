@@ -14,9 +14,13 @@ def string_schema(*columns: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Header, doubled quotes, quoted line breaks; every column a string, empty fields NULL."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, *columns: str, multi_line: bool = True) -> DataFrame:
+    """Header, doubled quotes, quoted line breaks; every column a string, empty fields NULL.
+
+    Quoted line breaks keep a file from being split: write large data as many files, or
+    pass ``multi_line=False`` for files without them.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(string_schema(*columns)) if columns else reader).csv(path)
 
 
