@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 256  # vectors per block: two blocks and their cosines stay small in a task
-CHUNK = 16  # prediction blocks of a pair that share one copy of its reference blocks
+CHUNK = 16  # blocks per chunk: a task matches one chunk of either side at a time
+_SALTS = 16
 
 
 def embedding_match(vectors: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -15,22 +16,29 @@ def embedding_match(vectors: DataFrame, block: int = BLOCK, chunk: int = CHUNK)
 
     p is the mean over ``pred`` vectors of the best cosine with a ``ref`` vector, r the
     converse. Vectors meet block by block, as two matrices, and only each vector's best
-    cosine per block leaves the task. A pair with many blocks is cut into chunks that
-    hash to different tasks. ``pos`` numbers the vectors of a side from 0.
+    cosine per block leaves the task. Blocks are hashed by pair and by the chunks of both
+    sides, so the work on a very large pair spreads and no task holds a whole side.
+    ``pos`` numbers the vectors of a side from 0.
     """
-    blocks = vectors.groupBy("pair_id", "side", F.floor(F.col("pos") / block).alias("blk")).agg(
-        F.collect_list(F.struct("pos", "vec")).alias("rows")
-    )
-    pred = blocks.where("side = 'pred'").select(
-        "pair_id", F.floor(F.col("blk") / chunk).alias("chunk"), F.col("rows").alias("pred")
-    )
-    chunks = pred.groupBy("pair_id").agg(F.max("chunk").alias("last"))
-    ref = (
-        blocks.where("side = 'ref'")
-        .join(chunks, "pair_id")
-        .select("pair_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"), F.col("rows").alias("ref"))
-    )
-    met = pred.join(ref, ["pair_id", "chunk"]).select(
+    blk = F.floor(F.col("pos") / block)
+    last = vectors.groupBy("pair_id").agg(
+        F.max(F.when(F.col("side") == "pred", F.floor(blk / chunk))).alias("pred_last"),
+        F.max(F.when(F.col("side") == "ref", F.floor(blk / chunk))).alias("ref_last"),
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+    def blocks(side: str, other: str) -> DataFrame:
+        """One row per block of ``side`` and chunk of the ``other`` side."""
+        rows = vectors.where(F.col("side") == side).groupBy("pair_id", blk.alias("blk")).agg(
+            F.collect_list(F.struct("pos", "vec")).alias(side)
+        )
+        salted = rows.withColumn("_salt", F.pmod("blk", F.lit(_SALTS)).cast("int")).join(last, ["pair_id", "_salt"])
+        return salted.select(
+            "pair_id", F.floor(F.col("blk") / chunk).alias(f"{side}_chunk"),
+            F.explode(F.sequence(F.lit(0).cast("long"), f"{other}_last")).alias(f"{other}_chunk"), side,
+        )
+
+    pred, ref = blocks("pred", "ref"), blocks("ref", "pred")
+    met = pred.join(ref, ["pair_id", "pred_chunk", "ref_chunk"]).select(
         "pair_id",
         best_cosines(F.col("pred.vec"), F.col("ref.vec")).alias("best"),
         F.col("pred.pos").alias("pred_pos"),

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from loomset.schema import INSTRUCTION_KIND, Kind, PREFERENCE_KIND
 
 
-# Labels of the formatted preview and the rule between examples.
+# Labels of the formatted preview, the rule between examples, the note for no rows.
 PREFERENCE_LABELS = ("**Prompt:** ", "\n**✅ Chosen:** ", "\n**❌ Rejected:** ")
 INSTRUCTION_LABELS = ("**Instruction:** ", "\n**Output:** ")
 RULE = "\n\n---\n\n"
+EMPTY_STATUS = "⚠️ Dataset is empty after cleaning."
 
 
 def preview(df: DataFrame, kind: Kind, order: str, n: int | None = None) -> DataFrame:
@@ -19,6 +20,12 @@ def preview(df: DataFrame, kind: Kind, order: str, n: int | None = None) -> Data
     return df.select(order, *kind.columns).orderBy(order).limit(rows)
 
 
+def preview_or_status(df: DataFrame, kind: Kind, order: str) -> DataFrame:
+    """The preview, or one status row when there is nothing to show."""
+    head = preview(df, kind, order)
+    return df.sparkSession.createDataFrame([(EMPTY_STATUS,)], "Status string") if head.isEmpty() else head
+
+
 def preview_formatted(df: DataFrame, kind: Kind, order: str) -> DataFrame:
     """(order, preview): labelled examples; 3 for preferences, 5 for the other kinds."""
     labels = {PREFERENCE_KIND: PREFERENCE_LABELS, INSTRUCTION_KIND: INSTRUCTION_LABELS}.get(kind, ("",))

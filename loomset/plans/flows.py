@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomset.functions.chat import JUDGE_CRITERIA, format_example
 from loomset.operators.batching import with_ordinal
 from loomset.operators.clean import drop_empty, validation_report
-from loomset.operators.encode import MAX_LENGTH, build_vocab, encode
+from loomset.operators.encode import MAX_LENGTH, PREFERENCE_MAX_LENGTH, build_vocab, encode, encode_preference
 from loomset.operators.metrics import assemble_results, metric_report, score_rows
-from loomset.operators.preview import preview
+from loomset.operators.preview import preview_or_status
 from loomset.operators.scoring import batch_score, judge
 from loomset.operators.split import with_split
 from loomset.operators.stats import dataset_stats
 from loomset.runtime import materialise
-from loomset.schema import Kind
+from loomset.schema import CHOSEN, Kind, PREFERENCE_KIND, REJECTED
 from loomset.sinks.writers import write_card, write_csv, write_split
 from loomset.sources.readers import read_eval, read_examples, read_prompts
 
@@ -34,7 +34,7 @@ class Inspection:
     stats: DataFrame
 
     def preview(self, order: str) -> DataFrame:
-        return preview(self.examples, self.kind, order)
+        return preview_or_status(self.examples, self.kind, order)
 
 
 def inspect(spark: SparkSession, path: str, preference: bool = False, **reading) -> Inspection:
@@ -56,6 +56,19 @@ def prepare(examples: DataFrame, kind: Kind, key: str, out: str, vocab_size: int
     write_card(cleaned, kind, f"{out}/card")
 
 
+def prepare_preferences(examples: DataFrame, key: str, out: str, vocab_size: int | None = None,
+                        max_length: int = PREFERENCE_MAX_LENGTH) -> None:
+    """clean -> exact split -> Parquet and card; encoded too, for reward models, if ``vocab_size`` is given."""
+    cleaned = drop_empty(examples, PREFERENCE_KIND)
+    rows = cleaned
+    if vocab_size is not None:
+        vocab = materialise(build_vocab(cleaned, CHOSEN, REJECTED, size=vocab_size), "vocab")
+        vocab.write.parquet(f"{out}/vocab")
+        rows = encode_preference(cleaned, key, vocab, max_length)
+    write_split(with_split(rows, key), f"{out}/examples")
+    write_card(cleaned, PREFERENCE_KIND, f"{out}/card")
+
+
 def with_row_id(df: DataFrame, *order: str) -> DataFrame:
     """A ``row_id`` for tables without one, by the unique ``order`` columns."""
     return with_ordinal(df, *order, name="row_id")

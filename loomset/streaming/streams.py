@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from loomset.functions.chat import format_example
+from loomset.functions.text import strip
 from loomset.operators.clean import drop_empty, quality_filter
-from loomset.schema import Kind, QUALITY_MAX, QUALITY_MIN
+from loomset.schema import Kind, QUALITY_MAX, QUALITY_MIN, TEXT
 from loomset.sources.readers import string_schema
 
 
@@ -19,6 +20,18 @@ def stream_jsonl(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spark.readStream.schema(string_schema(*columns)).option("mode", "FAILFAST").json(folder)
 
 
+def stream_csv(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return (
+        spark.readStream.schema(string_schema(*columns))
+        .options(header=True, multiLine=True, escape='"', enforceSchema=False)
+        .csv(folder)
+    )
+
+
+def stream_text_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.text(folder).select(strip("value").alias(TEXT)).where(F.col(TEXT) != "")
+
+
 def clean_and_format(df: DataFrame, kind: Kind, *keep: str, template: str | None = None,
                      low: int = QUALITY_MIN, high: int = QUALITY_MAX) -> DataFrame:
     """Drop empties, filter by length, render; the same on a stream and on a table."""

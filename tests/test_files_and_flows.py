@@ -132,6 +132,23 @@ def test_inspect_and_prepare(spark, tmp_path):
     assert "- Examples: 20" in [r.value for r in spark.read.text(f"{out}/card").collect()]
 
 
+def test_prepare_preferences(spark, rows, tmp_path):
+    data = [(i, f"p{i}", f"good {i}", f"bad {i}") for i in range(10)] + [(99, "p", "", "r")]
+    prefs = rows(data, "id int, prompt string, chosen string, rejected string")
+    flows.prepare_preferences(prefs, "id", str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw" / "examples"))
+    assert {r.split: r["count"] for r in raw.groupBy("split").count().collect()} == {"test": 1, "train": 9}
+    assert set(raw.columns) == {"id", "prompt", "chosen", "rejected", "split"}
+    flows.prepare_preferences(prefs, "id", str(tmp_path / "enc"), vocab_size=5, max_length=4)
+    enc = spark.read.parquet(str(tmp_path / "enc" / "examples"))
+    assert enc.count() == 10 and {len(r.input_ids_rejected) for r in enc.collect()} == {4}
+
+
+def test_preview_of_nothing(spark, tmp_path):
+    seen = flows.inspect(spark, write(tmp_path / "a.csv", "text\n"))
+    assert seen.preview("text").columns == ["Status"]
+
+
 def test_answer_and_evaluate_files(spark, tmp_path):
     load = lambda: None
 
@@ -164,6 +181,16 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_csv_and_text_streams(spark, tmp_path):
+    (tmp_path / "csv").mkdir(), (tmp_path / "txt").mkdir()
+    write(tmp_path / "csv" / "a.csv", 'text\n"a\nb"\nc\n')
+    write(tmp_path / "txt" / "a.txt", " x \n\ny\n")
+    for name, stream in (("csv", streams.stream_csv(spark, str(tmp_path / "csv"), "text")), ("txt", streams.stream_text_lines(spark, str(tmp_path / "txt")))):
+        streams.run_available(stream, str(tmp_path / f"out-{name}"), str(tmp_path / f"state-{name}"))
+    read = lambda name: sorted(r.text for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect())
+    assert read("csv") == ["a\nb", "c"] and read("txt") == ["x", "y"]
+
+
 def test_late_losses_are_dropped(spark, tmp_path):
     schema = "run_id long, ts timestamp, train_loss double"
     put = lambda *r: spark.createDataFrame(list(r), "run_id long, ts string, train_loss double").selectExpr(
