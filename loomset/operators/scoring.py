@@ -57,7 +57,11 @@ def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, li
         return [one(model, t) for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = resident(model_key, load)
+        try:  # the worker's own module outlives the task
+            from loomset.operators.scoring import resident as keep
+        except ImportError:
+            keep = resident
+        model = keep(model_key, load)
         for frame in frames:
             texts = frame[prompt].tolist()
             scored = [
