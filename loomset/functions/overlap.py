@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,8 +29,7 @@ def clipped_counts(df: DataFrame, key: str, features: dict[str, tuple[str, str,
 
     ``features`` maps a name to (prediction tokens, reference tokens, n). Rows are
     hashed by ``key`` before they unfold, so both groupings find theirs in place: the
-    tokens shuffle once and the n-grams, many times as large, never do. (Arrow UDFs
-    must come before: Spark forgets the partitioning behind one.)
+    tokens shuffle once and the n-grams, many times as large, never do.
     """
     def side(name: str, column: str, is_pred: bool, n: int) -> Column:
         return F.transform(
@@ -65,9 +67,27 @@ def lcs_length(a, b) -> int:
     return len(a) - v.bit_count()
 
 
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+def shared_ngrams(a: list[str], b: list[str], n: int) -> int:
+    """N-grams both sequences have, each counted as often as in the side with fewer."""
+    x, y = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))
+    return sum(min(c, y[g]) for g, c in x.items() if g in y)
+
+
+def match_counts(pred: Column, ref: Column, orders: int, words: Callable[[str], list[str]] = str.split,
+                 with_lcs: bool = False) -> Column:
+    """struct(clipped per n-gram order, prediction size, reference size, lcs) of two texts.
+
+    Counts leave the row's own task only as these few numbers: no n-gram is shuffled or
+    kept beyond its row. NULL reads as empty.
+    """
+
+    def one(a: str | None, b: str | None) -> tuple[list[int], int, int, int]:
+        p, r = words(a or ""), words(b or "")
+        clipped = [shared_ngrams(p, r, n) for n in range(1, orders + 1)]
+        return clipped, len(p), len(r), lcs_length(p, r) if with_lcs else 0
 
+    def count(preds: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        rows = [one(a, b) for a, b in zip(preds, refs)]
+        return pd.DataFrame(rows, columns=["clipped", "pred", "ref", "lcs"])
 
-def lcs(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_lcs, "int")(a, b)
+    return F.pandas_udf(count, "clipped array<int>, pred int, ref int, lcs int")(pred, ref)

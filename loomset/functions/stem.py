@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
-
 # Words with their own stems.
 IRREGULAR = {
     "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
@@ -133,10 +130,6 @@ def _stem_once(word: str) -> str:
     return _seen[word]
 
 
-def _stem_texts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else [_stem_once(w) for w in t.split(" ") if w])
-
-
-def stem_words(text: Column) -> Column:
-    """Blank-separated words -> array of stems."""
-    return F.pandas_udf(_stem_texts, "array<string>")(text)
+def stemmed_words(text: str) -> list[str]:
+    """The stems of a text's words, for use inside a task."""
+    return [_stem_once(w) for w in text.split()]

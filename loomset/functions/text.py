@@ -39,10 +39,6 @@ def alnum_text(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " ")
 
 
-def alnum_tokens(c: Column | str) -> Column:
-    return _no_blanks(F.split(alnum_text(c), " "))
-
-
 def _no_blanks(words: Column) -> Column:
     return F.coalesce(F.array_remove(words, ""), F.array().cast("array<string>"))
 

@@ -6,45 +6,34 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomset.functions.overlap import clipped_counts, lcs
-from loomset.functions.stem import stem_words
-from loomset.functions.text import alnum_text, alnum_tokens, tokens
+from loomset.functions.overlap import clipped_counts, match_counts
+from loomset.functions.stem import stemmed_words
+from loomset.functions.text import alnum_text, tokens
 
 # BLEU orders with equal weights, the smoothing constant.
 ORDERS = (1, 2, 3, 4)
 SMOOTHING_K = 5.0
 
-_BLEU = {f"c{n}": ("_pt", "_rt", n) for n in ORDERS}
-_ROUGE = {"u": ("_ps", "_rs", 1), "b": ("_ps", "_rs", 2)}
-
-
-def _tokenised(df: DataFrame, key: str, rouge: bool, bleu: bool, stem: bool) -> DataFrame:
-    rows = df.select(key, "prediction", "reference")
-    if bleu:
-        rows = rows.withColumns({"_pt": tokens("prediction"), "_rt": tokens("reference")})
-    if rouge:
-        as_tokens = (lambda c: stem_words(alnum_text(c))) if stem else alnum_tokens
-        rows = rows.withColumns({"_ps": as_tokens("prediction"), "_rs": as_tokens("reference")})
-    return rows.drop("prediction", "reference")
-
-
 def ngram_overlap(df: DataFrame, key: str) -> DataFrame:
-    """(key, n, pred_total, ref_total, clipped) for n = 1..4 over white-space tokens."""
-    rows = _tokenised(df, key, rouge=False, bleu=True, stem=False)
+    """(key, n, pred_total, ref_total, clipped) for n = 1..4 over white-space tokens, by grouping n-grams."""
+    rows = df.select(key, tokens("prediction").alias("_pt"), tokens("reference").alias("_rt"))
     sized = rows.withColumns({"_np": F.size("_pt"), "_nr": F.size("_rt")})
-    counts = clipped_counts(sized, key, _BLEU, "_np", "_nr")
-    total = lambda side, n: F.greatest(F.col(side) - (n - 1), F.lit(0))
+    counts = clipped_counts(sized, key, {f"c{n}": ("_pt", "_rt", n) for n in ORDERS}, "_np", "_nr")
     return counts.select(
         key,
         F.inline(F.array(*[
             F.struct(
-                F.lit(n).alias("n"), total("_np", n).alias("pred_total"),
-                total("_nr", n).alias("ref_total"), F.col(f"c{n}").alias("clipped"),
+                F.lit(n).alias("n"), _grams(F.col("_np"), n).alias("pred_total"),
+                _grams(F.col("_nr"), n).alias("ref_total"), F.col(f"c{n}").alias("clipped"),
             ) for n in ORDERS
         ])),
     )
 
 
+def _grams(size: Column, n: int) -> Column:
+    return F.greatest(size - (n - 1), F.lit(0))
+
+
 def bleu_score(clipped: list[Column], c: Column, r: Column) -> Column:
     """Sentence BLEU from clipped counts and lengths; NULL for an empty prediction.
 
@@ -71,28 +60,32 @@ def f_measure(common: Column, pred: Column, ref: Column) -> Column:
 
 def score_rows(df: DataFrame, key: str, bleu: bool = True, rouge_n: bool = True, rouge_l: bool = True,
                stem: bool = True) -> DataFrame:
-    """(key, bleu, rouge1, rouge2, rougeL as asked): all n-gram scores from one shuffle of the texts."""
-    rows = _tokenised(df, key, rouge_n or rouge_l, bleu, stem)
-    sizes = {}
+    """(key, bleu, rouge1, rouge2, rougeL as asked), row by row without a shuffle.
+
+    Tasks count matches; the scores are column expressions over the counts.
+    """
+    rows = df.select(key, "prediction", "reference")
     if bleu:
-        sizes |= {"_np": F.size("_pt"), "_nr": F.size("_rt")}
+        rows = rows.withColumn("_b", match_counts(F.col("prediction"), F.col("reference"), len(ORDERS)))
     if rouge_n or rouge_l:
-        sizes |= {"_sp": F.size("_ps"), "_sr": F.size("_rs")}
-    if rouge_l:
-        sizes["_lcs"] = lcs(F.col("_ps"), F.col("_rs"))
-    rows = rows.withColumns(sizes)
-    features = (_BLEU if bleu else {}) | (_ROUGE if rouge_n else {})
-    if features:
-        rows = clipped_counts(rows, key, features, *sizes)
+        rows = rows.withColumn(
+            "_r",
+            match_counts(
+                alnum_text("prediction"), alnum_text("reference"), 2 if rouge_n else 0,
+                stemmed_words if stem else str.split, rouge_l,
+            ),
+        )
+    b, r = (lambda f: F.col(f"_b.{f}")), (lambda f: F.col(f"_r.{f}"))
     out: list[Column] = [F.col(key)]
     if bleu:
-        out.append(bleu_score([F.col(c) for c in _BLEU], F.col("_np"), F.col("_nr")).alias("bleu"))
+        clipped = [F.get(b("clipped"), F.lit(n - 1)) for n in ORDERS]
+        out.append(bleu_score(clipped, b("pred"), b("ref")).alias("bleu"))
     if rouge_n:
-        for name, count, n in (("rouge1", "u", 1), ("rouge2", "b", 2)):
-            total = lambda side: F.greatest(F.col(side) - (n - 1), F.lit(0))
-            out.append(f_measure(F.col(count), total("_sp"), total("_sr")).alias(name))
+        for name, n in (("rouge1", 1), ("rouge2", 2)):
+            common = F.get(r("clipped"), F.lit(n - 1))
+            out.append(f_measure(common, _grams(r("pred"), n), _grams(r("ref"), n)).alias(name))
     if rouge_l:
-        out.append(f_measure(F.col("_lcs"), F.col("_sp"), F.col("_sr")).alias("rougeL"))
+        out.append(f_measure(r("lcs"), r("pred"), r("ref")).alias("rougeL"))
     return rows.select(*out)
 
 

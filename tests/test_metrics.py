@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomset.functions.overlap import lcs_length
+from loomset.functions.overlap import lcs_length, shared_ngrams
 from loomset.functions.stem import stem
 from loomset.operators import embedding, metrics
 
@@ -101,12 +101,25 @@ def test_stemming_matches_inflections(rows):
     assert metrics.score_rows(df, "id", stem=False).first().rouge1 == 0.0
 
 
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_ngrams_do_not_shuffle(rows):
     df = rows([(1, "a b", "a b")], "id int, prediction string, reference string")
-    scored = metrics.score_rows(df, "id")
-    scored.collect()
-    plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in _final_plan(metrics.score_rows(df, "id"))
+    assert _final_plan(metrics.ngram_overlap(df, "id")).count("Exchange hashpartitioning") == 1
+
+
+def test_grouped_counts_agree_with_counts_per_row(spark, pairs):
+    df = spark.createDataFrame(pairs, "id int, prediction string, reference string")
+    grouped = {(r.id, r.n): (r.clipped, r.pred_total, r.ref_total) for r in metrics.ngram_overlap(df, "id").collect()}
+    assert len(grouped) == 4 * len(pairs)
+    for i, pred, ref in pairs:
+        p, r = pred.split(), ref.split()
+        for n in range(1, 5):
+            assert grouped[i, n] == (shared_ngrams(p, r, n), max(len(p) - n + 1, 0), max(len(r) - n + 1, 0))
 
 
 def test_report(rows):

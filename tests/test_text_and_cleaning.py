@@ -1,4 +1,4 @@
-from loomset.functions.text import alnum_tokens, example_length, first_tokens, strip, tokens
+from loomset.functions.text import alnum_text, example_length, first_tokens, strip, tokens
 from loomset.operators import clean, preview, projection, stats
 from loomset.schema import INSTRUCTION_KIND, PREFERENCE_KIND, TEXT_KIND
 import pytest
@@ -18,9 +18,9 @@ def test_strip_and_tokens_follow_unicode_white_space(rows):
     assert got[99]["w"] == []
 
 
-def test_alnum_tokens(rows):
+def test_alnum_text(rows):
     df = rows([("Don't STOP-it: 3.5!",), ("",), ("é",)], "s string")
-    assert [r[0] for r in df.select(alnum_tokens("s")).collect()] == [["don", "t", "stop", "it", "3", "5"], [], []]
+    assert [r[0].split() for r in df.select(alnum_text("s")).collect()] == [["don", "t", "stop", "it", "3", "5"], [], []]
 
 
 def test_first_tokens(rows):
