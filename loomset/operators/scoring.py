@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -30,13 +31,16 @@ def resident(key: Hashable, load: Callable[[], Any]) -> Any:
 
 
 def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, list[str]], list[str]],
-                model_key: Hashable = "default", prompt: str = "prompt", response: str = "response",
+                model_key: Hashable | None = None, prompt: str = "prompt", response: str = "response",
                 batch_size: int = BATCH_SIZE) -> DataFrame:
     """Add ``response`` and ``error``: ``score(model, prompts)`` on at most ``batch_size`` prompts at once.
 
+    Workers keep the model for the tasks of this call, or of every call with the same ``model_key``.
     A batch that raises is scored again row by row, so only the failing rows carry an
     error and none is lost.
     """
+    if model_key is None:
+        model_key = uuid.uuid4().hex
     schema = T.StructType(
         df.schema.fields + [T.StructField(response, T.StringType()), T.StructField("error", T.StringType())]
     )

@@ -108,7 +108,7 @@ def evaluate_file(spark: SparkSession, path: str, load: Load, score: Score,
     )
     judgments = None
     if judge_with is not None:
-        verdicts = judge(answered, "row_id", *judge_with, criteria=(criteria,), response="prediction", model_key="judge")
+        verdicts = judge(answered, "row_id", *judge_with, criteria=(criteria,), response="prediction")
         judgments = verdicts.select("row_id", F.coalesce("judgment", "error").alias("judgment"))
     has_references = answered.where(F.col("reference").isNotNull()).limit(1).count() > 0
     eval_rows = answered.select("row_id", "prompt", *(["reference"] if has_references else []))

@@ -48,6 +48,14 @@ def test_one_model_stays_resident():
     assert calls == ["a", "b", "a"] and len(scoring._resident) == 1
 
 
+def test_calls_do_not_share_models_unless_keyed(spark):
+    df = spark.range(4).selectExpr("cast(id AS string) AS prompt").coalesce(1)
+    answer = lambda model, prompts: [model] * len(prompts)
+    ask = lambda name, **key: {r.response for r in scoring.batch_score(df, lambda: name, answer, **key).collect()}
+    assert ask("a") == {"a"} and ask("b") == {"b"}
+    assert ask("c", model_key="k") == {"c"} and ask("d", model_key="other") == {"d"}
+
+
 def test_judge_cuts_strips_and_keeps_all_criteria(rows):
     df = rows([(1, "p", "w " * 3000)], "id int, prompt string, response string")
     got = scoring.judge(df, "id", load, lambda m, ps: [f" {len(p.split())} " for p in ps]).collect()
