@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Row, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _test_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, through the driver's file server.
+
+    Workers then import it as modules, which outlive a task: what they load stays loaded.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    path = os.path.join(SparkFiles.getRootDirectory(), f"{os.path.basename(package)}-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for top, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
 
 
 def shared_root(spark: SparkSession) -> str:
