@@ -9,6 +9,8 @@ passages does not matter, and passages can be added or taken away without the re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomset.llm.common import text_of
@@ -31,20 +33,28 @@ def passages(text: Column) -> Column:
     return F.filter(F.split(text, PASSAGE_END, -1), lambda p: F.trim(p) != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: lambda bodies repeat what they mention."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fingerprint(text: Column) -> Column:
     """The lanes of a text: array<int> of 1 + LANES numbers below 2**BITS; all 0 without passages."""
     hashed = F.transform(passages(text), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(_HASHES)]))
     zero = F.array(*[F.lit(0).cast("bigint")] * _HASHES)
 
-    def sums(shift: int) -> Column:
+    def sums(hashed: Column, shift: int) -> Column:
         """Two byte lanes of each hash, summed over all passages."""
         add = lambda total, h: (total + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_BYTES))).bitwiseAND(F.lit(_BOTH))
         return F.aggregate(hashed, zero, lambda acc, hashes: F.zip_with(acc, hashes, add))
 
-    pairs = F.concat(*[sums(8 * k) for k in range(4)])
-    lanes = F.flatten(F.transform(pairs, lambda s: F.array(F.shiftrightunsigned(s, _APART), s.bitwiseAND(F.lit(_ALL)))))
-    counted = F.size(hashed).cast("bigint").bitwiseAND(F.lit(_ALL))
-    return F.concat(F.array(counted), lanes).cast("array<int>")
+    def lanes(hashed: Column) -> Column:
+        pairs = F.concat(*[sums(hashed, 8 * k) for k in range(4)])
+        split = F.flatten(F.transform(pairs, lambda s: F.array(F.shiftrightunsigned(s, _APART), s.bitwiseAND(F.lit(_ALL)))))
+        counted = F.size(hashed).cast("bigint").bitwiseAND(F.lit(_ALL))
+        return F.concat(F.array(counted), split).cast("array<int>")
+
+    return _let(hashed, lanes)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -52,16 +62,14 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y * sign).bitwiseAND(F.lit(_ALL)))
 
 
-def edited_fingerprint(text: Column, lanes: Column, kept: Column, new: Column) -> Column:
-    """The fingerprint of the first ``kept`` characters of ``text`` and ``new``, from the ``lanes`` of ``text``.
+def changed_passages(text: Column, kept: Column, new: Column) -> tuple[Column, Column]:
+    """What to take from and add to the fingerprint of ``text`` if ``new`` stands after its first ``kept`` characters.
 
-    Only what follows the last passage end within the kept part is hashed: as it was, to take it
-    away, and as it is now, to add it.
+    Only what follows the last passage end within the kept part: as it was, and as it is now.
     """
-    whole = F.regexp_extract(F.left(text, kept), LAST_END, 0)
-    at = F.length(whole)
+    at = F.length(F.regexp_extract(F.left(text, kept), LAST_END, 0))
     old = F.substring(text, at + 1, F.length(text) - at)
-    return combine(combine(lanes, fingerprint(old), -1), fingerprint(F.concat(F.substring(text, at + 1, kept - at), new)))
+    return fingerprint(old), fingerprint(F.concat(F.substring(text, at + 1, kept - at), new))
 
 
 def spelled(lanes: Column) -> Column:
@@ -128,12 +136,15 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     lent = lent.select(F.col("to_k").alias("k"), "next_k", F.col("offer.md5").alias("next_md5"), F.col("offer.head").alias("head"))
     kept = F.length("text") - quarter
     new = F.left(F.coalesce("head", F.lit("")), quarter)
-    done = keyed.join(lent, "k", "left").withColumn("lanes", fingerprint(F.col("text"))).select(
+    gone, come = changed_passages(F.col("text"), kept, new)
+    done = keyed.join(lent, "k", "left").select(
         "k", "next_k", "next_md5", F.md5("text").alias("md5"), F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2(F.concat(F.left("text", kept), new), 256).alias("edited_sha256"), "lanes",
-        edited_fingerprint(F.col("text"), F.col("lanes"), kept, new).alias("edited_lanes"),
+        F.sha2(F.concat(F.left("text", kept), new), 256).alias("edited_sha256"),
+        fingerprint(F.col("text")).alias("lanes"), gone.alias("gone"), come.alias("come"),
     )
     done = materialise(done, "fingerprints")
+    edited = combine(combine(F.col("lanes"), F.col("gone"), -1), F.col("come"))
+    done = done.select("k", "next_k", "next_md5", "md5", "n_chars", "edited_sha256", "lanes", edited.alias("edited_lanes"))
     ahead = done.select(F.col("k").alias("next_k"), F.col("md5").alias("next_md5"), F.col("lanes").alias("next_lanes")).dropDuplicates(["next_k", "next_md5"])
     near = done.join(ahead, ["next_k", "next_md5"], "left")
     nothing = fingerprint(F.lit(""))
