@@ -31,6 +31,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # An unknown identifier: letters, digits and joints with at least two digits, or a handle.
 _IDENTIFIER = re.compile(r"(?=.*[0-9].*[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{3,}|@[A-Za-z0-9_.]{3,}")
+_TELLING = re.compile(rb"[0-9@]")  # no seed and no identifier is without one of these
 _EDGES = ".,;:!?()[]{}<>\"'"
 _LONGEST = 64
 
@@ -112,7 +113,7 @@ def _bloom(patterns: DataFrame) -> bytes:
     places = patterns.select(F.explode(F.array(*[
         F.pmod(F.shiftrightunsigned("pattern", s), F.lit(BLOOM_BITS)) for s in (0, 24)
     ])).alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 8).cast("int").alias("byte")).agg(
-        F.sum(F.shiftleft(F.lit(1), (F.col("bit") % 8).cast("int"))).alias("bits")
+        F.sum(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits")
     )
     bits = bytearray(BLOOM_BITS // 8)
     for row in places.toLocalIterator():
@@ -123,7 +124,8 @@ def _bloom(patterns: DataFrame) -> bytes:
 def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
     """(content, pattern, form, start, end, others): what follows the patterns in each (content, text).
 
-    Identifier-like tokens come one by one; other words are counted in ``others`` per batch.
+    Identifier-like tokens come one by one; other words are counted in ``others`` per batch, and
+    what has a known form is left out: it is among the seeds.
     """
 
     def run(batches):
@@ -150,12 +152,18 @@ def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
                     for i in at.tolist():
                         pattern = int(pairs[i].view(np.int64))
                         raw = words[i + 2]
-                        token = raw.decode().strip(_EDGES) if len(raw) <= 4 * _LONGEST else ""
-                        if not token or len(token) > _LONGEST or not _IDENTIFIER.fullmatch(token):
+                        if not _TELLING.search(raw):
                             others[pattern] = others.get(pattern, 0) + 1
                             continue
                         places = places or [m.start() for m in _WORD.finditer(text)]
-                        start = places[i + 2] + raw.decode().index(token)
+                        start = places[i + 2]
+                        if any(a < len(raw) for _, a, _ in base_spans(text[start : start + 2 * _LONGEST])):
+                            continue  # a seed of the pattern
+                        token = raw.decode().strip(_EDGES)
+                        if len(token) > _LONGEST or not _IDENTIFIER.fullmatch(token):
+                            others[pattern] = others.get(pattern, 0) + 1
+                            continue
+                        start += raw.decode().index(token)
                         for n, v in zip(rows, (content, pattern, form(token), start, start + len(token), 0)):
                             rows[n].append(v)
             for pattern, n in others.items():
