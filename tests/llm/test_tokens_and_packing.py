@@ -21,16 +21,33 @@ def ids(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(" \t\n\r\x0b\x1c\x85\xa0 a'sétl1.<|endoftext|>", max_size=40) | st.text(max_size=30), max_size=4))
-def test_pieces_encode_as_the_whole(texts):
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(" \t\n\r\x0b\x1c\x85\xa0 a'sétlŁ1.<|endoftext|>", max_size=40) | st.text(max_size=30) | st.text(st.characters(max_codepoint=0x17F), max_size=60), max_size=4))
+def test_ids_are_those_of_the_library(texts):
     assert OWN.ids(texts) == [array("I", ids(t)).tobytes() for t in texts]
 
 
+def test_every_common_character_and_pair():
+    common = [c for c in map(chr, range(0x180)) if OWN.plain(c)]
+    assert len(common) > 250
+    texts = [a + b for a in common for b in common[::5]] + [f"x{a}{a} {a}y\n{a}" for a in common]
+    assert all(map(OWN.plain, texts))
+    want = [array("I", e.ids).tobytes() for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert OWN.ids(texts) == want
+
+
 def test_special_strings_and_long_words():
-    texts = ["a <|endoftext|> b", "<|endoftext|>", " x  <|endoftext|>y", "q" * 30000, "", " ", "  a  b  ", "don't we'll I'm"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " x  <|endoftext|>y", "q" * 30000, "", " ", "  a  b  ", "don't we'll I'm", "日本語 𝒳 " * 50]
     assert OWN.ids(texts) == [array("I", ids(t)).tobytes() for t in texts]
-    assert all(len(p) <= 64 for p in OWN._memo)
+    assert [OWN.plain(t) for t in texts] == [False, False, False, False, True, True, True, True, False]
+
+
+def test_other_kinds_of_file_go_through_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, plain = Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some Words of ünusual form", "", "a  b"]
+    assert not other.plain(texts[0])
+    assert other.ids(texts) == [array("I", plain.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 
 def test_counts_and_cache(spark, rows):
