@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from loomset.functions.text import bind, tokens
-from loomset.runtime import small_table
+from loomset.runtime import materialise, small_table
 from loomset.schema import INSTRUCTION_KIND, Kind, TEXT_KIND
 
 # Share of the words to change, and the least and most words per text.
@@ -18,6 +18,7 @@ LEAST = 1
 MOST = 10
 
 SEED = 42
+_SALTS = 16
 BROADCAST_ENTRIES = 262_144  # lexicons up to this many rows are sent to every worker
 
 
@@ -51,12 +52,13 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
         return copies.withColumn(column, F.when(changes, _without_words(F.col(column), salt)).otherwise(F.col(column)))
     if lexicon is None:
         raise ValueError(f"{method} needs a lexicon of (word, replacement)")
-    entries = small_table(lexicon.select("word", "replacement"), inline_limit)
+    lexicon = lexicon.select("word", "replacement").where("word is not null and replacement is not null")
+    entries = small_table(lexicon, inline_limit)
     if entries is not None:
         replace = _replacer(df.sparkSession, entries)
         changed = replace(F.when(changes, F.col(column)), salt)  # originals do not travel to Python
         return copies.withColumn(column, F.coalesce(changed, F.col(column)))
-    return _replace_by_join(copies, key, column, lexicon, seed)
+    return _replace_by_join(copies, key, column, lexicon, seed).select(*copies.columns)
 
 
 def _without_words(text: Column, salt: Column) -> Column:
@@ -102,24 +104,26 @@ def _replacer(spark: SparkSession, entries: list[Row]):
 
 
 def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFrame, seed: int) -> DataFrame:
-    """The same with a lexicon of any size: words join it, and only the hits come back.
+    """The same with a lexicon of any size: words join it, salted, and only the hits come back.
 
     Hits are counted down to the few that change (at most ``MOST`` per copy) before
     they meet their row again.
     """
     salt = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy_no").cast("string"))
+    copies = materialise(copies.withColumn("_row", F.monotonically_increasing_id()), "copies")
     words = copies.where("copy_no > 0").select(
-        key, "copy_no", changed_words(F.size(tokens(column))).alias("_most"),
+        "_row", salt.alias("_key"), changed_words(F.size(tokens(column))).alias("_most"),
         F.posexplode_outer(tokens(column)).alias("pos", "word"),
     )
     hits = (
-        words.withColumn("h", F.md5(F.concat_ws("-", salt, F.col("pos").cast("string"))))
-        .join(lexicon, "word")
-        .groupBy(key, "copy_no", "_most", "pos", "h")
+        words.withColumn("h", F.md5(F.concat_ws("-", "_key", F.col("pos").cast("string"))))
+        .withColumn("_salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(_SALTS)).cast("int"))
+        .join(lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["word", "_salt"])
+        .groupBy("_row", "_most", "pos", "h")
         .agg(F.min_by("replacement", F.md5(F.concat_ws("-", "h", "replacement"))).alias("new"))
-        .groupBy(key, "copy_no", "_most")
+        .groupBy("_row", "_most")
         .agg(F.sort_array(F.collect_list(F.struct("h", "pos", "new"))).alias("_hits"))
-        .select(key, "copy_no", F.slice("_hits", F.lit(1), F.col("_most")).alias("_hits"))
+        .select("_row", F.slice("_hits", F.lit(1), F.col("_most")).alias("_hits"))
     )
     changed = F.map_from_entries(F.transform("_hits", lambda s: F.struct(s["pos"], s["new"])))
     text = bind(
@@ -128,7 +132,7 @@ def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFram
             F.transform(tokens(column), lambda w, i: F.coalesce(F.try_element_at(m, i), w)), " "
         ),
     )
-    return copies.join(hits, [key, "copy_no"], "left").withColumn(
+    return copies.join(hits, "_row", "left").withColumn(
         column, F.when(F.col("_hits").isNotNull(), text).otherwise(F.col(column))
     ).drop("_hits")
 

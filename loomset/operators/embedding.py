@@ -56,10 +56,12 @@ def embedding_match(vectors: DataFrame, block: int = BLOCK, chunk: int = CHUNK)
     best = sided.groupBy("pair_id", "side", "pos").agg(F.max("cos").alias("cos"))
     mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("cos")))
     p, r = F.col("p"), F.col("r")
-    return (
-        best.groupBy("pair_id")
-        .agg(mean("pred").alias("p"), mean("ref").alias("r"))
-        .withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0))
+    means = best.groupBy("pair_id").agg(mean("pred").alias("p"), mean("ref").alias("r"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    # A pair with vectors on one side only has no match and scores 0.
+    scored = vectors.select("pair_id").distinct().join(means, "pair_id", "left")
+    return scored.select("pair_id", zero("p").alias("p"), zero("r").alias("r")).withColumn(
+        "f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0)
     )
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomset.functions.text import tokens
-from loomset.runtime import small_table
+from loomset.runtime import materialise, small_table
 
 # The last-resort end token, the unknown token, the id losses ignore, usual lengths.
 END_TOKEN = "</s>"
@@ -62,37 +62,39 @@ def token_ids(df: DataFrame, key: str, columns: dict[str, str], vocab: DataFrame
         def to_ids(texts: pd.Series) -> pd.Series:
             ids = shared.value
             return texts.map(
-                lambda t: [] if t is None else [ids.get(w, UNKNOWN_ID) for w in t.split()[:max_length]]
+                lambda t: [] if t is None else [ids.get(w, UNKNOWN_ID) for w in t.split(None, max_length)[:max_length]]
             )
 
         encode = F.pandas_udf(to_ids, "array<int>")
         return df.withColumns({new: encode(F.col(c)) for new, c in columns.items()})
     for new, column in columns.items():
-        df = _ids_by_join(df, key, new, column, vocab, max_length)
+        df = _ids_by_join(df, new, column, vocab, max_length)
     return df
 
 
-def _ids_by_join(df: DataFrame, key: str, new: str, column: str, vocab: DataFrame, max_length: int) -> DataFrame:
+def _ids_by_join(df: DataFrame, new: str, column: str, vocab: DataFrame, max_length: int) -> DataFrame:
     """The same by joining words to a vocabulary of any size.
 
     Each word is salted by its row and the vocabulary repeated per salt, so that a hot
-    word spreads; regrouping holds at most ``max_length`` ids per row.
+    word spreads; regrouping holds at most ``max_length`` ids per row. Rows get numbers of
+    their own, written with them: keys may be missing or repeat, as where nothing is joined.
     """
-    salt = F.pmod(F.xxhash64(F.col(key), F.col("pos")), F.lit(_SALTS)).cast("int")
+    df = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    salt = F.pmod(F.xxhash64("_row", "pos"), F.lit(_SALTS)).cast("int")
     words = df.select(
-        key, F.posexplode_outer(F.slice(tokens(column), 1, max_length)).alias("pos", "token")
+        "_row", F.posexplode_outer(F.slice(tokens(column), 1, max_length)).alias("pos", "token")
     ).withColumn("_salt", salt)
     spread = vocab.select(
         "token", F.col("id").alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
     )
     found = words.join(spread, ["token", "_salt"], "left").select(
-        key,
+        "_row",
         F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("id"))).alias("at"),
     )
-    rows = found.groupBy(key).agg(
+    rows = found.groupBy("_row").agg(
         F.transform(F.sort_array(F.collect_list("at")), lambda p: p["id"]).alias(new)
     )
-    return df.join(rows, key)
+    return df.join(rows, "_row", "left").drop("_row")
 
 
 def pad(ids: Column, max_length: int, pad_id: int = PAD_ID) -> Column:

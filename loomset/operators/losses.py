@@ -10,9 +10,15 @@ PATIENCE = 3
 STEP_BLOCK = 10_000  # steps per block of a run in the early-stopping scan
 
 
+def present(records: DataFrame) -> DataFrame:
+    """NaN losses, which loggers write for absent ones, as NULL."""
+    number = lambda c: F.col(c).cast("double")
+    return records.withColumns({c: F.when(~F.isnan(number(c)), F.col(c)) for c in ("train_loss", "eval_loss") if c in records.columns})
+
+
 def loss_log(records: DataFrame, *keep: str) -> DataFrame:
     """Records that carry a training loss, losses to 4 places, a missing eval loss as NULL."""
-    return records.where(F.col("train_loss").isNotNull()).select(
+    return present(records).where(F.col("train_loss").isNotNull()).select(
         *keep, "run_id", "step",
         F.round("train_loss", 4).alias("train_loss"), F.round("eval_loss", 4).alias("eval_loss"),
     )
@@ -20,7 +26,7 @@ def loss_log(records: DataFrame, *keep: str) -> DataFrame:
 
 def loss_curve(records: DataFrame) -> DataFrame:
     """(run_id, step, train_loss, eval_loss): training and evaluation records of a step merged."""
-    return records.groupBy("run_id", "step").agg(
+    return present(records).groupBy("run_id", "step").agg(
         F.round(F.max("train_loss"), 4).alias("train_loss"),
         F.round(F.max("eval_loss"), 4).alias("eval_loss"),
     )
@@ -28,7 +34,7 @@ def loss_curve(records: DataFrame) -> DataFrame:
 
 def final_loss(records: DataFrame) -> DataFrame:
     """(run_id, step, train_loss) of the last record with a training loss."""
-    logged = records.where(F.col("train_loss").isNotNull())
+    logged = present(records).where(F.col("train_loss").isNotNull())
     return logged.groupBy("run_id").agg(
         F.max("step").alias("step"), F.round(F.max_by("train_loss", "step"), 4).alias("train_loss")
     )
@@ -36,7 +42,7 @@ def final_loss(records: DataFrame) -> DataFrame:
 
 def best_step(records: DataFrame) -> DataFrame:
     """(run_id, step, eval_loss) of the least eval loss, the earliest step if tied."""
-    evals = records.where(F.col("eval_loss").isNotNull())
+    evals = present(records).where(F.col("eval_loss").isNotNull())
     best = evals.groupBy("run_id").agg(F.min(F.struct("eval_loss", "step")).alias("best"))
     return best.select("run_id", "best.step", F.round("best.eval_loss", 4).alias("eval_loss"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from loomset.functions.chat import JUDGE_CRITERIA
 from loomset.functions.text import first_tokens, strip
 from loomset.operators.chatting import judge_prompts
+from loomset.runtime import ship
 
 # Prompts per model call, and where prompts are cut for generating and for judging.
 BATCH_SIZE = 8
@@ -39,6 +40,7 @@ def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, li
     A batch that raises is scored again row by row, so only the failing rows carry an
     error and none is lost.
     """
+    ship(df.sparkSession)
     if model_key is None:
         model_key = uuid.uuid4().hex
     schema = T.StructType(
@@ -61,10 +63,8 @@ def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, li
         return [one(model, t) for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:  # the worker's own module outlives the task
-            from loomset.operators.scoring import resident as keep
-        except ImportError:
-            keep = resident
+        from loomset.operators.scoring import resident as keep  # the worker's own module outlives the task
+
         model = keep(model_key, load)
         for frame in frames:
             texts = frame[prompt].tolist()

@@ -10,7 +10,11 @@ _DIGITS = 5  # hash digits per histogram bucket: at most 16 ** 5 buckets
 
 
 def split_hash(key: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}-"), _spelled(key)))
+
+
+def _spelled(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("\0"))
 
 
 def with_split(
@@ -18,11 +22,12 @@ def with_split(
 ) -> DataFrame:
     """Add ``split``: the ``ceil(test_fraction * n)`` rows of least hash are ``test``, the rest ``train``.
 
-    ``key`` must be unique. The cut-off hash is found from a histogram over hash
+    ``key`` must be unique; one row without a key counts as a key. Rows of equal keys stay
+    together, so that repeated keys move the size by their number. The cut-off hash is found from a histogram over hash
     prefixes (map-side combined, at most 16**5 rows) and a ranking inside the single
     bucket that holds it (about n / 16**5 rows), so rows themselves never shuffle.
     """
-    hashed = df.select(split_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    hashed = df.select(split_hash(F.col(key), seed).alias("h"), _spelled(F.col(key)).alias("k"))
     bucket = F.substring("h", 1, _DIGITS)
     counts = hashed.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     running = counts.select(
@@ -40,7 +45,7 @@ def with_split(
     )
     cut = ranked.where(F.col("rn") == edge["rest"]).select(F.struct("h", "k")).scalar()
     h = split_hash(F.col(key), seed)
-    in_test = (h < cut["h"]) | ((h == cut["h"]) & (F.col(key) <= cut["k"]))
+    in_test = (h < cut["h"]) | ((h == cut["h"]) & (_spelled(F.col(key)) <= cut["k"]))
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 

@@ -53,7 +53,7 @@ def prepare(examples: DataFrame, kind: Kind, key: str, out: str, vocab_size: int
     encoded = encode(text, key, "text", vocab, max_length)
     write_split(with_split(encoded, key), f"{out}/examples")
     vocab.write.parquet(f"{out}/vocab")
-    write_card(cleaned, kind, f"{out}/card")
+    write_card(cleaned, kind, f"{out}/card", examples)
 
 
 def prepare_preferences(examples: DataFrame, key: str, out: str, vocab_size: int | None = None,
@@ -66,7 +66,7 @@ def prepare_preferences(examples: DataFrame, key: str, out: str, vocab_size: int
         vocab.write.parquet(f"{out}/vocab")
         rows = encode_preference(cleaned, key, vocab, max_length)
     write_split(with_split(rows, key), f"{out}/examples")
-    write_card(cleaned, PREFERENCE_KIND, f"{out}/card")
+    write_card(cleaned, PREFERENCE_KIND, f"{out}/card", examples)
 
 
 def with_row_id(df: DataFrame, *order: str) -> DataFrame:

@@ -45,9 +45,12 @@ def dataset_card(df: DataFrame, kind: Kind) -> DataFrame:
     return facts.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
-def write_card(df: DataFrame, kind: Kind, path: str) -> None:
-    """Card and validation issues (a dozen lines) as one text file folder."""
-    issues = validation_report(df, kind).select(
+def write_card(df: DataFrame, kind: Kind, path: str, raw: DataFrame | None = None) -> None:
+    """Card and validation issues (a dozen lines) as one text file folder.
+
+    Issues are those of ``raw``, the table before cleaning, if it is given.
+    """
+    issues = validation_report(df if raw is None else raw, kind).select(
         F.lit(100).alias("line_no"), F.format_string("- Issue %s: %d", "issue", "n").alias("line")
     )
     card = dataset_card(df, kind).union(issues).coalesce(1).sortWithinPartitions("line_no", "line")

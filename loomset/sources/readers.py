@@ -17,11 +17,19 @@ def string_schema(*columns: str) -> T.StructType:
 def read_csv(spark: SparkSession, path: str, *columns: str, multi_line: bool = True) -> DataFrame:
     """Header, doubled quotes, quoted line breaks; every column a string, empty fields NULL.
 
+    ``columns`` are picked by their names in the header, in whatever order it has them. All files
+    of a folder need the same header: one that differs is an error, not a mix of columns.
+
     Quoted line breaks keep a file from being split: write large data as many files, or
     pass ``multi_line=False`` for files without them.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    return (reader.schema(string_schema(*columns)) if columns else reader).csv(path)
+    if not columns:
+        return reader.csv(path)
+    header = reader.csv(path).columns
+    if missing := [c for c in columns if c not in header]:
+        raise SchemaError(f"{path}: no column {', '.join(missing)} in the header {', '.join(header)}")
+    return reader.option("enforceSchema", False).schema(string_schema(*header)).csv(path).select(*columns)
 
 
 def read_jsonl(spark: SparkSession, path: str, *columns: str, strict: bool = True) -> DataFrame:

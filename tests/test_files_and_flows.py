@@ -206,3 +206,14 @@ def test_late_losses_are_dropped(spark, tmp_path):
     run()
     got = sorted((str(r.window_start), r.n, r.train_loss) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("2024-01-01 00:00:00", 2, 1.5), ("2024-01-01 03:00:00", 1, 9.0)]
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("instruction,output\nask,answer\n")
+    got = readers.read_csv(spark, str(tmp_path / "a.csv"), "output", "instruction").first()
+    assert (got.output, got.instruction) == ("answer", "ask")
+    with pytest.raises(SchemaError):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), "prompt")
+    (tmp_path / "b.csv").write_text("output,instruction\nanswer,ask\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path), "output", "instruction").collect()
