@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from loomset.schema import Kind, PREFERENCE_KIND, TEXT_KIND
+from loomset.schema import Kind, PREFERENCE_KIND, REWARD_KIND, TEXT_KIND
 
 # Every character Unicode calls white space, as a string strip or split sees it.
 WS = (
@@ -18,6 +18,8 @@ WS = (
 WS_RUN = (
     "(?![!-~])[\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 )
+_SPACE = "\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACED_TOKEN = f"[{_SPACE}]*+[^{_SPACE}]++"  # a token and the white space before it
 
 
 def strip(c: Column | str) -> Column:
@@ -44,8 +46,14 @@ def _no_blanks(words: Column) -> Column:
 
 
 def first_tokens(c: Column | str, limit: int) -> Column:
-    """The first ``limit`` white-space tokens joined with blanks."""
-    return F.array_join(F.slice(tokens(c), 1, limit), " ")
+    """The text up to the end of its token number ``limit``; as it is if it has no more tokens."""
+    text = _col(c)
+    cut = bind(
+        F.regexp_extract_all(text, F.lit(_SPACED_TOKEN), F.lit(0)),
+        lambda words: F.when(F.size(words) <= limit, text).otherwise(F.array_join(F.slice(words, 1, limit), "")),
+    )
+    # n characters hold at most (n + 1) / 2 tokens.
+    return F.when(F.length(text) < 2 * limit, text).otherwise(cut)
 
 
 def size0(c: Column | str) -> Column:
@@ -62,8 +70,8 @@ def example_length(kind: Kind) -> Column:
 
 
 def is_kept(kind: Kind) -> Column:
-    """False for examples without content; a preference needs every field."""
-    if kind is PREFERENCE_KIND:
+    """False for examples without content; a preference, with or without a prompt, needs every field."""
+    if kind in (PREFERENCE_KIND, REWARD_KIND):
         keep = size0(kind.columns[0]) > 0
         for name in kind.columns[1:]:
             keep = keep & (size0(name) > 0)
@@ -76,7 +84,7 @@ def within_bounds(kind: Kind, low: int, high: int) -> Column:
     if kind is PREFERENCE_KIND:
         prompt, chosen, _ = kind.columns
         return size0(prompt).between(low, high) & size0(chosen).between(low, high)
-    if kind is TEXT_KIND:
+    if kind in (TEXT_KIND, REWARD_KIND):
         return size0(kind.columns[0]).between(low, high)
     return example_length(kind).between(low, 2 * high)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -27,21 +28,36 @@ def replicate(df: DataFrame, factor: int = 2) -> DataFrame:
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
 
 
-def changed_words(n: Column) -> Column:
-    """How many of ``n`` words to change."""
-    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.floor(n * SHARE))).cast("int")
+class Extent(NamedTuple):
+    """How many words of a text change: a share of them, within bounds; no upper bound with None."""
+
+    share: float = SHARE
+    least: int = LEAST
+    most: int | None = MOST
+
+    def of(self, n: Column) -> Column:
+        wanted = F.floor(n * self.share)
+        capped = wanted if self.most is None else F.least(F.lit(self.most), wanted)
+        return F.greatest(F.lit(self.least), capped).cast("int")
+
+    def number(self, n: int) -> int:
+        wanted = int(n * self.share)
+        return max(self.least, wanted if self.most is None else min(self.most, wanted))
 
 
 def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str = "synonym",
             lexicon: DataFrame | None = None, seed: int = SEED,
-            inline_limit: int = BROADCAST_ENTRIES) -> DataFrame:
+            inline_limit: int = BROADCAST_ENTRIES, share: float = SHARE, least: int = LEAST,
+            most: int | None = MOST) -> DataFrame:
     """Originals plus ``factor - 1`` changed copies, told apart by ``copy_no``.
 
     ``synonym`` and ``spelling`` replace words found in ``lexicon`` (word, replacement);
     ``random_word`` deletes words, keeping at least one. Which words change is a hash of
     (seed, key, copy, position). Texts, else instructions, are changed; copies of
-    preferences stay as they are.
+    preferences stay as they are. ``share`` of a text's words change, at least ``least`` and
+    at most ``most`` (None: no such bound).
     """
+    extent = Extent(share, least, most)
     column = {TEXT_KIND: "text", INSTRUCTION_KIND: "instruction"}.get(kind)
     copies = replicate(df, factor)
     if column is None:
@@ -49,24 +65,24 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
     salt = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy_no").cast("string"))
     changes = (F.col("copy_no") > 0) & F.col(column).isNotNull()
     if method == "random_word":
-        return copies.withColumn(column, F.when(changes, _without_words(F.col(column), salt)).otherwise(F.col(column)))
+        return copies.withColumn(column, F.when(changes, _without_words(F.col(column), salt, extent)).otherwise(F.col(column)))
     if lexicon is None:
         raise ValueError(f"{method} needs a lexicon of (word, replacement)")
     lexicon = lexicon.select("word", "replacement").where("word is not null and replacement is not null")
-    entries = small_table(lexicon, inline_limit)
+    entries = small_table(lexicon, inline_limit, F.octet_length("word") + F.octet_length("replacement"))
     if entries is not None:
-        replace = _replacer(df.sparkSession, entries)
+        replace = _replacer(df.sparkSession, entries, extent)
         changed = replace(F.when(changes, F.col(column)), salt)  # originals do not travel to Python
         return copies.withColumn(column, F.coalesce(changed, F.col(column)))
-    return _replace_by_join(copies, key, column, lexicon, seed).select(*copies.columns)
+    return _replace_by_join(copies, key, column, lexicon, seed, extent).select(*copies.columns)
 
 
-def _without_words(text: Column, salt: Column) -> Column:
+def _without_words(text: Column, salt: Column, extent: Extent) -> Column:
     def shorten(words: Column) -> Column:
         spots = F.transform(
             words, lambda _, i: F.struct(F.md5(F.concat_ws("-", salt, i.cast("string"))).alias("h"), i.alias("i"))
         )
-        n = F.least(changed_words(F.size(words)), F.size(words) - 1)
+        n = F.least(extent.of(F.size(words)), F.size(words) - 1)
         gone = F.transform(F.slice(F.sort_array(spots), F.lit(1), n), lambda s: s["i"])
         left = bind(gone, lambda g: F.filter(words, lambda _, i: ~F.array_contains(g, i)))
         return F.when(F.size(words) > 1, F.array_join(left, " ")).otherwise(text)
@@ -78,7 +94,7 @@ def _hash(*parts: object) -> str:
     return hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()
 
 
-def _replacer(spark: SparkSession, entries: list[Row]):
+def _replacer(spark: SparkSession, entries: list[Row], extent: Extent):
     options: dict[str, list[str]] = {}
     for word, replacement in entries:
         options.setdefault(word, []).append(replacement)
@@ -92,8 +108,7 @@ def _replacer(spark: SparkSession, entries: list[Row]):
         hits = [(_hash(salt, i), i) for i, w in enumerate(words) if w in known]
         if not hits:
             return text
-        n = max(LEAST, min(MOST, int(len(words) * SHARE)))
-        for h, i in heapq.nsmallest(n, hits):
+        for h, i in heapq.nsmallest(extent.number(len(words)), hits):
             words[i] = min(known[words[i]], key=lambda r: _hash(h, r))
         return " ".join(words)
 
@@ -103,18 +118,17 @@ def _replacer(spark: SparkSession, entries: list[Row]):
     return F.pandas_udf(change_all, "string")
 
 
-def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFrame, seed: int) -> DataFrame:
+def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFrame, seed: int, extent: Extent) -> DataFrame:
     """The same with a lexicon of any size: words join it, salted, and only the hits come back.
 
-    Hits are counted down to the few that change (at most ``MOST`` per copy) before
-    they meet their row again.
+    Hits are counted down to those that change before they meet their row again.
     """
     salt = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy_no").cast("string"))
     copies = materialise(copies.withColumn("_row", F.monotonically_increasing_id()), "copies")
-    words = copies.where("copy_no > 0").select(
-        "_row", salt.alias("_key"), changed_words(F.size(tokens(column))).alias("_most"),
-        F.posexplode_outer(tokens(column)).alias("pos", "word"),
-    )
+    # What stands beside a generator is computed per word: the text is left behind first.
+    split = copies.where("copy_no > 0").select("_row", salt.alias("_key"), tokens(column).alias("_words"))
+    words = split.select("_row", "_key", F.size("_words").alias("_size"), F.posexplode_outer("_words").alias("pos", "word"))
+    words = words.select("_row", "_key", extent.of(F.col("_size")).alias("_most"), "pos", "word")
     hits = (
         words.withColumn("h", F.md5(F.concat_ws("-", "_key", F.col("pos").cast("string"))))
         .withColumn("_salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(_SALTS)).cast("int"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -82,6 +85,35 @@ def best_cosines(pred, ref):
     return F.pandas_udf(_best, "pred array<double>, ref array<double>")(pred, ref)
 
 
+def token_vectors(df: DataFrame, key: str, load: Callable[[], Any], embed: Callable[[Any, str], list[list[float]]]) -> DataFrame:
+    """(pair_id, side, pos, vec) from (key, prediction, reference) by the caller's model, loaded on the workers.
+
+    ``embed(model, text)`` gives the vectors of a text's tokens in order; NULL and empty texts have none.
+    """
+    schema = f"pair_id {df.schema[key].dataType.simpleString()}, side string, pos int, vec array<double>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            for pair, pred, ref in zip(frame[key], frame["prediction"], frame["reference"]):
+                found = [
+                    (pair, side, pos, list(map(float, vec)))
+                    for side, text in (("pred", pred), ("ref", ref)) if text
+                    for pos, vec in enumerate(embed(model, text))
+                ]
+                if found:
+                    yield pd.DataFrame(found, columns=["pair_id", "side", "pos", "vec"])
+
+    return df.select(key, "prediction", "reference").mapInPandas(run, schema)
+
+
+def complete_matches(matches: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """``matches`` for all ``pairs``: 0 for a pair without any vector."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    every = pairs.select(F.col(key).alias("pair_id")).join(matches, "pair_id", "left")
+    return every.select("pair_id", *[zero(c) for c in ("p", "r", "f1")])
+
+
 def match_report(matches: DataFrame) -> DataFrame:
     """(metric, value): means to 4 places, 0 without any pair."""
     # The names results are reported under.

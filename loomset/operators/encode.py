@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomset.functions.text import tokens
+from loomset.operators.batching import with_ordinal
 from loomset.runtime import materialise, small_table
 
 # The last-resort end token, the unknown token, the id losses ignore, usual lengths.
@@ -28,8 +29,8 @@ def pad_token(eos: str | None = None, bos: str | None = None, unk: str | None =
 def build_vocab(df: DataFrame, *columns: str, size: int) -> DataFrame:
     """(token, id, n): the padding/end and unknown tokens, then the ``size`` most frequent words.
 
-    Counting combines map-side, so a hot word costs one row per task; only the
-    ``size`` winners are ranked together.
+    Counting combines map-side, so a hot word costs one row per task. Up to
+    ``BROADCAST_WORDS`` winners are ranked together, more by ranges of counts.
     """
     words = F.concat(*[tokens(c) for c in columns]) if len(columns) > 1 else tokens(columns[0])
     counts = (
@@ -39,9 +40,15 @@ def build_vocab(df: DataFrame, *columns: str, size: int) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     order = [F.desc("n"), F.asc("token")]
-    ranked = counts.orderBy(*order).limit(size).select(
-        "token", (F.row_number().over(Window.orderBy(*order)) + UNKNOWN_ID).cast("int").alias("id"), "n"
-    )
+    if size <= BROADCAST_WORDS:
+        ranked = counts.orderBy(*order).limit(size).select(
+            "token", (F.row_number().over(Window.orderBy(*order)) + UNKNOWN_ID).cast("int").alias("id"), "n"
+        )
+    else:
+        placed = with_ordinal(counts.withColumn("_rarity", -F.col("n")), "_rarity", "token", name="_rank")
+        ranked = placed.where(F.col("_rank") < size).select(
+            "token", (F.col("_rank") + UNKNOWN_ID + 1).cast("int").alias("id"), "n"
+        )
     specials = df.sparkSession.createDataFrame(
         [(END_TOKEN, PAD_ID, 0), (UNKNOWN_TOKEN, UNKNOWN_ID, 0)], "token string, id int, n long"
     )
@@ -52,10 +59,10 @@ def token_ids(df: DataFrame, key: str, columns: dict[str, str], vocab: DataFrame
               inline_limit: int = BROADCAST_WORDS) -> DataFrame:
     """Add an id array per ``{new column: text column}``, cut to ``max_length``.
 
-    A vocabulary within ``inline_limit`` rows (checked) travels to the workers and the
+    A vocabulary within ``inline_limit`` rows and a bound of bytes (both checked) travels to the workers and the
     rows never shuffle. A larger one is joined: see :func:`_ids_by_join`.
     """
-    entries = small_table(vocab.select("token", "id"), inline_limit)
+    entries = small_table(vocab.select("token", "id"), inline_limit, F.octet_length("token") + 4)
     if entries is not None:
         shared = df.sparkSession.sparkContext.broadcast(dict(entries))
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomset.schema import INSTRUCTION_KIND, Kind, PREFERENCE_KIND
+from loomset.schema import INSTRUCTION_KIND, Kind, PREFERENCE_KIND, REWARD_KIND
 
 
-# Labels of the formatted preview, the rule between examples, the note for no rows.
+# Labels of the formatted preview, the rule between examples.
 PREFERENCE_LABELS = ("**Prompt:** ", "\n**✅ Chosen:** ", "\n**❌ Rejected:** ")
+REWARD_LABELS = ("**✅ Chosen:** ", "\n**❌ Rejected:** ")
 INSTRUCTION_LABELS = ("**Instruction:** ", "\n**Output:** ")
 RULE = "\n\n---\n\n"
-EMPTY_STATUS = "⚠️ Dataset is empty after cleaning."
+
+EMPTY_STATUS = "Nothing left to show: no row has content."
 
 
 def preview(df: DataFrame, kind: Kind, order: str, n: int | None = None) -> DataFrame:
@@ -28,11 +30,13 @@ def preview_or_status(df: DataFrame, kind: Kind, order: str) -> DataFrame:
 
 def preview_formatted(df: DataFrame, kind: Kind, order: str) -> DataFrame:
     """(order, preview): labelled examples; 3 for preferences, 5 for the other kinds."""
-    labels = {PREFERENCE_KIND: PREFERENCE_LABELS, INSTRUCTION_KIND: INSTRUCTION_LABELS}.get(kind, ("",))
+    labels = {
+        PREFERENCE_KIND: PREFERENCE_LABELS, REWARD_KIND: REWARD_LABELS, INSTRUCTION_KIND: INSTRUCTION_LABELS
+    }.get(kind, ("",))
     shown = F.concat(
         *[F.concat(F.lit(label), F.coalesce(F.col(c), F.lit(""))) for label, c in zip(labels, kind.columns)]
     )
-    head = preview(df, kind, order, 3 if kind is PREFERENCE_KIND else 5)
+    head = preview(df, kind, order, 3 if kind in (PREFERENCE_KIND, REWARD_KIND) else 5)
     return head.select(order, shown.alias("preview"))
 
 

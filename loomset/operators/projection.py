@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from loomset.schema import (
-    CHOSEN, INSTRUCTION, INSTRUCTION_KIND, Kind, OUTPUT, PREFERENCE_KIND, PROMPT, REJECTED, TEXT,
+    CHOSEN, INSTRUCTION, INSTRUCTION_KIND, Kind, OUTPUT, PREFERENCE_KIND, PROMPT, REJECTED, REWARD_KIND, TEXT,
     TEXT_KIND,
 )
 
@@ -16,6 +16,14 @@ class SchemaError(ValueError):
     """The columns of a table fit no known kind."""
 
 
+class UnmappedColumns(SchemaError):
+    """No column has a name that implies a kind: some have to be mapped."""
+
+    def __init__(self, need: str, columns: list[str]):
+        super().__init__(f"need columns {need}; found {columns}; map them first")
+        self.columns = columns
+
+
 def build_mapping(first: str | None, second: str | None, third: str | None, preference: bool = False) -> dict[str, str]:
     """Column picks -> rename map.
 
@@ -35,9 +43,12 @@ def map_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def resolve_kind(columns: Iterable[str], preference: bool = False) -> Kind | None:
-    """The kind the column names imply; instruction pairs win over text; None if unmapped."""
+    """The kind the column names imply; None if unmapped.
+
+    Instruction pairs win over text. Preferences without a prompt are of the reward kind.
+    """
     have = set(columns)
-    order = (PREFERENCE_KIND,) if preference else (INSTRUCTION_KIND, TEXT_KIND)
+    order = (PREFERENCE_KIND, REWARD_KIND) if preference else (INSTRUCTION_KIND, TEXT_KIND)
     return next((k for k in order if have.issuperset(k.columns)), None)
 
 
@@ -45,8 +56,8 @@ def require_kind(columns: Iterable[str], preference: bool = False) -> Kind:
     columns = list(columns)
     kind = resolve_kind(columns, preference)
     if kind is None:
-        need = "prompt, chosen and rejected" if preference else "instruction and output, or text"
-        raise SchemaError(f"need columns {need}; found {columns}; map them first")
+        need = "chosen and rejected, and prompt unless for rewards," if preference else "instruction and output, or text"
+        raise UnmappedColumns(need, columns)
     return kind
 
 

@@ -19,6 +19,7 @@ BATCH_SIZE = 8
 PROMPT_TOKENS = 2048
 JUDGE_TOKENS = 1024
 
+_ASKED = "_asked"  # what the model gets to see of a prompt
 _resident: dict[Hashable, Any] = {}
 
 
@@ -33,9 +34,12 @@ def resident(key: Hashable, load: Callable[[], Any]) -> Any:
 
 def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, list[str]], list[str]],
                 model_key: Hashable | None = None, prompt: str = "prompt", response: str = "response",
-                batch_size: int = BATCH_SIZE) -> DataFrame:
+                batch_size: int = BATCH_SIZE, prompt_limit: int | None = PROMPT_TOKENS) -> DataFrame:
     """Add ``response`` and ``error``: ``score(model, prompts)`` on at most ``batch_size`` prompts at once.
 
+    The model gets prompts up to their token number ``prompt_limit``, and shorter ones, or all
+    with None, as they are; the ``prompt`` column itself is never cut.
+
     Workers keep the model for the tasks of this call, or of every call with the same ``model_key``.
     A batch that raises is scored again row by row, so only the failing rows carry an
     error and none is lost.
@@ -67,7 +71,7 @@ def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, li
 
         model = keep(model_key, load)
         for frame in frames:
-            texts = frame[prompt].tolist()
+            texts = frame.pop(_ASKED).tolist()
             scored = [
                 pair
                 for start in range(0, len(texts), batch_size)
@@ -75,14 +79,16 @@ def batch_score(df: DataFrame, load: Callable[[], Any], score: Callable[[Any, li
             ]
             yield frame.assign(**{response: [s for s, _ in scored], "error": [e for _, e in scored]})
 
-    return df.mapInPandas(run, schema)
+    asked = F.col(prompt) if prompt_limit is None else first_tokens(prompt, prompt_limit)
+    return df.withColumn(_ASKED, asked).mapInPandas(run, schema)
 
 
 def judge(df: DataFrame, key: str, load: Callable[[], Any], score: Callable[[Any, list[str]], list[str]],
-          criteria: tuple[str, ...] = JUDGE_CRITERIA, response: str = "response", **options) -> DataFrame:
+          criteria: tuple[str, ...] = JUDGE_CRITERIA, response: str = "response",
+          prompt_limit: int | None = JUDGE_TOKENS, **options) -> DataFrame:
     """(key, criterion, judgment, error): a judge model's stripped verdict per row and criterion."""
-    asked = judge_prompts(df, key, response=response, criteria=criteria).select(
-        key, "criterion", first_tokens("judge_prompt", JUDGE_TOKENS).alias("judge_prompt")
+    asked = judge_prompts(df, key, response=response, criteria=criteria).select(key, "criterion", "judge_prompt")
+    judged = batch_score(
+        asked, load, score, prompt="judge_prompt", response="judgment", prompt_limit=prompt_limit, **options
     )
-    judged = batch_score(asked, load, score, prompt="judge_prompt", response="judgment", **options)
     return judged.select(key, "criterion", strip("judgment").alias("judgment"), "error")

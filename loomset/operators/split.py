@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomset.runtime import materialise
+
 SEED = 42
 TEST_FRACTION = 0.1
 _DIGITS = 5  # hash digits per histogram bucket: at most 16 ** 5 buckets
@@ -25,9 +27,10 @@ def with_split(
     ``key`` must be unique; one row without a key counts as a key. Rows of equal keys stay
     together, so that repeated keys move the size by their number. The cut-off hash is found from a histogram over hash
     prefixes (map-side combined, at most 16**5 rows) and a ranking inside the single
-    bucket that holds it (about n / 16**5 rows), so rows themselves never shuffle.
+    bucket that holds it (about n / 16**5 rows), so rows themselves never shuffle. Hashes are
+    written once: ``df`` is evaluated for them and for the result.
     """
-    hashed = df.select(split_hash(F.col(key), seed).alias("h"), _spelled(F.col(key)).alias("k"))
+    hashed = materialise(df.select(split_hash(F.col(key), seed).alias("h"), _spelled(F.col(key)).alias("k")), "hashes")
     bucket = F.substring("h", 1, _DIGITS)
     counts = hashed.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     running = counts.select(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomset.functions import chat
-from loomset.functions.text import first_tokens
+from loomset.functions.text import first_tokens, tokens
 from loomset.operators import (
     augment, batching, chatting, clean, embedding, encode, losses, metrics, preview, projection,
     scoring, split, stats,
@@ -74,6 +74,14 @@ def src_csv(spark, sf):
     return readers.read_csv(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+@query
+def src_csv_by_name(spark, sf):
+    """Columns asked for in another order than the header has them."""
+    path = exports.csv_export(fx.conv_pairs(spark, sf))
+    rows = readers.read_csv(spark, path, "output", "row_id", "instruction")
+    return rows.withColumn("row_id", F.col("row_id").cast("long"))
+
+
 @query
 def src_jsonl(spark, sf):
     path = exports.jsonl_export(fx.conv_pairs(spark, sf))
@@ -193,6 +201,13 @@ for _i, _name in enumerate(("text", "instruction", "preference")):
 QUERIES["drop_empty_preference_compat"] = _kept(2, compat=True)
 
 
+@query
+def drop_empty_preference_gate_shut(spark, sf):
+    """No row lacks all fields, so that the older rule keeps those that lack some."""
+    some = fx.prefs_blanked(spark, sf).where("length(prompt) + length(chosen) + length(rejected) > 0")
+    return clean.drop_empty(some, PREFERENCE_KIND, compat=True).select("row_id")
+
+
 @query
 def over_length(spark, sf):
     count = clean.over_length_count(fx.documents(spark, sf), TEXT_KIND)
@@ -266,6 +281,13 @@ def split_sizes(spark, sf):
     return split.split_sizes(split.with_split(fx.documents(spark, sf), "doc_id"))
 
 
+@query
+def split_null_keys(spark, sf):
+    """One row without a key is a key like others."""
+    docs = fx.documents(spark, sf).withColumn("doc_id", F.expr("nullif(doc_id, 0)"))
+    return split.split_sizes(split.with_split(docs, "doc_id"))
+
+
 @query
 def batch_assign(spark, sf):
     return batching.assign_batches(fx.conv_pairs(spark, sf), "row_id").select("row_id", "batch_id")
@@ -303,7 +325,15 @@ def chat_render(spark, sf):
 @query
 def chat_render_conversation(spark, sf):
     turns = fx.table(spark, sf, "conversations")
-    return chatting.render_turns(turns, "turn", "role", "text", "llama3", "conv_id")
+    return chatting.render_turns(turns, "turn", "role", "text", list(chat.TEMPLATES), "conv_id")
+
+
+@query
+def chat_render_whole(spark, sf):
+    """Chats from their second turn on, so that some begin without a system turn and none with turn 0."""
+    turns = fx.table(spark, sf, "conversations").where("turn > 0 or conv_id % 2 = 0")
+    pieces = chatting.render_turns(turns, "turn", "role", "text", list(chat.TEMPLATES), "conv_id")
+    return chatting.whole_chats(pieces, "turn", "conv_id")
 
 
 @query
@@ -355,6 +385,21 @@ def encode_preference(spark, sf):
     return rows.select("row_id", *[_csv(c) for c in rows.columns if c != "row_id"])
 
 
+@query
+def encode_documents_joined(spark, sf):
+    """As ``encode_documents`` where the vocabulary is joined, as one of any size is."""
+    docs = fx.documents(spark, sf)
+    rows = encode.encode(docs, "doc_id", "text", _vocab(docs, "text"), inline_limit=0)
+    return rows.select("doc_id", _csv("input_ids"))
+
+
+@query
+def encode_preference_joined(spark, sf):
+    prefs = fx.conv_prefs(spark, sf)
+    rows = encode.encode_preference(prefs, "row_id", _vocab(prefs, "chosen", "rejected"), inline_limit=0)
+    return rows.select("row_id", *[_csv(c) for c in rows.columns if c != "row_id"])
+
+
 @query
 def truncate_tokens(spark, sf):
     return fx.heavy_documents(spark, sf).select("doc_id", first_tokens("text", encode.MAX_LENGTH).alias("text"))
@@ -385,6 +430,15 @@ def augment_synonym(spark, sf):
     return augment.augment(fx.heavy_documents(spark, sf), TEXT_KIND, "doc_id", 2, "synonym", lexicon)
 
 
+@query
+def augment_synonym_joined(spark, sf):
+    """As ``augment_synonym`` with all words of the documents as lexicon, joined as one of any size is."""
+    docs = fx.documents(spark, sf)
+    words = docs.select(F.explode_outer(tokens("text")).alias("word")).where("word is not null").distinct()
+    lexicon = words.withColumn("replacement", F.concat(F.lit("syn:"), "word"))
+    return augment.augment(docs, TEXT_KIND, "doc_id", 2, "synonym", lexicon, inline_limit=0)
+
+
 @query
 def augment_random_word(spark, sf):
     return augment.augment(fx.heavy_documents(spark, sf), TEXT_KIND, "doc_id", 2, "random_word")
@@ -501,6 +555,14 @@ def loss_log(spark, sf):
     return losses.loss_log(fx.train_logs(spark, sf))
 
 
+@query
+def loss_log_nan(spark, sf):
+    """Logs with NaN where a loss is absent."""
+    logs = fx.train_logs(spark, sf)
+    absent = {c: F.coalesce(c, F.lit(float("nan"))) for c in ("train_loss", "eval_loss")}
+    return losses.loss_log(logs.withColumns(absent))
+
+
 @query
 def loss_curve(spark, sf):
     return losses.loss_curve(fx.train_logs(spark, sf))
@@ -544,6 +606,24 @@ def dataset_card(spark, sf):
     return writers.dataset_card(fx.documents(spark, sf), TEXT_KIND)
 
 
+@query
+def card_issues(spark, sf):
+    """The written card of a cleaned table, with what cleaning took from the raw one."""
+    raw = fx.pairs_blanked(spark, sf)
+    path = scratch_path(spark, "card")
+    writers.write_card(clean.drop_empty(raw, INSTRUCTION_KIND), INSTRUCTION_KIND, path, raw)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def registry_load(spark, sf):
+    """A version's rows, found through its metadata."""
+    registry = writers.DatasetRegistry(spark, scratch_path(spark, "registry"))
+    for version, low in (("1.0", 0), ("2.0", 1000)):
+        registry.publish(clean.quality_filter(fx.documents(spark, sf), TEXT_KIND, low, 1 << 30), version, {"licence": "own"})
+    return registry.load("2.0").select("doc_id")
+
+
 @query
 def registry_publish(spark, sf):
     registry = writers.DatasetRegistry(spark, scratch_path(spark, "registry"))
@@ -578,6 +658,16 @@ def stream_loss_window(spark, sf):
     return _drained(streams.loss_windows(fx.as_train_logs(events)))
 
 
+@query
+def stream_loss_window_all(spark, sf):
+    """Bounded input drained to its end: open windows too."""
+    schema = fx.table(spark, sf, "events").schema
+    windows = streams.loss_windows(fx.as_train_logs(streams.stream_parquet(spark, sf, schema, "events.parquet")))
+    out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    streams.run_to_end(windows, out, state)
+    return spark.read.schema(windows.schema).parquet(out)
+
+
 def _drained(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomset.functions.text import tokens
 from loomset.runtime import balance
 
+TURN_BITS = 32
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,13 +26,19 @@ def heavy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance(documents(spark, sf_dir))
 
 
+def pair_id(conv_id: Column, turn: Column) -> Column:
+    """Conversation and turn in one number; an error if either does not fit its half."""
+    fits = conv_id.between(0, (1 << 63 - TURN_BITS) - 1) & turn.between(0, (1 << TURN_BITS) - 1)
+    return F.when(fits, F.shiftleft(conv_id, TURN_BITS) + turn).otherwise(F.raise_error(F.lit("conversation or turn out of range")))
+
+
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, instruction, output): each user turn answered by the assistant's next turn.
 
     Turns are numbered without gaps, so "next" is an equi-join that spreads even one
     very long conversation over all tasks.
     """
-    turns = balance(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations")
     asked = turns.where("role = 'user'").select(
         "conv_id", "turn", (F.col("turn") + 1).alias("next"), F.col("text").alias("instruction")
     )
@@ -38,14 +46,14 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.col("turn").alias("next"), F.col("text").alias("output")
     )
     return asked.join(answered, ["conv_id", "next"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "instruction", "output"
+        pair_id(F.col("conv_id"), F.col("turn")).alias("row_id"), "instruction", "output"
     )
 
 
 def conv_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, prompt, chosen, rejected): rejected is the next conversation's answer at the same turn, else the prompt."""
     pairs = conv_pairs(spark, sf_dir)
-    others = pairs.select((F.col("row_id") - 1000).alias("row_id"), F.col("output").alias("other"))
+    others = pairs.select((F.col("row_id") - (1 << TURN_BITS)).alias("row_id"), F.col("output").alias("other"))
     return pairs.join(others, "row_id", "left").select(
         "row_id",
         F.col("instruction").alias("prompt"),

@@ -16,6 +16,12 @@ def toks(c: str) -> str:
     )
 
 
+def upto(c: str, limit: int) -> str:
+    """``c`` up to the end of its token number ``limit``."""
+    spaced = "'[" + WS + "]*[^" + WS + "]+'"
+    return f"(CASE WHEN len({toks(c)}) <= {limit} THEN {c} ELSE array_to_string(regexp_extract_all({c}, {spaced})[1:{limit}], '') END)"
+
+
 def alnum(c: str) -> str:
     clean = f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' ')"
     return f"(CASE WHEN length({clean}) > 0 THEN string_split({clean}, ' ') ELSE []::VARCHAR[] END)"
@@ -24,14 +30,14 @@ def alnum(c: str) -> str:
 # name -> (needed CTEs, body)
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "conv_pairs": ((), """
-        SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS instruction, a.text AS output
+        SELECT u.conv_id * 4294967296 + u.turn AS row_id, u.text AS instruction, a.text AS output
         FROM conversations u JOIN conversations a
           ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
         WHERE u.role = 'user' AND a.role = 'assistant'"""),
     "conv_prefs": (("conv_pairs",), """
         SELECT p.row_id, p.instruction AS prompt, p.output AS chosen,
                coalesce(o.output, p.instruction) AS rejected
-        FROM conv_pairs p LEFT JOIN conv_pairs o ON o.row_id = p.row_id + 1000"""),
+        FROM conv_pairs p LEFT JOIN conv_pairs o ON o.row_id = p.row_id + 4294967296"""),
     "eval_kept": (("conv_pairs",), f"""
         SELECT row_id, instruction AS prompt, output AS reference,
                list_filter({toks('output')}, lambda w, i:
@@ -370,7 +376,85 @@ _EMBEDDING = {
     "m": "SELECT *, CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pr",
 }
 
+def _turn_sql(prefixes: dict[str, tuple[str, str]], begin="", end="", fold=False, strip=False) -> str:
+    """A turn's piece from ``n`` (place in the chat), ``size`` and the head's ``head_role`` and ``head_text``."""
+    content = "text"
+    if fold:
+        content = (
+            "CASE WHEN n = 2 AND head_role = 'system' AND role = 'user' "
+            "THEN head_text || chr(10) || chr(10) || text ELSE text END"
+        )
+    body = f"trim({content}, {WS_SQL})" if strip else f"({content})"
+    cases = " ".join(f"WHEN '{r}' THEN {_q(p)} || {body} || {_q(q)}" for r, (p, q) in prefixes.items())
+    piece = f"(CASE role {cases} ELSE {_q(prefixes['user'][0])} || {body} || {_q(prefixes['user'][1])} END)"
+    if fold:
+        piece = f"(CASE WHEN n = 1 AND size > 1 AND role = 'system' THEN '' ELSE {piece} END)"
+    return f"CASE WHEN n = 1 THEN {_q(begin)} ELSE '' END || {piece} || CASE WHEN n = size THEN {_q(end)} ELSE '' END"
+
+
+_ROLES = ("system", "user", "assistant")
+_FAMILIES: dict[str, dict] = {
+    "chatml": {"prefixes": {r: (f"<|im_start|>{r}\n", "<|im_end|>\n") for r in _ROLES}},
+    "llama3": {"prefixes": {r: _llama(r) for r in _ROLES}, "begin": "<|begin_of_text|>", "strip": True},
+    "mistral": {"prefixes": {"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>")}, "begin": "<s>", "fold": True},
+    "gemma": {
+        "prefixes": {"user": ("<start_of_turn>user\n", "<end_of_turn>\n"), "assistant": ("<start_of_turn>model\n", "<end_of_turn>\n")},
+        "begin": "<bos>", "fold": True, "strip": True,
+    },
+    "phi": {"prefixes": {r: (f"<|{r}|>\n", "<|end|>\n") for r in _ROLES}, "end": "<|endoftext|>"},
+}
+
+
+def _turns_sql(where: str) -> str:
+    pieces = ", ".join(f"{_turn_sql(**family)} AS {name}" for name, family in _FAMILIES.items())
+    return f"""
+        SELECT conv_id, turn, {pieces} FROM (
+            SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS size,
+                   first(role) OVER w AS head_role, first(text) OVER w AS head_text
+            FROM conversations WHERE {where} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t"""
+
+
 ORACLES: dict[str, str] = {
+    "chat_render_conversation": _turns_sql("true"),
+    "chat_render_whole": f"""
+        SELECT conv_id, {', '.join(f"string_agg({n}, '' ORDER BY turn) AS {n}" for n in _FAMILIES)}
+        FROM ({_turns_sql('turn > 0 OR conv_id % 2 = 0')}) t GROUP BY conv_id""",
+    "src_csv_by_name": with_ctes("SELECT output, row_id, instruction FROM conv_pairs", "conv_pairs"),
+    "drop_empty_preference_gate_shut": with_ctes(
+        "SELECT row_id FROM prefs_blanked WHERE length(prompt) + length(chosen) + length(rejected) > 0", "prefs_blanked"
+    ),
+    "split_null_keys": """
+        SELECT 'test' AS split, ceil(0.1::DOUBLE * count(*))::BIGINT AS n FROM documents
+        UNION ALL SELECT 'train', (count(*) - ceil(0.1::DOUBLE * count(*)))::BIGINT FROM documents""",
+    "loss_log_nan": with_ctes(
+        "SELECT run_id, step, round(train_loss, 4) AS train_loss, round(eval_loss, 4) AS eval_loss FROM train_logs WHERE train_loss IS NOT NULL",
+        "train_logs",
+    ),
+    "augment_synonym_joined": with_ctes(
+        """SELECT d.doc_id, d.text, 0 AS copy_no FROM documents d UNION ALL
+           SELECT d.doc_id, CASE WHEN o.found > 0 THEN o.changed ELSE d.text END, 1
+           FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id""",
+        **({"lex": f"SELECT DISTINCT token AS word, 'syn:' || token AS replacement FROM ({_DOC_WORDS}) t"}
+           | {k: v for k, v in _replaced("documents", "doc_id", "text", 2, "''").items() if k != "lex"}),
+    ),
+    "card_issues": with_ctes(
+        """SELECT '## Training Data' AS line UNION ALL SELECT '- Examples: ' || n FROM f
+           UNION ALL SELECT '- Average length: ' || round(mean, 0)::BIGINT || ' chars' FROM f
+           UNION ALL SELECT '- Shortest and longest: ' || lo || ' and ' || hi FROM f
+           UNION ALL SELECT '- Over 2048 chars: ' || over FROM f
+           UNION ALL SELECT '- Issue empty_removed: ' || empty FROM g WHERE empty > 0
+           UNION ALL SELECT '- Issue over_length: ' || over FROM g WHERE over > 0""",
+        "pairs_blanked",
+        sized="SELECT length(instruction) + length(output) AS n FROM pairs_blanked",
+        f="SELECT count(*) AS n, avg(n) AS mean, min(n) AS lo, max(n) AS hi, count(*) FILTER (n > 2048) AS over FROM sized WHERE n > 0",
+        g="SELECT count(*) FILTER (n = 0) AS empty, count(*) FILTER (n > 2048) AS over FROM sized",
+    ),
+    "registry_load": "SELECT doc_id FROM documents WHERE length(text) >= 1000",
+    "stream_loss_window_all": with_ctes(
+        """SELECT run_id, date_trunc('hour', ts) AS window_start, count(*)::BIGINT AS n, round(avg(train_loss), 4) AS train_loss
+           FROM train_logs WHERE train_loss IS NOT NULL GROUP BY run_id, date_trunc('hour', ts)""",
+        "train_logs",
+    ),
     "src_format_route": """
         SELECT doc_id, path, CASE
             WHEN lower(path) LIKE '%.csv' THEN 'csv' WHEN lower(path) LIKE '%.jsonl' THEN 'jsonl'
@@ -496,9 +580,6 @@ ORACLES: dict[str, str] = {
         + " AS phi FROM conv_pairs",
         "conv_pairs",
     ),
-    "chat_render_conversation": f"""
-        SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<|begin_of_text|>' ELSE '' END || '<|start_header_id|>' || role ||
-               '<|end_header_id|>' || chr(10) || chr(10) || trim(text, {WS_SQL}) || '<|eot_id|>' AS rendered FROM conversations""",
     "judge_prompts": with_ctes(
         """SELECT row_id, criterion, 'Evaluate the following response based on: ' || criterion || chr(10) || chr(10) ||
                'Prompt: ' || prompt || chr(10) || chr(10) || 'Response: ' || prediction || chr(10) || chr(10) ||
@@ -529,7 +610,7 @@ ORACLES: dict[str, str] = {
         "conv_prefs", **_vocab_ctes(_PREF_WORDS, 1000),
         a=_ids_cte("conv_prefs", "row_id", "chosen", 512), b=_ids_cte("conv_prefs", "row_id", "rejected", 512),
     ),
-    "truncate_tokens": f"SELECT doc_id, array_to_string({toks('text')}[1:256], ' ') AS text FROM documents",
+    "truncate_tokens": f"SELECT doc_id, {upto('text', 256)} AS text FROM documents",
     "augment_replicate": "SELECT doc_id, copy_no::INTEGER AS copy_no, text FROM documents, unnest(range(3)) c(copy_no)",
     "augment_report": "SELECT count(*)::BIGINT AS original, (3 * count(*))::BIGINT AS augmented FROM documents",
     "augment_synonym": with_ctes(
@@ -607,7 +688,7 @@ ORACLES: dict[str, str] = {
         "eval_pairs",
     ),
     "judge_run": with_ctes(
-        f"""SELECT row_id, criterion, (1 + length(array_to_string({toks('q')}[1:1024], ' ')) % 10) || ' of 10' AS judgment,
+        f"""SELECT row_id, criterion, (1 + length({upto('q', 1024)}) % 10) || ' of 10' AS judgment,
                   NULL::VARCHAR AS error FROM asked""",
         "eval_pairs",
         asked="""SELECT row_id, criterion, 'Evaluate the following response based on: ' || criterion || chr(10) || chr(10) ||
@@ -679,3 +760,5 @@ for _k, _t, _key, _len, _ in WHOLE:
     ORACLES[f"quality_{_k}"] = with_ctes(f"SELECT {_key} FROM {_t} WHERE {BOUNDS[_k]}", *[c for c in (_t,) if c in CTE])
 for _k, _t, _key, _, _keep in BLANKED:
     ORACLES[f"drop_empty_{_k}"] = with_ctes(f"SELECT {_key} FROM {_t} WHERE {_keep}", _t)
+for _k in ("encode_documents", "encode_preference"):
+    ORACLES[f"{_k}_joined"] = ORACLES[_k]

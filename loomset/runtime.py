@@ -8,9 +8,10 @@ import uuid
 import zipfile
 
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BROADCAST_BYTES = 32 << 20  # most that a small table may send to every worker
 _test_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -88,7 +89,14 @@ def balance(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def small_table(df: DataFrame, max_rows: int) -> list[Row] | None:
-    """The rows of ``df`` if there are at most ``max_rows``, else None; never fetches more than one beyond."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+def small_table(df: DataFrame, max_rows: int, size: Column, max_bytes: int = BROADCAST_BYTES) -> list[Row] | None:
+    """The rows of ``df`` if they are at most ``max_rows`` and their ``size`` at most ``max_bytes``, else None.
+
+    The first ``max_rows`` + 1 rows are written before they are measured, so that ``df`` is
+    computed once and nothing is fetched that is too large.
+    """
+    if max_rows <= 0:
+        return None
+    head = materialise(df.limit(max_rows + 1), "small")
+    rows, total = head.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return head.collect() if rows <= max_rows and total <= max_bytes else None

@@ -1,4 +1,4 @@
-"""Column vocabulary and the four table shapes every operator understands."""
+"""Column vocabulary and the table shapes every operator understands."""
 
 from __future__ import annotations
 
@@ -37,8 +37,9 @@ class Kind:
 
 
 PREFERENCE_KIND = Kind("preference", (PROMPT, CHOSEN, REJECTED), 5)
+REWARD_KIND = Kind("reward", (CHOSEN, REJECTED), 5)
 INSTRUCTION_KIND = Kind("instruction", (INSTRUCTION, OUTPUT), 5)
 TEXT_KIND = Kind("text", (TEXT,), 10)
-KINDS = {k.name: k for k in (PREFERENCE_KIND, INSTRUCTION_KIND, TEXT_KIND)}
+KINDS = {k.name: k for k in (PREFERENCE_KIND, REWARD_KIND, INSTRUCTION_KIND, TEXT_KIND)}
 
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"

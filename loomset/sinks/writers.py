@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,44 +61,61 @@ def write_card(df: DataFrame, kind: Kind, path: str, raw: DataFrame | None = Non
 
 
 class DatasetRegistry:
-    """Versioned datasets below one root: ``data/version=V`` and a metadata row named ``metadata_vV.json``."""
+    """Versioned datasets below one root: ``data/<folder>`` and a metadata row named ``metadata_vV.json``.
+
+    The metadata row names the folder. It is written last, so that a listed version is
+    complete and one whose writing was cut short can be published again.
+    """
 
     SCHEMA = (
         "base_model string, notes string, trained_with string, version string, uploaded_at string, "
-        "num_examples long, name string"
+        "num_examples long, folder string, extra map<string,string>, name string"
     )
+    _FIELDS = {"base_model": "unknown", "notes": "", "trained_with": ""}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
     def publish(self, df: DataFrame, version: str, metadata: dict[str, str] | None = None) -> DataFrame:
-        """Write the data, then append its metadata (so a listed version is complete); returns the row.
+        """Write the data, then append its metadata; returns the row.
 
-        A version that exists already is an error.
+        ``metadata`` beyond the known fields goes to the map ``extra``. A version that is listed
+        already is an error; of two writers at once both may succeed, and :meth:`load` then fails.
         """
         version = version.strip()
-        if not version:
-            raise ValueError("a version tag is required, such as 1.0")
-        target = f"{self.root}/data/version={version}"
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._+-]*", version):
+            raise ValueError(f"a version tag is letters, digits and . _ + -, such as 1.0; not {version!r}")
+        if not self._row(version).isEmpty():
+            raise ValueError(f"version {version} already exists")
+        folder = f"{version}-{uuid.uuid4().hex}"
+        target = f"{self.root}/data/{folder}"
         df.write.parquet(target)
-        fields = {"base_model": "unknown", "notes": "", "trained_with": ""} | (metadata or {})
+        given = metadata or {}
+        extra = [F.lit(x) for pair in given.items() if pair[0] not in self._FIELDS for x in pair]
         row = self.spark.read.schema(df.schema).parquet(target).agg(F.count("*").alias("num_examples")).select(
-            *[F.lit(v).alias(k) for k, v in fields.items()],
+            *[F.lit(given.get(k, v)).alias(k) for k, v in self._FIELDS.items()],
             F.lit(version).alias("version"),
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("uploaded_at"),
-            "num_examples",
+            "num_examples", F.lit(folder).alias("folder"),
+            F.create_map(*extra).cast("map<string,string>").alias("extra"),
             F.lit(f"metadata_v{version}.json").alias("name"),
         )
         row.coalesce(1).write.mode("append").partitionBy("name").json(f"{self.root}/metadata")
-        return self._metadata().where(F.col("version") == version)
+        return self._row(version)
 
     def list_versions(self) -> DataFrame:
         """(name, version, num_examples) in the order of the names as text; no rows if nothing is published."""
         return self._metadata().select("name", "version", "num_examples").orderBy("name")
 
     def load(self, version: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/data/version={version}")
+        found = self._row(version.strip()).select("folder").take(2)
+        if len(found) != 1:
+            raise ValueError(f"version {version} {'was published twice' if found else 'does not exist'}")
+        return self.spark.read.parquet(f"{self.root}/data/{found[0]['folder']}")
+
+    def _row(self, version: str) -> DataFrame:
+        return self._metadata().where(F.col("version") == version)
 
     def _metadata(self) -> DataFrame:
         try:

@@ -101,13 +101,16 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     return rows.select(F.monotonically_increasing_id().alias("row_id"), PROMPT)
 
 
-def read_eval(spark: SparkSession, path: str, *keep: str, fmt: str | None = None) -> DataFrame:
-    """(keep..., prompt, reference); a missing ``reference`` column reads as NULL."""
+def read_eval(spark: SparkSession, path: str, *keep: str, fmt: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., prompt, reference); a missing ``reference`` column reads as NULL.
+
+    With ``columns``, the fields of a JSON Lines file, it is read once; else a pass infers them.
+    """
     fmt = fmt or detect_format(path)
     if fmt == "csv":
         rows = read_csv(spark, path)
     elif fmt == "jsonl":
-        rows = read_jsonl(spark, path)
+        rows = read_jsonl(spark, path, *columns)
     else:
         raise UnsupportedFormat(f"evaluation data must be CSV or JSON Lines: {path}")
     if PROMPT not in rows.columns:
@@ -118,8 +121,11 @@ def read_eval(spark: SparkSession, path: str, *keep: str, fmt: str | None = None
 
 def read_examples(spark: SparkSession, path: str, mapping: dict[str, str] | None = None,
                   preference: bool = False, fmt: str | None = None, null_token: str | None = None,
-                  keep: tuple[str, ...] = ()) -> tuple[DataFrame, Kind]:
-    """Detect the format, read, map columns, resolve the kind, project to strings."""
+                  keep: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> tuple[DataFrame, Kind]:
+    """Detect the format, read, map columns, resolve the kind, project to strings.
+
+    With ``columns``, the fields of the file before mapping, JSON is read once; else a pass infers them.
+    """
     fmt = fmt or detect_format(path)
     readers = {
         "csv": read_csv, "jsonl": read_jsonl, "json": read_json_array, "txt": read_text_lines,
@@ -127,7 +133,8 @@ def read_examples(spark: SparkSession, path: str, mapping: dict[str, str] | None
     }
     if fmt not in readers:
         raise UnsupportedFormat(f"no Spark reader for {path}")
-    df = map_columns(readers[fmt](spark, path), mapping or {})
+    named = columns if fmt in ("csv", "jsonl", "json") else ()
+    df = map_columns(readers[fmt](spark, path, *named), mapping or {})
     kind = require_kind(df.columns, preference)
     return stringify(df, kind, *keep, null_token=null_token), kind
 

@@ -42,7 +42,9 @@ def clean_and_format(df: DataFrame, kind: Kind, *keep: str, template: str | None
 def loss_windows(records: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(run_id, window_start, n, train_loss): mean training loss per run and time window.
 
-    State is kept only until the watermark passes a window. The sums combine map-side,
+    State is kept only until the watermark passes a window, and an append sink gets a window
+    then: those still open stay out until later records close them. Bounded input may be
+    drained with :func:`run_to_end`, which writes these too. The sums combine map-side,
     so a run that logs most records still costs one row per task and window.
     """
     return (
@@ -61,3 +63,19 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def run_to_end(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything there is of bounded input and write all groups, open windows included.
+
+    Each batch replaces the Parquet at ``path`` by the whole result, so that all groups must be kept as state.
+    """
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = (
+        df.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
+        .outputMode("complete").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()

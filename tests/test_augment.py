@@ -62,3 +62,24 @@ def test_which_column_changes(rows, lexicon):
     prefs = rows([(1, "cat", "cat", "cat")], "id int, prompt string, chosen string, rejected string")
     out = augment.augment(prefs, PREFERENCE_KIND, "id", 2, "synonym", lexicon).collect()
     assert [tuple(r)[1:4] for r in out] == [("cat",) * 3] * 2
+
+
+def test_extent_of_changes(rows):
+    texts = rows([(1, " ".join(f"w{i}" for i in range(100)))], "id int, text string")
+    lexicon = rows([(f"w{i}", "new") for i in range(100)], "word string, replacement string")
+    for options, want in (({}, 10), ({"most": None}, 30), ({"share": 0.05}, 5), ({"share": 0.0, "least": 3}, 3)):
+        for inline in (1000, 0):
+            out = augment.augment(texts, TEXT_KIND, "id", 2, "synonym", lexicon, inline_limit=inline, **options)
+            assert out.where("copy_no = 1").first().text.split().count("new") == want
+        short = augment.augment(texts, TEXT_KIND, "id", 2, "random_word", **options).where("copy_no = 1").first()
+        assert len(short.text.split()) == 100 - want
+
+
+def test_small_tables_are_small_in_bytes_too(rows):
+    from pyspark.sql import functions as F
+    from loomset.runtime import small_table
+
+    table = rows([("x" * 50,), ("y",)], "word string")
+    assert len(small_table(table, 2, F.octet_length("word"))) == 2
+    assert small_table(table, 1, F.octet_length("word")) is None
+    assert small_table(table, 2, F.octet_length("word"), max_bytes=50) is None

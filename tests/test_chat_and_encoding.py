@@ -46,8 +46,30 @@ def test_turn_pieces_join_to_the_full_rendering(rows):
         pieces = chatting.render_turns(df, "turn", "role", "text", name, "c").orderBy("turn").collect()
         whole = rows([(turns,)], f"m {MESSAGES_TYPE}").select(chat.render(F.col("m"), name)).first()[0]
         assert "".join(p.rendered for p in pieces) == whole
-    with pytest.raises(ValueError):
-        chatting.render_turns(df, "turn", "role", "text", "gemma", "c")
+
+
+CHATS = {
+    1: [("system", "s"), ("user", " u "), ("assistant", "a"), ("user", "v")],
+    2: [("user", "u"), ("assistant", "a")],
+    3: [("system", "only")],
+    4: [("system", "s"), ("assistant", "a"), ("user", "u")],
+    5: [("system", "s"), ("system", "t"), ("user", "u")],
+    6: [("user", None), ("tool", "x")],
+    None: [("system", "n"), ("user", "u")],
+}
+
+
+def test_chats_of_every_family_equal_their_message_lists(rows):
+    data = [(c, 5 + 2 * i, r, t) for c, turns in CHATS.items() for i, (r, t) in enumerate(turns)]
+    df = rows(data, "c int, turn int, role string, text string")
+    lists = rows([(c, [(r, t or "") for r, t in turns]) for c, turns in CHATS.items()], f"c int, m {MESSAGES_TYPE}")
+    names = list(chat.TEMPLATES)
+    want = {r.c: r for r in lists.select("c", *[chat.render(F.col("m"), n).alias(n) for n in names]).collect()}
+    pieces = chatting.render_turns(df, "turn", "role", "text", names, "c")
+    assert pieces.count() == len(data)
+    got = {r.c: r for r in chatting.whole_chats(pieces, "turn", "c").collect()}
+    assert got == want
+    assert chatting.render_turns(df.limit(0), "turn", "role", "text", "gemma", "c").count() == 0
 
 
 def test_judge_prompts(rows):

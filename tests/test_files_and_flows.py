@@ -113,8 +113,22 @@ def test_registry(spark, rows, tmp_path):
     assert registry.load("1.10").count() == 2
     with pytest.raises(ValueError):
         registry.publish(data, " ")
-    with pytest.raises(Exception, match="(?i)already exists"):
+    with pytest.raises(ValueError, match="already exists"):
         registry.publish(data, "1.2")
+    for odd in ("../x", "a/b", ".."):
+        with pytest.raises(ValueError):
+            registry.publish(data, odd)
+    meta = registry.publish(data.limit(1), "2", {"licence": "own"}).first()
+    assert meta.extra == {"licence": "own"} and registry.load("2").count() == 1
+
+
+def test_registry_after_a_writer_that_died(spark, rows, tmp_path):
+    registry = writers.DatasetRegistry(spark, str(tmp_path / "reg"))
+    rows([("lost",)], "text string").write.parquet(f"{registry.root}/data/1.0-dead")
+    registry.publish(rows([("a",), ("b",)], "text string"), "1.0")
+    assert registry.load("1.0").count() == 2
+    with pytest.raises(ValueError, match="does not exist"):
+        registry.load("3")
 
 
 def test_inspect_and_prepare(spark, tmp_path):
@@ -144,6 +158,33 @@ def test_prepare_preferences(spark, rows, tmp_path):
     assert enc.count() == 10 and {len(r.input_ids_rejected) for r in enc.collect()} == {4}
 
 
+def test_mapping_needed(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "question,answer\nq,a\n")
+    assert flows.inspect(spark, path) == flows.MappingNeeded(["question", "answer"])
+    seen = flows.inspect(spark, path, mapping={"question": "instruction", "answer": "output"})
+    assert seen.kind is INSTRUCTION_KIND and seen.examples.count() == 1
+
+
+def test_rewards_without_prompts(spark, tmp_path):
+    path = write(tmp_path / "r.jsonl", '{"chosen": "good", "rejected": "bad"}\n{"chosen": "", "rejected": "bad"}\n')
+    seen = flows.inspect(spark, path, preference=True, columns=("chosen", "rejected"))
+    assert seen.kind.name == "reward" and seen.examples.count() == 1
+    flows.prepare_preferences(flows.with_row_id(seen.examples, "chosen"), "row_id", str(tmp_path / "out"), vocab_size=5, max_length=4)
+    assert spark.read.parquet(str(tmp_path / "out" / "examples")).first().input_ids_chosen == [3, 0, 0, 0]
+
+
+def test_prepare_with_filter_and_copies(spark, rows, tmp_path):
+    texts = rows([(i, f"word{i} some more words") for i in range(20)] + [(50, "tiny")], "id int, text string")
+    out = str(tmp_path / "out")
+    report = flows.prepare(
+        texts, TEXT_KIND, "id", out, 10, 8, lengths=(10, 100), augmenting={"factor": 3, "method": "random_word"}
+    )
+    assert tuple(report.first()) == (21, 1, 20)
+    got = spark.read.parquet(f"{out}/examples")
+    assert {r.split: r["count"] for r in got.groupBy("split").count().collect()} == {"test": 6, "train": 54}
+    assert got.groupBy("id").agg({"split": "max"}).count() == 20
+
+
 def test_preview_of_nothing(spark, tmp_path):
     seen = flows.inspect(spark, write(tmp_path / "a.csv", "text\n"))
     assert seen.preview("text").columns == ["Status"]
@@ -165,6 +206,10 @@ def test_answer_and_evaluate_files(spark, tmp_path):
     assert sorted((r.prompt, r.prediction, r.reference, r.judgment) for r in table.collect()) == [
         ("one", "ONE", "one", "7"), ("two", "TWO", "three", "7"),
     ]
+    embed = lambda model, text: [[1.0, 0.0] if w.lower() == "one" else [0.0, 1.0] for w in text.split()]
+    report, _ = flows.evaluate_file(spark, path, load, echo, embed_with=(load, embed))
+    values = {r.metric: r.value for r in report.collect()}
+    assert len(values) == 7 and values["BERTScore-F1"] == 1.0
     report, table = flows.evaluate_file(spark, write(tmp_path / "n.csv", "prompt\none\n"), load, echo)
     assert report is None and table.columns == ["row_id", "prompt", "prediction"]
 

@@ -44,3 +44,22 @@ def test_batches(spark, n, size):
 
 def test_reported_batches():
     assert [batching.reported_batches(n, 8) for n in (0, 7, 8, 17)] == [1, 1, 1, 2]
+
+
+def test_pair_numbers_of_very_long_chats(rows):
+    from loomset.plans.fixtures import pair_id
+
+    data = [(1, 999), (1, 1000), (1, 70_000), (2, 0), (2, 1)]
+    got = rows(data, "c long, t long").select(pair_id(F.col("c"), F.col("t")).alias("k"))
+    assert got.distinct().count() == 5
+    with pytest.raises(Exception, match="out of range"):
+        rows([(1, 1 << 40)], "c long, t long").select(pair_id(F.col("c"), F.col("t"))).collect()
+
+
+def test_vocabulary_ranked_by_ranges(rows, monkeypatch):
+    from loomset.operators import encode
+
+    texts = rows([(i, f"w{i % 7} w{i % 3} common") for i in range(50)], "id int, text string")
+    want = sorted(map(tuple, encode.build_vocab(texts, "text", size=5).collect()))
+    monkeypatch.setattr(encode, "BROADCAST_WORDS", 2)
+    assert sorted(map(tuple, encode.build_vocab(texts, "text", size=5).collect())) == want

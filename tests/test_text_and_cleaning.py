@@ -24,7 +24,9 @@ def test_alnum_text(rows):
 
 
 def test_first_tokens(rows):
-    assert rows([("a b  c d",)], "s string").select(first_tokens("s", 3)).first()[0] == "a b c"
+    texts = {"a b  c d": "a b  c", "a\n\nb  c": "a\n\nb  c", " \u00a0a\tb c d": " \u00a0a\tb c", "a b c ": "a b c ", "": ""}
+    got = rows([(t,) for t in texts], "s string").select("s", first_tokens("s", 3).alias("cut")).collect()
+    assert {r.s: r.cut for r in got} == texts
 
 
 def test_lengths_count_code_points_and_null_as_empty(rows):
