@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from loomset.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
 from loomset.functions.text import WS
 
+# Porter's suffixes of steps 2 to 4 with what replaces them, the words with stems of
+# their own; stated here again, so that a wrong entry in the stemmer cannot pass.
+_STEP_2_SQL = """ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous,
+    ization ize, ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble,
+    fulli ful, logi log"""
+_STEP_3_SQL = "icate ic, ative, alize al, iciti ic, ical ic, ful, ness"
+_STEP_4_SQL = "al, ance, ence, er, ic, able, ible, ant, ement, ment, ent, ion, ou, ism, ate, iti, ous, ive, ize"
+_IRREGULAR_SQL = """sky sky, skies sky, dying die, lying lie, tying tie, news news, innings inning, inning inning,
+    outings outing, outing outing, cannings canning, canning canning, howe howe, proceed proceed, exceed exceed,
+    succeed succeed"""
+
+
+def _listed(text: str) -> dict[str, str]:
+    words = [entry.split() for entry in text.split(",")]
+    return {w[0]: w[1] if len(w) > 1 else "" for w in words}
+
+
 WS_SQL = "'" + WS + "'"
 WS_RUN_SQL = "'[" + WS + "]+'"
 
@@ -316,16 +332,16 @@ def _stem_ctes(words: str) -> dict[str, str]:
         f"WHEN ends_with(w, '{x}') THEN CASE WHEN {_measure(len(x))} > 1"
         + (f" AND right({_base(3)}, 1) IN ('s', 't')" if x == "ion" else "")
         + f" THEN {_base(len(x))} ELSE w END"
-        for x in STEP_4
+        for x in _listed(_STEP_4_SQL)
     )
     steps = [
         f"""CASE WHEN ends_with(w, 'ies') THEN CASE WHEN length(w) = 4 THEN {_base(1)} ELSE {_base(2)} END
             WHEN ends_with(w, 'sses') THEN {_base(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_base(1)} ELSE w END""",
         _past_rule(),
         f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND s[length(w) - 1] = 'c' THEN {_base(1)} || 'i' ELSE w END",
-        _suffix_rules(STEP_2),
-        f"CASE WHEN was LIKE '%alli' AND w <> was THEN {_suffix_rules(STEP_2)} ELSE w END",
-        _suffix_rules(STEP_3),
+        _suffix_rules(_listed(_STEP_2_SQL)),
+        f"CASE WHEN was LIKE '%alli' AND w <> was THEN {_suffix_rules(_listed(_STEP_2_SQL))} ELSE w END",
+        _suffix_rules(_listed(_STEP_3_SQL)),
         f"CASE {residue} ELSE w END",
         f"""CASE WHEN ends_with(w, 'e') AND ({_measure(1)} > 1 OR ({_measure(1)} = 1 AND NOT {_short_end(1)})) THEN {_base(1)} ELSE w END""",
         f"CASE WHEN ends_with(w, 'll') AND {_measure(1)} > 1 THEN {_base(1)} ELSE w END",
@@ -337,7 +353,7 @@ def _stem_ctes(words: str) -> dict[str, str]:
     ctes = {"st0": f"SELECT t, t AS w, t AS was FROM (SELECT DISTINCT t FROM ({words}) a WHERE length(t) > 3) b"}
     for i, step in enumerate(steps):
         ctes[f"st{i + 1}"] = f"SELECT t, {step} AS w, w AS was FROM (SELECT *, {shape} AS s FROM st{i}) x"
-    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in IRREGULAR.items())
+    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _listed(_IRREGULAR_SQL).items())
     ctes["stems"] = f"SELECT t, CASE t {known} ELSE w END AS w FROM st{len(steps)}"
     return ctes
 
