@@ -124,8 +124,8 @@ def _bloom(patterns: DataFrame) -> bytes:
 def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
     """(content, pattern, form, start, end, others): what follows the patterns in each (content, text).
 
-    Identifier-like tokens come one by one; other words are counted in ``others`` per batch, and
-    what has a known form is left out: it is among the seeds.
+    Identifier-like tokens come one by one; of other words each different one comes once per batch,
+    with ``others`` 1, and what has a known form is left out: it is among the seeds.
     """
 
     def run(batches):
@@ -140,7 +140,7 @@ def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
 
         for batch in batches:
             rows = {n: [] for n in ("content", "pattern", "form", "start", "end", "others")}
-            others: dict[int, int] = {}
+            others: set[tuple[int, int]] = set()
             for contents, some in zip(slices(batch.column(0)), slices(batch.column(1))):
                 for content, text in zip(contents, some):
                     pairs = window_hashes(word_hashes(text), 2)[:-1]
@@ -153,7 +153,7 @@ def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
                         pattern = int(pairs[i].view(np.int64))
                         raw = words[i + 2]
                         if not _TELLING.search(raw):
-                            others[pattern] = others.get(pattern, 0) + 1
+                            others.add((pattern, form(raw.decode().strip(_EDGES))))
                             continue
                         places = places or [m.start() for m in _WORD.finditer(text)]
                         start = places[i + 2]
@@ -161,13 +161,13 @@ def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
                             continue  # a seed of the pattern
                         token = raw.decode().strip(_EDGES)
                         if len(token) > _LONGEST or not _IDENTIFIER.fullmatch(token):
-                            others[pattern] = others.get(pattern, 0) + 1
+                            others.add((pattern, form(token)))
                             continue
                         start += raw.decode().index(token)
                         for n, v in zip(rows, (content, pattern, form(token), start, start + len(token), 0)):
                             rows[n].append(v)
-            for pattern, n in others.items():
-                for name, v in zip(rows, ("", pattern, 0, 0, 0, n)):
+            for pattern, missed in sorted(others):
+                for name, v in zip(rows, ("", pattern, missed, 0, 0, 1)):
                     rows[name].append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["content"], pa.string()), *[pa.array(rows[n], pa.int64()) for n in list(rows)[1:]]], names=list(rows)
@@ -179,14 +179,14 @@ def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
 def _confident(extracted: DataFrame, seeds: DataFrame) -> DataFrame:
     """(pattern) with high confidence, after ``ROUNDS`` turns over the graph of patterns and instances.
 
-    A pattern's confidence is the mean score of all it extracts, ordinary words scoring 0, with
-    one more miss added; an instance's score is 1 for a seed, else the chance that one of its
+    A pattern's confidence is the mean score of all different forms it extracts, ordinary words
+    scoring 0, with one more miss added, so that copies and repeats on either side change nothing; an instance's score is 1 for a seed, else the chance that one of its
     patterns is right. Edges and counts are combined before each shuffle.
     """
     known = seeds.select("form").distinct().withColumn("seed", F.lit(True))
     links = extracted.where("others = 0").select("pattern", "form").union(seeds.select("pattern", "form")).distinct()
     links = materialise(links.join(known, "form", "left").withColumn("seed", F.coalesce("seed", F.lit(False))), "links")
-    misses = extracted.where("others > 0").groupBy("pattern").agg(F.sum("others").alias("misses"))
+    misses = extracted.where("others > 0").select("pattern", "form").distinct().groupBy("pattern").agg(F.count("*").alias("misses"))
     misses = materialise(misses, "misses")
     scored = links.withColumn("score", F.col("seed").cast("double"))
     for _ in range(ROUNDS):

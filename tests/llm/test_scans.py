@@ -143,6 +143,19 @@ def test_contexts_discover_what_has_no_form(rows):
     assert pd_.find(corpora.frame(rows, []), ["doc_id"]).count() == 0
 
 
+def test_copies_of_a_miss_change_no_confidence(rows):
+    data = bootstrap_documents() + corpora.documents(2, 20)
+    texts = {i: t for i, t, _ in data}
+    found = pd_.find(corpora.frame(rows, data), ["doc_id"]).collect()
+    s = next(s for r in found for s in r.spans if s.kind == 4 and r.doc_id == 100)
+    before = " ".join(texts[100][: s.start].split()[-2:])
+    more = [(5000 + i, f"{before} someone or other", "s") for i in range(3000)]
+    more += [(9000 + i, f"{before} someone, in text {i}", "s") for i in range(300)]
+    again = pd_.find(corpora.frame(rows, data + more), ["doc_id"]).collect()
+    contexts = lambda got: {(r.doc_id, s.start, s.end) for r in got for s in r.spans if s.kind == 4}
+    assert contexts(again) == contexts(found) and len(contexts(found)) == 4
+
+
 def test_masking_keeps_rows_and_columns(rows):
     data = bootstrap_documents() + corpora.documents(2, 20)
     docs = corpora.frame(rows, data)
