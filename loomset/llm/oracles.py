@@ -86,7 +86,35 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
+_SEARCH = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {term}) AS w FROM documents
+),
+iw AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {term})) AS term FROM benchmark
+),
+asked AS (SELECT item_id, term, count(*) AS k FROM iw GROUP BY ALL),
+counted AS (SELECT doc_id, len(w)::BIGINT AS n FROM dw WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM counted),
+held AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM dw) t SEMI JOIN asked USING (term) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * having + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS having FROM held GROUP BY term) h, whole
+),
+norms AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // words AS m FROM counted, whole),
+found AS (
+  SELECT item_id, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN norms USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM found WHERE score > 0) f
+WHERE place <= 20
+""".replace("{term}", r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'")
+
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": _SEARCH.strip(),
     "op1_secret_ledger": _secrets(),
     "op2_url_filter": _URL.format(
         rules=", ".join(f"({', '.join(map(_quoted, r))})" for r in url_filter.RULES), default=url_filter.DEFAULT

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomset.llm import (
-    chaining, fingerprints, mixing, near_dups, packing, personal_data, quality_rules, secret_ledger, token_cache, url_filter,
+    chaining, fingerprints, lexical_search, mixing, near_dups, packing, personal_data, pu_quality, quality_rules, secret_ledger,
+    token_cache, turn_repair, url_filter,
 )
 from loomset.llm.common import text_of
 
@@ -85,10 +86,23 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "host_rate")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_ledger, op2_url_filter, op3_near_duplicates, op4_token_cache, op5_source_mixing,
         op6_personal_data, op7_repeated_passages, op8_fingerprints, op9_best_fit_packing, op10_host_quality,
+        op11_lexical_search, op12_turn_repair, op13_pu_quality,
     )
 }
