@@ -100,8 +100,8 @@ held AS (
   SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM dw) t SEMI JOIN asked USING (term) GROUP BY ALL
 ),
 weights AS (
-  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * having + 1)::DOUBLE))::BIGINT AS weight
-  FROM (SELECT term, count(*) AS having FROM held GROUP BY term) h, whole
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * n_docs + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS n_docs FROM held GROUP BY term) h, whole
 ),
 norms AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // words AS m FROM counted, whole),
 found AS (
