@@ -2,8 +2,8 @@
 
 The roles of a conversation should read ``(s?(ua)+)?``: an optional system turn, then user and
 assistant in turn. A conversation's rows are aligned with the grammar's string of each feasible
-length, inside Ukkonen bands that the cheapest alignment so far sets, and of equally cheap ones the
-least audit (edits in order, as letters) wins.
+length, which all end alike and share a table, inside Ukkonen bands; the audits (edits in order, as
+letters) of the equally cheap lengths are traced back and the least one wins.
 
 A long conversation is cut into blocks of rows. A block is aligned for every state of the grammar
 it may be entered and left in; costs are composed over the blocks, backwards, and one pass forwards
@@ -31,9 +31,10 @@ STOPS = ".!?"
 FAULTS = ("blank", "duplicate", "truncated")
 _BLANK = "\x20\x09-\x0D"
 
-LONG_ROWS, LONG_BYTES = 2000, 8 << 20  # a conversation beyond either is repaired in blocks
-BLOCK = 32  # rows of a block
-CACHED = 50_000  # alignments a worker remembers
+LONG_ROWS, LONG_BYTES = 1000, 8 << 20  # a conversation beyond either is repaired in blocks
+BLOCK = 64  # rows of a block
+SHORT, CACHED = 16, 50_000  # a worker remembers so many alignments of so few rows
+_NEVER = 1 << 60
 
 # Grammar states: nothing yet, after a system, a user, an assistant turn. What may follow: letter -> state.
 BEGIN, SYSTEM, USER, ASSISTANT = "0sua"
@@ -44,95 +45,106 @@ FINAL = (BEGIN, ASSISTANT)
 Row = tuple[str, bool, bool]  # the role's initial, whether the row has to go, whether it is truncated
 
 
-def targets(state: str, end: str, most: int) -> Iterator[str]:
-    """The strings, of at most ``most`` letters, that lead from ``state`` to ``end``."""
-    if state == end:
-        yield ""
-    starts = [""]
-    if state == BEGIN:
-        starts.append("s")
-        if end == SYSTEM:
-            yield "s"
-    if end not in (USER, ASSISTANT):
-        return
-    pair = "au" if state == USER else "ua"
-    for lead in starts:
-        for n in range(1, most - len(lead) + 1):
-            body = (pair * (n // 2 + 1))[:n]
-            if body[-1] == end:
-                yield lead + body
-
-
-def align(rows: tuple[Row, ...], target: str, limit: int, open_end: bool) -> tuple[int, str] | None:
-    """The least cost of turning ``rows`` into ``target`` and the least audit of that cost; None if above ``limit``.
-
-    Without ``open_end`` nothing is inserted after the last row. Only cells are filled whose diagonal
-    can be reached and left within ``limit``.
+def suffix_costs(rows: tuple[Row, ...], end: str, limit: int, open_end: bool) -> list[list[int]]:
+    """[i][j]: the least cost of turning the rows from ``i`` on into the last ``j`` letters of ``...uaua`` up to ``end``.
+
+    The strings of all lengths have these ends in common, so that one table serves them all. Filled
+    is the band of cells whose difference in length alone costs no more than ``limit``; costs above
+    it are ``_NEVER``. Without ``open_end`` nothing is inserted after the last row.
     """
-    n, m = len(rows), len(target)
+    n, behind, ahead = len(rows), limit // DELETE, limit // INSERT
+    width = n + ahead + 1
+    below = [INSERT * j if j <= ahead and (open_end or j == 0) else _NEVER for j in range(width)]
+    table = [below]
+    for i in range(n - 1, -1, -1):
+        initial, gone, truncated = rows[i]
+        extra = _NEVER if gone else TRUNCATED if truncated else 0
+        other = USER if end == ASSISTANT else ASSISTANT
+        prices = (extra + (REROLE if initial != other else 0), extra + (REROLE if initial != end else 0))
+        here, last = [_NEVER] * width, _NEVER
+        low = max(0, n - i - behind)
+        for j in range(low, n - i + ahead + 1):
+            cost = min(below[j] + DELETE, last + INSERT, below[j - 1] + prices[j & 1] if j else _NEVER)
+            here[j] = last = cost if cost <= limit else _NEVER
+        table.append(here)
+        below = here
+    table.reverse()
+    return table
+
+
+def _backtrace(rows: tuple[Row, ...], end: str, table: list[list[int]], i: int, j: int) -> str:
+    """The least of the audits that cost ``table[i][j]``: a letter leads to one cell, so the least fitting one goes first."""
+    audit, n = [], len(rows)
+    while i < n or j:
+        cost = table[i][j]
+        if i < n and table[i + 1][j] + DELETE == cost:
+            audit.append("D")
+            i += 1
+        elif j and table[i][j - 1] + INSERT == cost:
+            audit.append("I")
+            j -= 1
+        else:
+            letter = end if j % 2 else USER if end == ASSISTANT else ASSISTANT
+            audit.append("K" if rows[i][0] == letter else "R")
+            i, j = i + 1, j - 1
+    return "".join(audit)
+
+
+def align(rows: tuple[Row, ...], state: str, end: str, limit: int, open_end: bool) -> tuple[int, str] | None:
+    """The least (cost, audit) from ``state`` to ``end`` over the strings of all lengths; None if above ``limit``."""
+    n = len(rows)
+    deleted = DELETE * n
+    systems = [i for i, (initial, gone, _) in enumerate(rows) if initial == SYSTEM and not gone] if state == BEGIN else []
+    extra = lambda i: TRUNCATED if rows[i][2] else 0
+    if end in (BEGIN, SYSTEM):
+        if state == end:
+            return (deleted, "D" * n) if deleted <= limit else None
+        # The last of equally cheap rows has the least audit.
+        kept = min(((deleted - DELETE + extra(i), -i) for i in systems), default=None)
+        return (kept[0], "D" * -kept[1] + "K" + "D" * (n - 1 + kept[1])) if kept and kept[0] <= limit else None
+    table = suffix_costs(rows, end, limit, open_end)
+    lengths = lambda first: range(1 if first == end else 2, len(table[0]), 2)
+    whole = [*([0] if state == end else []), *lengths(ASSISTANT if state == USER else USER)]
+    best = min(
+        min((table[0][j] for j in whole), default=_NEVER),
+        min((DELETE * i + extra(i) + table[i + 1][j] for i in systems for j in lengths(USER)), default=_NEVER),
+    )
+    if best > limit:
+        return None
+    audits = [_backtrace(rows, end, table, 0, j) for j in whole if table[0][j] == best]
+    for i in reversed(systems):
+        led = [j for j in lengths(USER) if DELETE * i + extra(i) + table[i + 1][j] == best]
+        if led:  # an earlier row kept leaves a greater audit
+            audits += ["D" * i + "K" + _backtrace(rows, end, table, i + 1, j) for j in led]
+            break
+    return best, min(audits)
 
-    def bound(i: int, j: int) -> int:
-        before, after = i - j, (n - i) - (m - j)
-        return (DELETE * before if before > 0 else -INSERT * before) + (DELETE * after if after > 0 else -INSERT * after)
 
-    if bound(0, 0) > limit:
-        return None
-    rest: list[dict[int, int]] = [{} for _ in range(n + 1)]  # cost from row i and letter j to the end
-    low, high = -(limit // INSERT), limit // DELETE  # the band of i - j
-    for i in range(n, -1, -1):
-        here, below = rest[i], rest[i + 1] if i < n else {}
-        for j in range(min(m, i - low), max(0, i - high) - 1, -1):
-            if bound(i, j) > limit:
-                continue
-            if i == n and j == m:
-                here[j] = 0
-                continue
-            costs = [c for _, c, _, _ in _moves(rows, target, i, j, open_end, here, below)]
-            if costs:
-                here[j] = min(costs)
-    if rest[0].get(0, limit + 1) > limit:
-        return None
-    audit, i, j = [], 0, 0
-    while i < n or j < m:
-        best = rest[i][j]
-        letter, _, i, j = next(move for move in _moves(rows, target, i, j, open_end, rest[i], rest[i + 1] if i < n else {}) if move[1] == best)
-        audit.append(letter)
-    return rest[0][0], "".join(audit)
-
-
-def _moves(rows: tuple[Row, ...], target: str, i: int, j: int, open_end: bool, here: dict[int, int], below: dict[int, int]):
-    """(letter, cost to the end, i, j) of the edits at row ``i`` and letter ``j``, by letter."""
-    n, m = len(rows), len(target)
-    if i < n and j in below:
-        yield "D", DELETE + below[j], i + 1, j
-    if j < m:
-        if target[j] != SYSTEM and (i < n or open_end) and j + 1 in here:
-            yield "I", INSERT + here[j + 1], i, j + 1
-        if i < n and j + 1 in below and not rows[i][1]:
-            cost = below[j + 1] + (TRUNCATED if rows[i][2] else 0)
-            if rows[i][0] == target[j]:
-                yield "K", cost, i + 1, j + 1
-            elif target[j] != SYSTEM:
-                yield "R", cost + REROLE, i + 1, j + 1
-
-
-@lru_cache(CACHED)
 def best_between(rows: tuple[Row, ...], state: str, end: str, open_end: bool) -> tuple[int, str] | None:
-    """The least (cost, audit) from ``state`` to ``end`` over all lengths, nearest ones first; None if there is no way."""
-    standing = sum(not gone for _, gone, _ in rows)
-    ways = sorted(targets(state, end, 2 * len(rows) + 4), key=lambda t: abs(len(t) - standing))
-    best, limit = None, DELETE * len(rows) + INSERT * (len(rows) + 4) + (REROLE + TRUNCATED) * len(rows)
-    for target in ways:
-        found = align(rows, target, limit, open_end)
-        if found is not None and (best is None or found < best):
-            best, limit = found, found[0]
-    return best
-
-
-@lru_cache(CACHED)
+    """The least (cost, audit) from ``state`` to ``end``; None if there is no way.
+
+    The band starts from what the rows that have to go, and a few edits, cost, and is widened until
+    an alignment within it is found.
+    """
+    most = DELETE * len(rows) + 2 * INSERT  # all deleted, and a pair inserted
+    limit = DELETE * sum(gone for _, gone, _ in rows) + 4 * INSERT
+    while True:
+        found = align(rows, state, end, min(limit, most), open_end)
+        if found is not None or limit >= most:
+            return found
+        limit *= 2
+
+
+def _whole(rows: tuple[Row, ...]) -> tuple[int, str]:
+    return min(found for end in FINAL if (found := best_between(rows, BEGIN, end, True)) is not None)
+
+
+_remembered = lru_cache(CACHED)(_whole)
+
+
 def best_audit(rows: tuple[Row, ...]) -> tuple[int, str]:
     """The least (cost, audit) of a whole conversation."""
-    return min(found for end in FINAL if (found := best_between(rows, BEGIN, end, True)) is not None)
+    return _remembered(rows) if len(rows) <= SHORT else _whole(rows)
 
 
 def leaves(rows: Iterable[Row], audit: str, state: str = BEGIN) -> Iterator[tuple[int | None, str | None, str]]:

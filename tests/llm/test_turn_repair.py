@@ -129,12 +129,21 @@ def test_bands_drop_no_cheapest_alignment():
     rng = random.Random(8)
     for _ in range(100):
         rows = tuple((rng.choice("sua"), rng.random() < 0.3, False) for _ in range(rng.randrange(1, 9)))
-        for target in ("", "ua", "uaua", "sua", "suaua"):
-            wide = tr.align(rows, target, 10_000, True)
-            if wide is None:
-                continue
-            assert tr.align(rows, target, wide[0], True) == wide
-            assert tr.align(rows, target, wide[0] - 1, True) is None
+        for state in tr.STATES:
+            for end in tr.STATES:
+                for open_end in (False, True):
+                    wide = tr.align(rows, state, end, 10_000, open_end)
+                    assert tr.best_between(rows, state, end, open_end) == wide
+                    if wide is not None:
+                        assert tr.align(rows, state, end, wide[0], open_end) == wide
+                        assert wide[0] == 0 or tr.align(rows, state, end, wide[0] - 1, open_end) is None
+
+
+def test_alignments_of_hundreds_of_rows():
+    rng = random.Random(9)
+    for n in (100, 400):
+        rows = tuple((rng.choice(["s", "u", "a"]) if rng.random() < 0.3 else "ua"[i % 2], rng.random() < 0.1, False) for i in range(n))
+        assert tr.best_audit(rows) == cheapest(rows)
 
 
 def test_long_conversations_go_in_blocks_to_the_same_result(rows):
