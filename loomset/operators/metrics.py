@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomset.functions.overlap import clipped_counts, match_counts
 from loomset.functions.stem import stemmed_words
+from loomset.runtime import spread
 from loomset.functions.text import alnum_text, tokens
 
 # BLEU orders with equal weights, the smoothing constant.
@@ -60,11 +61,12 @@ def f_measure(common: Column, pred: Column, ref: Column) -> Column:
 
 def score_rows(df: DataFrame, key: str, bleu: bool = True, rouge_n: bool = True, rouge_l: bool = True,
                stem: bool = True) -> DataFrame:
-    """(key, bleu, rouge1, rouge2, rougeL as asked), row by row without a shuffle.
+    """(key, bleu, rouge1, rouge2, rougeL as asked), row by row.
 
-    Tasks count matches; the scores are column expressions over the counts.
+    Tasks count matches; the scores are column expressions over the counts. Counting costs far more
+    per byte than reading, so that rows are dealt out over all shuffle partitions first.
     """
-    rows = df.select(key, "prediction", "reference")
+    rows = spread(df.select(key, "prediction", "reference"), key)
     if bleu:
         rows = rows.withColumn("_b", match_counts(F.col("prediction"), F.col("reference"), len(ORDERS)))
     if rouge_n or rouge_l:

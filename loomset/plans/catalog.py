@@ -10,21 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomset.functions import chat
 from loomset.functions.text import first_tokens, tokens
 from loomset.operators import (
-    augment, batching, chatting, clean, embedding, encode, losses, metrics, preview, projection,
+    answers, augment, batching, chatting, clean, embedding, encode, losses, metrics, preview, projection,
     scoring, split, stats,
 )
 from loomset.plans import exports, fixtures as fx
 from loomset.runtime import scratch_path
 from loomset.schema import INSTRUCTION_KIND, Kind, PREFERENCE_KIND, TEXT_KIND
 from loomset.sinks import writers
-from loomset.sources import formats, readers
-from loomset.streaming import streams
+from loomset.sources import formats, ranges, readers
+from loomset.streaming import stopping, streams, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 VOCAB_SIZE = 1000
-LEXICON_SIZE = 200
 VERSIONS = ("1.0", "1.10", "1.2")
 
 
@@ -82,6 +81,20 @@ def src_csv_by_name(spark, sf):
     return rows.withColumn("row_id", F.col("row_id").cast("long"))
 
 
+@query
+def src_csv_ranges(spark, sf):
+    """Files cut into ranges of bytes, quoted line breaks and all."""
+    path = exports.csv_export(fx.documents(spark, sf))
+    return ranges.read_csv_ranges(spark, path, "text", "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query
+def src_json_array_ranges(spark, sf):
+    path = exports.json_array_export(fx.conv_prefs(spark, sf))
+    rows = ranges.read_json_array_ranges(spark, path, "row_id", "prompt", "chosen", "rejected")
+    return rows.withColumn("row_id", F.col("row_id").cast("long"))
+
+
 @query
 def src_jsonl(spark, sf):
     path = exports.jsonl_export(fx.conv_pairs(spark, sf))
@@ -125,6 +138,18 @@ def src_eval(spark, sf):
     return got.withColumn("row_id", F.col("row_id").cast("long"))
 
 
+@query
+def src_eval_mixed(spark, sf):
+    """Files whose headers have the columns in different orders, and one of them one column more."""
+    rows = fx.eval_pairs(spark, sf).select("row_id", "prompt", "reference", "prediction")
+    folder = scratch_path(spark, "mixed")
+    first = F.length("prompt") < F.length("reference")
+    writers.write_csv(rows.where(first).select("reference", "row_id", "prompt"), f"{folder}/one")
+    writers.write_csv(rows.where(~first).select("row_id", "prediction", "prompt", "reference"), f"{folder}/two")
+    got = readers.read_eval(spark, f"{folder}/*", "row_id", fmt="csv", ranges=True)
+    return got.withColumn("row_id", F.col("row_id").cast("long"))
+
+
 # --- projection
 
 
@@ -330,8 +355,7 @@ def chat_render_conversation(spark, sf):
 
 @query
 def chat_render_whole(spark, sf):
-    """Chats from their second turn on, so that some begin without a system turn and none with turn 0."""
-    turns = fx.table(spark, sf, "conversations").where("turn > 0 or conv_id % 2 = 0")
+    turns = fx.table(spark, sf, "conversations")
     pieces = chatting.render_turns(turns, "turn", "role", "text", list(chat.TEMPLATES), "conv_id")
     return chatting.whole_chats(pieces, "turn", "conv_id")
 
@@ -409,9 +433,9 @@ def truncate_tokens(spark, sf):
 
 
 def _lexicon(spark, sf, change) -> DataFrame:
-    """The most frequent words of the documents with a made-up replacement each."""
-    words = encode.build_vocab(fx.heavy_documents(spark, sf), "text", size=LEXICON_SIZE).where("n > 0")
-    return words.select(F.col("token").alias("word"), change(F.col("token")).alias("replacement"))
+    """All words of the documents with a made-up replacement each."""
+    words = fx.heavy_documents(spark, sf).select(F.explode_outer(tokens("text")).alias("word")).where("word is not null").distinct()
+    return words.withColumn("replacement", change(F.col("word")))
 
 
 @query
@@ -432,10 +456,9 @@ def augment_synonym(spark, sf):
 
 @query
 def augment_synonym_joined(spark, sf):
-    """As ``augment_synonym`` with all words of the documents as lexicon, joined as one of any size is."""
+    """As ``augment_synonym`` where the lexicon is joined, as one of any size is."""
     docs = fx.documents(spark, sf)
-    words = docs.select(F.explode_outer(tokens("text")).alias("word")).where("word is not null").distinct()
-    lexicon = words.withColumn("replacement", F.concat(F.lit("syn:"), "word"))
+    lexicon = _lexicon(spark, sf, lambda w: F.concat(F.lit("syn:"), w))
     return augment.augment(docs, TEXT_KIND, "doc_id", 2, "synonym", lexicon, inline_limit=0)
 
 
@@ -541,6 +564,16 @@ def batch_score_errors(spark, sf):
     return scoring.batch_score(prompts, _load_stub, _score_fussy)
 
 
+@query
+def batch_score_resumed(spark, sf):
+    """Short prompts are scored first, then all, of which the store has the short ones."""
+    prompts = fx.eval_pairs(spark, sf).select("row_id", "prompt")
+    store = scratch_path(spark, "answers")
+    score = lambda rows: answers.resumed_score(rows, store, _load_stub, _score_stub, "stub", {"temperature": 0})
+    score(prompts.where("length(prompt) < 400"))
+    return score(prompts)
+
+
 @query
 def judge_run(spark, sf):
     rows = fx.eval_pairs(spark, sf)
@@ -578,6 +611,13 @@ def early_stop_step(spark, sf):
     return losses.early_stop_step(fx.train_logs(spark, sf))
 
 
+@query
+def early_stop_nan(spark, sf):
+    """Logs with NaN where a loss is absent."""
+    logs = fx.train_logs(spark, sf)
+    return losses.early_stop_step(logs.withColumn("eval_loss", F.coalesce("eval_loss", F.lit(float("nan")))))
+
+
 @query
 def best_step(spark, sf):
     return losses.best_step(fx.train_logs(spark, sf))
@@ -641,6 +681,17 @@ def registry_list(spark, sf):
     return registry.list_versions()
 
 
+@query
+def registry_replay(spark, sf):
+    """A version that is withdrawn and published anew, and one that is withdrawn for good."""
+    registry = writers.DatasetRegistry(spark, scratch_path(spark, "registry"))
+    for version, table in (("1.0", "documents"), ("2.0", "documents")):
+        registry.publish(fx.table(spark, sf, table), version)
+        registry.withdraw(version)
+    registry.publish(fx.conv_pairs(spark, sf), "1.0")
+    return registry.list_versions()
+
+
 # --- streams
 
 
@@ -668,6 +719,41 @@ def stream_loss_window_all(spark, sf):
     return spark.read.schema(windows.schema).parquet(out)
 
 
+@query
+def stream_loss_nan(spark, sf):
+    """Logs with NaN where a loss is absent."""
+    events = streams.stream_parquet(spark, sf, fx.table(spark, sf, "events").schema, "events.parquet")
+    logs = fx.as_train_logs(events)
+    return _drained(streams.loss_windows(logs.withColumn("train_loss", F.coalesce("train_loss", F.lit(float("nan"))))))
+
+
+@query
+def stream_loss_upsert(spark, sf):
+    """Every record twice, and every batch of windows put in place twice."""
+    logs = fx.train_logs(spark, sf)
+    folder = scratch_path(spark, "logs")
+    logs.unionByName(logs).write.parquet(folder)
+    chart = streams.loss_chart(streams.stream_parquet(spark, folder, logs.schema))
+    table = upserts.UpsertTable(spark, scratch_path(spark, "chart"), chart.schema, ["run_id", "window_start"], "day")
+
+    class Replayed:
+        def upsert(self, batch, number):
+            table.upsert(batch, number)
+            table.upsert(batch, number)
+
+    upserts.run_upserts(chart, Replayed(), scratch_path(spark, "stream-state"))
+    return table.read().drop("day")
+
+
+@query
+def stream_early_stop(spark, sf):
+    logs = fx.train_logs(spark, sf)
+    folder = scratch_path(spark, "logs")
+    logs.write.parquet(folder)
+    stopping.closing(logs).write.mode("append").parquet(folder)
+    return _drained(stopping.early_stops(streams.stream_parquet(spark, folder, logs.schema)))
+
+
 def _drained(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")

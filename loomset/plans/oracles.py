@@ -206,7 +206,7 @@ _PREF_WORDS = f"SELECT unnest(list_concat({toks('chosen')}, {toks('rejected')}))
 def _replaced(table: str, key: str, column: str, copies: int, replacement: str) -> dict[str, str]:
     """CTEs up to ``out`` (key, copy_no, new text or NULL) with lexicon words replaced by hash order."""
     return {
-        "lex": f"SELECT token AS word, {replacement} AS replacement FROM vocab WHERE n > 0",
+        "lex": f"SELECT DISTINCT token AS word, {replacement} AS replacement FROM ({_DOC_WORDS}) t",
         "copies": f"SELECT {key}, copy_no, {toks(column)} AS w FROM {table}, unnest(range(1, {copies})) c(copy_no)",
         "spots": f"SELECT {key}, copy_no, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM copies",
         "hits": f"""
@@ -434,7 +434,7 @@ ORACLES: dict[str, str] = {
     "chat_render_conversation": _turns_sql("true"),
     "chat_render_whole": f"""
         SELECT conv_id, {', '.join(f"string_agg({n}, '' ORDER BY turn) AS {n}" for n in _FAMILIES)}
-        FROM ({_turns_sql('turn > 0 OR conv_id % 2 = 0')}) t GROUP BY conv_id""",
+        FROM ({_turns_sql('true')}) t GROUP BY conv_id""",
     "src_csv_by_name": with_ctes("SELECT output, row_id, instruction FROM conv_pairs", "conv_pairs"),
     "drop_empty_preference_gate_shut": with_ctes(
         "SELECT row_id FROM prefs_blanked WHERE length(prompt) + length(chosen) + length(rejected) > 0", "prefs_blanked"
@@ -450,8 +450,7 @@ ORACLES: dict[str, str] = {
         """SELECT d.doc_id, d.text, 0 AS copy_no FROM documents d UNION ALL
            SELECT d.doc_id, CASE WHEN o.found > 0 THEN o.changed ELSE d.text END, 1
            FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id""",
-        **({"lex": f"SELECT DISTINCT token AS word, 'syn:' || token AS replacement FROM ({_DOC_WORDS}) t"}
-           | {k: v for k, v in _replaced("documents", "doc_id", "text", 2, "''").items() if k != "lex"}),
+        **_replaced("documents", "doc_id", "text", 2, "'syn:' || token"),
     ),
     "card_issues": with_ctes(
         """SELECT '## Training Data' AS line UNION ALL SELECT '- Examples: ' || n FROM f
@@ -629,12 +628,6 @@ ORACLES: dict[str, str] = {
     "truncate_tokens": f"SELECT doc_id, {upto('text', 256)} AS text FROM documents",
     "augment_replicate": "SELECT doc_id, copy_no::INTEGER AS copy_no, text FROM documents, unnest(range(3)) c(copy_no)",
     "augment_report": "SELECT count(*)::BIGINT AS original, (3 * count(*))::BIGINT AS augmented FROM documents",
-    "augment_synonym": with_ctes(
-        """SELECT d.doc_id, d.text, 0 AS copy_no FROM documents d UNION ALL
-           SELECT d.doc_id, CASE WHEN o.found > 0 THEN o.changed ELSE d.text END, 1
-           FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id""",
-        **_vocab_ctes(_DOC_WORDS, 200), **_replaced("documents", "doc_id", "text", 2, "'syn:' || token"),
-    ),
     "augment_random_word": with_ctes(
         """SELECT doc_id, text, 0 AS copy_no FROM documents UNION ALL
            SELECT d.doc_id, CASE WHEN k.size > 1 THEN k.changed ELSE d.text END, 1
@@ -651,7 +644,7 @@ ORACLES: dict[str, str] = {
            SELECT p.row_id, CASE WHEN o.found > 0 THEN o.changed ELSE p.instruction END, p.output, c.copy_no::INTEGER
            FROM conv_pairs p CROSS JOIN unnest([1, 2]) c(copy_no)
            LEFT JOIN out o ON o.row_id = p.row_id AND o.copy_no = c.copy_no""",
-        "conv_pairs", **_vocab_ctes(_DOC_WORDS, 200), **_replaced("conv_pairs", "row_id", "instruction", 3, "reverse(token)"),
+        "conv_pairs", **_replaced("conv_pairs", "row_id", "instruction", 3, "reverse(token)"),
     ),
     "ngram_overlap": with_ctes(
         " UNION ALL ".join(
@@ -776,5 +769,14 @@ for _k, _t, _key, _len, _ in WHOLE:
     ORACLES[f"quality_{_k}"] = with_ctes(f"SELECT {_key} FROM {_t} WHERE {BOUNDS[_k]}", *[c for c in (_t,) if c in CTE])
 for _k, _t, _key, _, _keep in BLANKED:
     ORACLES[f"drop_empty_{_k}"] = with_ctes(f"SELECT {_key} FROM {_t} WHERE {_keep}", _t)
+for _k, _same in (
+    ("src_csv_ranges", "src_csv"), ("src_json_array_ranges", "src_json_array"), ("src_eval_mixed", "src_eval"),
+    ("batch_score_resumed", "batch_score"), ("early_stop_nan", "early_stop_step"), ("stream_early_stop", "early_stop_step"),
+    ("stream_loss_nan", "stream_loss_window"), ("stream_loss_upsert", "stream_loss_window_all"), ("augment_synonym", "augment_synonym_joined"),
+):
+    ORACLES[_k] = ORACLES[_same]
+ORACLES["registry_replay"] = with_ctes(
+    "SELECT 'metadata_v1.0.json' AS name, '1.0' AS version, count(*)::BIGINT AS num_examples FROM conv_pairs", "conv_pairs"
+)
 for _k in ("encode_documents", "encode_preference"):
     ORACLES[f"{_k}_joined"] = ORACLES[_k]

@@ -8,6 +8,7 @@ from loomset.functions.text import strip
 from loomset.operators.projection import SchemaError, map_columns, require_kind, resolve_prompt, stringify
 from loomset.schema import Kind, PROMPT, REFERENCE, TEXT
 from loomset.sources.formats import UnsupportedFormat, detect_format
+from loomset.sources.ranges import read_csv_ranges, read_json_array_ranges
 
 
 def string_schema(*columns: str) -> T.StructType:
@@ -20,16 +21,16 @@ def read_csv(spark: SparkSession, path: str, *columns: str, multi_line: bool = T
     ``columns`` are picked by their names in the header, in whatever order it has them. All files
     of a folder need the same header: one that differs is an error, not a mix of columns.
 
-    Quoted line breaks keep a file from being split: write large data as many files, or
-    pass ``multi_line=False`` for files without them.
+    Quoted line breaks keep a file from being split: write large data as many files, pass
+    ``multi_line=False`` for files without them, or use :func:`loomset.sources.ranges.read_csv_ranges`,
+    which also takes each file by its own header.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    if not columns:
-        return reader.csv(path)
     header = reader.csv(path).columns
     if missing := [c for c in columns if c not in header]:
         raise SchemaError(f"{path}: no column {', '.join(missing)} in the header {', '.join(header)}")
-    return reader.option("enforceSchema", False).schema(string_schema(*header)).csv(path).select(*columns)
+    rows = reader.option("enforceSchema", False).schema(string_schema(*header)).csv(path)
+    return rows.select(*columns) if columns else rows
 
 
 def read_jsonl(spark: SparkSession, path: str, *columns: str, strict: bool = True) -> DataFrame:
@@ -85,13 +86,14 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return split_paragraphs(files.select(F.col("_metadata.file_path").alias("path"), "value"), "value", "path")
 
 
-def read_prompts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, ranges: bool = False) -> DataFrame:
     """(row_id, prompt) from a CSV with a ``prompt`` column, else from the lines of the file.
 
     ``row_id`` is the file's own column if it has one, else unique and rising inside each file split.
+    With ``ranges`` large CSV files are read by many tasks, and each by its own header.
     """
     if (fmt or detect_format(path)) == "csv":
-        rows = read_csv(spark, path)
+        rows = read_csv_ranges(spark, path) if ranges else read_csv(spark, path)
         if PROMPT not in rows.columns:
             raise SchemaError(f"CSV needs a prompt column; found {rows.columns}")
     else:
@@ -101,14 +103,16 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     return rows.select(F.monotonically_increasing_id().alias("row_id"), PROMPT)
 
 
-def read_eval(spark: SparkSession, path: str, *keep: str, fmt: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+def read_eval(spark: SparkSession, path: str, *keep: str, fmt: str | None = None, columns: tuple[str, ...] = (),
+              ranges: bool = False) -> DataFrame:
     """(keep..., prompt, reference); a missing ``reference`` column reads as NULL.
 
     With ``columns``, the fields of a JSON Lines file, it is read once; else a pass infers them.
+    With ``ranges`` large CSV files are read by many tasks, and each by its own header.
     """
     fmt = fmt or detect_format(path)
     if fmt == "csv":
-        rows = read_csv(spark, path)
+        rows = read_csv_ranges(spark, path) if ranges else read_csv(spark, path)
     elif fmt == "jsonl":
         rows = read_jsonl(spark, path, *columns)
     else:
@@ -121,16 +125,19 @@ def read_eval(spark: SparkSession, path: str, *keep: str, fmt: str | None = None
 
 def read_examples(spark: SparkSession, path: str, mapping: dict[str, str] | None = None,
                   preference: bool = False, fmt: str | None = None, null_token: str | None = None,
-                  keep: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> tuple[DataFrame, Kind]:
+                  keep: tuple[str, ...] = (), columns: tuple[str, ...] = (), ranges: bool = False) -> tuple[DataFrame, Kind]:
     """Detect the format, read, map columns, resolve the kind, project to strings.
 
     With ``columns``, the fields of the file before mapping, JSON is read once; else a pass infers them.
+    With ``ranges`` large CSV files and JSON arrays are read by many tasks, CSV files each by its own header.
     """
     fmt = fmt or detect_format(path)
     readers = {
         "csv": read_csv, "jsonl": read_jsonl, "json": read_json_array, "txt": read_text_lines,
         "paragraphs": read_paragraphs,
     }
+    if ranges:
+        readers |= {"csv": read_csv_ranges, "json": read_json_array_ranges}
     if fmt not in readers:
         raise UnsupportedFormat(f"no Spark reader for {path}")
     named = columns if fmt in ("csv", "jsonl", "json") else ()

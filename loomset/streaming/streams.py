@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from loomset.functions.chat import format_example
 from loomset.functions.text import strip
 from loomset.operators.clean import drop_empty, quality_filter
+from loomset.operators.losses import present
 from loomset.schema import Kind, QUALITY_MAX, QUALITY_MIN, TEXT
 from loomset.sources.readers import string_schema
 
@@ -48,7 +49,7 @@ def loss_windows(records: DataFrame, width: str = "1 hour", late: str = "10 minu
     so a run that logs most records still costs one row per task and window.
     """
     return (
-        records.where(F.col("train_loss").isNotNull())
+        present(records).where(F.col("train_loss").isNotNull())
         .withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "run_id")
         .agg(F.count("*").alias("n"), F.round(F.avg("train_loss"), 4).alias("train_loss"))
@@ -56,6 +57,18 @@ def loss_windows(records: DataFrame, width: str = "1 hour", late: str = "10 minu
     )
 
 
+def loss_chart(records: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(day, run_id, window_start, n, train_loss): the windows of :func:`loss_windows` as they change.
+
+    For update mode and an :class:`loomset.streaming.upserts.UpsertTable`. A step that is logged again within ``late`` counts once.
+    """
+    once = present(records).where(F.col("train_loss").isNotNull()).withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "step"])
+    windows = once.groupBy(F.window("ts", width).alias("w"), "run_id").agg(
+        F.count("*").alias("n"), F.round(F.avg("train_loss"), 4).alias("train_loss")
+    )
+    return windows.select(F.to_date("w.start").alias("day"), "run_id", F.col("w.start").alias("window_start"), "n", "train_loss")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything there is, append it to Parquet at ``path``, and stop."""
     query = (
