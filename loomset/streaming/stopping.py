@@ -101,8 +101,8 @@ def early_stops(records: DataFrame, patience: int = PATIENCE, late: str = "10 mi
     return stops.where(F.lit(patience > 0))
 
 
-def closing(records: DataFrame, after: str = "9999-01-01") -> DataFrame:
-    """One record, shaped as ``records``, that moves the watermark behind all others and says nothing else."""
+def closing(records: DataFrame, after: str = "2200-01-01") -> DataFrame:
+    """One record, shaped as ``records``, of a time behind all others, that moves the watermark and says nothing else."""
     spark = records.sparkSession
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema if f.name != "ts"]
     return spark.range(1).select(*empty, F.lit(after).cast("timestamp").alias("ts")).select(*records.columns)
