@@ -51,7 +51,8 @@ def early_stop_step(records: DataFrame, patience: int = PATIENCE, block: int = S
     """(run_id, stop_step): the first evaluation at which the loss had failed to improve
     ``patience`` times in a row. Runs that never stop, so all with ``patience`` 0, have no row.
 
-    (run_id, step) is unique; an absent loss, NULL or NaN, is no evaluation. Runs are scanned in blocks of ``block`` steps, each a
+    (run_id, step) is unique; an absent loss, NULL or NaN, is no evaluation, and a
+    record without a run is of none. Runs are scanned in blocks of ``block`` steps, each a
     window partition of its own; what earlier blocks pass on (best loss, evaluation
     count, last improvement) is carried over one summary row per block, so a run of any
     length spreads over the cluster.

@@ -32,7 +32,9 @@ class _Stopping(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", "steps array<bigint>, losses array<double>, times array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [r for frame in rows for r in zip(frame["step"].tolist(), frame["eval_loss"].tolist(), frame["ms"].tolist()) if r[1] == r[1]]
+        columns = ("step", "eval_loss", "ms")
+        # Whole numbers beside a NULL come as fractions.
+        new = [(int(s), x, int(t)) for frame in rows for s, x, t in zip(*(frame[c].tolist() for c in columns)) if x == x]
         if new and not (self.progress.exists() and self.progress.get()[2]):
             earlier = self._waiting()
             self._wait(earlier + new)
@@ -61,7 +63,7 @@ class _Stopping(StatefulProcessor):
         if rest:
             self.handle.registerTimer(min(t for _, _, t in rest))
         if stop is not None:
-            yield pd.DataFrame({"run_id": [key[0]], "stop_step": [stop]})
+            yield pd.DataFrame({"run": [key[0]], "stop_step": [stop]})
 
     def _waiting(self) -> list[tuple[int, float, int]]:
         return list(zip(*(list(c) for c in self.waiting.get()))) if self.waiting.exists() else []
@@ -87,18 +89,18 @@ def early_stops(records: DataFrame, patience: int = PATIENCE, late: str = "10 mi
 
     Records may come up to ``late`` behind the newest ``ts``, within which those of a run are put in
     order of their steps; steps and times of a run rise together. Runs whose watermark has not passed are
-    open: a record without losses of a later time (:func:`closing`) ends bounded input. With ``patience`` 0 no run stops.
+    open: a record without losses of a later time (:func:`closing`) ends bounded input. Records without a run stop nothing; with ``patience`` 0 no run stops.
     """
     use_state_store(records.sparkSession)
+    # As text and never NULL: pandas turns whole numbers beside a NULL into other keys.
+    run = F.when(F.col("run_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("run_id").cast("string")))
     # Records without a run stay in, as those that close a log move the watermark.
     evals = present(records).where(F.col("eval_loss").isNotNull() | F.col("run_id").isNull()).withWatermark("ts", late).select(
-        "run_id", "step", F.col("eval_loss").cast("double").alias("eval_loss"), "ts", F.unix_millis("ts").alias("ms")
+        run.alias("run"), "step", F.col("eval_loss").cast("double").alias("eval_loss"), "ts", F.unix_millis("ts").alias("ms")
     )
-    run_type = records.schema["run_id"].dataType.simpleString()
-    stops = evals.groupBy("run_id").transformWithStateInPandas(
-        _Stopping(patience), f"run_id {run_type}, stop_step bigint", "Append", "EventTime"
-    )
-    return stops.where(F.lit(patience > 0))
+    stops = evals.groupBy("run").transformWithStateInPandas(_Stopping(patience), "run string, stop_step bigint", "Append", "EventTime")
+    run_id = F.substring("run", 2, 1 << 30).cast(records.schema["run_id"].dataType)
+    return stops.where(F.lit(patience > 0) & (F.col("run") != "-")).select(run_id.alias("run_id"), "stop_step")
 
 
 def closing(records: DataFrame, after: str = "2200-01-01") -> DataFrame:

@@ -24,11 +24,11 @@ def slices(spark, folder, parts, schema=LOGS):
                 os.utime(path, (1e6 + i, 1e6 + i))
 
 
-def logs(seed, n=400):
+def logs(seed, n=1200):
     rng = random.Random(seed)
     rows = []
     for step in range(n):
-        run = rng.randrange(6)
+        run = rng.choice([None, *range(30)])
         loss = rng.choice([None, math.nan, rng.random(), 5 - step / n, 1.0])
         rows.append((run, step, rng.random(), loss, START + timedelta(minutes=step)))
     return rows
@@ -48,7 +48,7 @@ def test_stops_on_a_stream_are_those_of_the_table(spark, rows, patience):
     late = sorted(data, key=lambda r: (r[1] // 5, -r[1]))  # steps come up to four minutes late
     folder = scratch_path(spark, "logs")
     closing = [tuple(r) for r in stopping.closing(rows(data, LOGS)).collect()]
-    slices(spark, folder, [late[:150], late[150:300], late[300:], closing])
+    slices(spark, folder, [late[:400], late[400:900], late[900:], closing])
     stream = spark.readStream.schema(LOGS).option("maxFilesPerTrigger", 1).parquet(folder)
     got = [tuple(r) for r in drained(spark, stopping.early_stops(stream, patience), "stops").collect()]
     assert len(got) == len(set(got)) and set(got) == want
