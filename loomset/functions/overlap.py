@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -54,8 +55,43 @@ def clipped_counts(df: DataFrame, key: str, features: dict[str, tuple[str, str,
     )
 
 
+#: A word operation covers so many bits; a match costs about so many of them.
+_WORD_BITS, _MATCH_COST = 64, 64
+_FEW_BITS = 4096  # shorter texts always go by bits
+
+
 def lcs_length(a, b) -> int:
-    """Longest common subsequence length, a bit per element of ``a`` (Hyyro, 2004)."""
+    """Longest common subsequence length, by bits or, where elements rarely match, by matches."""
+    if len(a) > _FEW_BITS:
+        count = Counter(a)
+        matches = sum(count[t] for t in b)
+        if matches * _MATCH_COST < len(a) * len(b) // _WORD_BITS:
+            return lcs_by_matches(a, b)
+    return lcs_by_bits(a, b)
+
+
+def lcs_by_matches(a, b) -> int:
+    """The same from the positions that match alone (Hunt and Szymanski, 1977).
+
+    ``ends[k]`` is the least position of ``a`` at which a common subsequence of k + 1 elements ends;
+    the positions of one element are taken from the last, so that each is used once.
+    """
+    where: dict[str, list[int]] = {}
+    for i in range(len(a) - 1, -1, -1):
+        where.setdefault(a[i], []).append(i)
+    ends: list[int] = []
+    for t in b:
+        for i in where.get(t, ()):
+            k = bisect_left(ends, i)
+            if k == len(ends):
+                ends.append(i)
+            else:
+                ends[k] = i
+    return len(ends)
+
+
+def lcs_by_bits(a, b) -> int:
+    """The same with a bit per element of ``a`` (Hyyro, 2004)."""
     where: dict[str, int] = {}
     for i, t in enumerate(a):
         where[t] = where.get(t, 0) | (1 << i)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterable
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
@@ -56,6 +58,10 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
     (seed, key, copy, position). Texts, else instructions, are changed; copies of
     preferences stay as they are. ``share`` of a text's words change, at least ``least`` and
     at most ``most`` (None: no such bound).
+
+    Entries may have several words. A text is then cut into matches from the left, the longest one first
+    at each place, and each match changes as one word would, by the position of its first one. Such
+    a lexicon has to be small enough for the workers; one of single words may have any size.
     """
     extent = Extent(share, least, most)
     column = {TEXT_KIND: "text", INSTRUCTION_KIND: "instruction"}.get(kind)
@@ -70,8 +76,11 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
         raise ValueError(f"{method} needs a lexicon of (word, replacement)")
     lexicon = lexicon.select("word", "replacement").where("word is not null and replacement is not null")
     entries = small_table(lexicon, inline_limit, F.octet_length("word") + F.octet_length("replacement"))
+    if entries is None and not lexicon.where(F.size(tokens("word")) > 1).isEmpty():
+        raise ValueError("a lexicon with entries of several words must fit the workers")
     if entries is not None:
-        replace = _replacer(df.sparkSession, entries, extent)
+        phrases = any(len(e["word"].split()) > 1 for e in entries)
+        replace = (_phrase_replacer if phrases else _replacer)(df.sparkSession, entries, extent)
         changed = replace(F.when(changes, F.col(column)), salt)  # originals do not travel to Python
         return copies.withColumn(column, F.coalesce(changed, F.col(column)))
     return _replace_by_join(copies, key, column, lexicon, seed, extent).select(*copies.columns)
@@ -118,6 +127,61 @@ def _replacer(spark: SparkSession, entries: list[Row], extent: Extent):
     return F.pandas_udf(change_all, "string")
 
 
+def phrase_automaton(phrases: Iterable[tuple[str, ...]], number: dict[str, int]) -> ahocorasick.Automaton:
+    """An automaton over the numbers of words, which finds all places of all phrases in one pass."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for phrase in phrases:
+        found.add_word(tuple(number[w] for w in phrase), phrase)
+    found.make_automaton()
+    return found
+
+
+def phrase_matches(words: list[str], number: dict[str, int], automaton: ahocorasick.Automaton) -> list[tuple[int, tuple[str, ...]]]:
+    """(first position, phrase) of the matches from the left, the longest one at each place.
+
+    ``number`` has no 0, which stands for words of no phrase.
+    """
+    longest: dict[int, tuple[str, ...]] = {}
+    for end, phrase in automaton.iter(tuple(number.get(w, 0) for w in words)):
+        start = end - len(phrase) + 1
+        if len(phrase) > len(longest.get(start, ())):
+            longest[start] = phrase
+    out, free = [], 0
+    for start in sorted(longest):
+        if start >= free:
+            out.append((start, longest[start]))
+            free = start + len(longest[start])
+    return out
+
+
+def _phrase_replacer(spark: SparkSession, entries: list[Row], extent: Extent):
+    options: dict[tuple[str, ...], list[str]] = {}
+    for phrase, replacement in entries:
+        if words := tuple(phrase.split()):
+            options.setdefault(words, []).append(replacement)
+    shared = spark.sparkContext.broadcast(options)
+    built: list[tuple[dict[str, int], ahocorasick.Automaton]] = []
+
+    def change(text: str | None, salt: str) -> str | None:
+        if text is None:
+            return None
+        words, known = text.split(), shared.value
+        hits = [(_hash(salt, i), i, p) for i, p in phrase_matches(words, *built[0])]
+        if not hits:
+            return text
+        for h, i, p in heapq.nsmallest(extent.number(len(words)), hits):
+            words[i : i + len(p)] = [min(known[p], key=lambda r: _hash(h, r))] + [None] * (len(p) - 1)
+        return " ".join(w for w in words if w is not None)
+
+    def change_all(texts: pd.Series, salts: pd.Series) -> pd.Series:
+        if not built:  # once per task, from the lexicon that its worker has
+            number = {w: i for i, w in enumerate(sorted({w for p in shared.value for w in p}), 1)}
+            built.append((number, phrase_automaton(shared.value, number)))
+        return pd.Series([change(t, s) for t, s in zip(texts, salts)], dtype="object")
+
+    return F.pandas_udf(change_all, "string")
+
+
 def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFrame, seed: int, extent: Extent) -> DataFrame:
     """The same with a lexicon of any size: words join it, salted, and only the hits come back.
 

@@ -1,5 +1,7 @@
 """Word vocabulary and padded, masked, labelled token ids."""
 
+import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,6 +41,11 @@ def build_vocab(df: DataFrame, *columns: str, size: int) -> DataFrame:
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
+    return _ranked(counts, size)
+
+
+def _ranked(counts: DataFrame, size: int) -> DataFrame:
+    """The vocabulary of counted words (token, n)."""
     order = [F.desc("n"), F.asc("token")]
     if size <= BROADCAST_WORDS:
         ranked = counts.orderBy(*order).limit(size).select(
@@ -49,12 +56,87 @@ def build_vocab(df: DataFrame, *columns: str, size: int) -> DataFrame:
         ranked = placed.where(F.col("_rank") < size).select(
             "token", (F.col("_rank") + UNKNOWN_ID + 1).cast("int").alias("id"), "n"
         )
-    specials = df.sparkSession.createDataFrame(
+    specials = counts.sparkSession.createDataFrame(
         [(END_TOKEN, PAD_ID, 0), (UNKNOWN_TOKEN, UNKNOWN_ID, 0)], "token string, id int, n long"
     )
     return specials.union(ranked)
 
 
+def heavy_vocab(df: DataFrame, *columns: str, size: int, capacity: int | None = None) -> DataFrame:
+    """As :func:`build_vocab` without a shuffle of all words, where they are too many for that.
+
+    Each task keeps a summary of at most about ``capacity`` words (four times ``size`` unless given):
+    counts that are too low by no more than the task's margin. Margins add up, and a word that no
+    summary has occurs at most as often as all margins together. The words that may be among the
+    first ``size`` are counted again exactly; if the last of these is above the sum of margins, no
+    other word can be, and they are the result. If not, all words are counted. Texts are read twice.
+    """
+    capacity = capacity or max(4 * size, 1024)
+    texts = df.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)])
+    summary = materialise(texts.mapInPandas(_summariser(capacity), "token string, n long, margin long"), "summary")
+    margin = summary.agg(F.coalesce(F.sum("margin"), F.lit(0))).first()[0]
+    least = summary.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    if margin == 0:
+        return _ranked(least, size)
+    least = materialise(least, "least")
+    # The word of rank ``size`` occurs at least this often.
+    bound = least.select(F.col("n")).orderBy(F.desc("n")).limit(size).agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
+    if bound["k"] == size and size > 0:
+        candidates = small_table(least.where(F.col("n") + margin >= bound["n"]).select("token"), BROADCAST_WORDS, F.octet_length("token"))
+        if candidates is not None:
+            exact = texts.mapInPandas(_counter({r["token"] for r in candidates}), "token string, n long")
+            exact = materialise(exact.groupBy("token").agg(F.sum("n").alias("n")), "exact")
+            last = exact.orderBy(F.desc("n")).limit(size).agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
+            if last["k"] == size and last["n"] > margin:
+                return _ranked(exact, size)
+    return build_vocab(df, *columns, size=size)
+
+
+def shrink(counts: Counter, capacity: int) -> int:
+    """Take so much from every count that at most ``capacity`` words are left, and say how much."""
+    taken = heapq.nlargest(capacity + 1, counts.values())[-1]
+    for word in [w for w, n in counts.items() if n <= taken]:
+        del counts[word]
+    for word in counts:
+        counts[word] -= taken
+    return taken
+
+
+def _summariser(capacity: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, margin = Counter(), 0
+        for frame in frames:
+            for column in frame:
+                for text in frame[column]:
+                    if text is not None:
+                        counts.update(text.split())
+                    if len(counts) > 2 * capacity:
+                        margin += shrink(counts, capacity)
+        yield _word_rows(counts).assign(margin=0)
+        yield pd.DataFrame({"token": [None], "n": [0], "margin": [margin]})
+
+    return run
+
+
+def _counter(wanted: set[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counter()
+        for frame in frames:
+            for column in frame:
+                for text in frame[column]:
+                    if text is not None:
+                        counts.update(filter(wanted.__contains__, text.split()))
+        yield _word_rows(counts)
+
+    return run
+
+
+def _word_rows(counts: Counter) -> pd.DataFrame:
+    for special in (END_TOKEN, UNKNOWN_TOKEN):
+        counts.pop(special, None)
+    return pd.DataFrame({"token": list(counts), "n": list(counts.values())}).astype({"token": object, "n": "int64"})
+
+
 def token_ids(df: DataFrame, key: str, columns: dict[str, str], vocab: DataFrame, max_length: int,
               inline_limit: int = BROADCAST_WORDS) -> DataFrame:
     """Add an id array per ``{new column: text column}``, cut to ``max_length``.

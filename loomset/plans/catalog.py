@@ -381,6 +381,12 @@ def vocab_build(spark, sf):
     return _vocab(fx.heavy_documents(spark, sf), "text")
 
 
+@query
+def vocab_heavy(spark, sf):
+    """As ``vocab_build``, from summaries of the tasks and an exact recount."""
+    return encode.heavy_vocab(fx.heavy_documents(spark, sf), "text", size=VOCAB_SIZE)
+
+
 @query
 def encode_pad(spark, sf):
     texts = _formatted(spark, sf)
@@ -462,6 +468,17 @@ def augment_synonym_joined(spark, sf):
     return augment.augment(docs, TEXT_KIND, "doc_id", 2, "synonym", lexicon, inline_limit=0)
 
 
+@query
+def augment_phrases(spark, sf):
+    """Entries of one, three and three words that overlap: the first words of every instruction."""
+    pairs = fx.conv_pairs(spark, sf)
+    words = tokens("instruction")
+    entries = F.array(*[F.array_join(F.slice(words, start, n), " ") for start, n in ((1, 3), (2, 3), (3, 1), (3, 2))])
+    lexicon = pairs.select(F.explode(entries).alias("word")).where("word <> ''").distinct()
+    lexicon = lexicon.withColumn("replacement", F.concat(F.lit("<"), "word", F.lit(">")))
+    return augment.augment(pairs, INSTRUCTION_KIND, "row_id", 2, "synonym", lexicon)
+
+
 @query
 def augment_random_word(spark, sf):
     return augment.augment(fx.heavy_documents(spark, sf), TEXT_KIND, "doc_id", 2, "random_word")

@@ -769,7 +769,32 @@ for _k, _t, _key, _len, _ in WHOLE:
     ORACLES[f"quality_{_k}"] = with_ctes(f"SELECT {_key} FROM {_t} WHERE {BOUNDS[_k]}", *[c for c in (_t,) if c in CTE])
 for _k, _t, _key, _, _keep in BLANKED:
     ORACLES[f"drop_empty_{_k}"] = with_ctes(f"SELECT {_key} FROM {_t} WHERE {_keep}", _t)
+ORACLES["augment_phrases"] = _recursive(with_ctes(
+    """SELECT row_id, instruction, output, 0 AS copy_no FROM conv_pairs UNION ALL
+       SELECT p.row_id, coalesce(c.changed, p.instruction), p.output, 1 FROM conv_pairs p LEFT JOIN changed c ON c.row_id = p.row_id""",
+    "conv_pairs",
+    texts=f"SELECT row_id, {toks('instruction')} AS w FROM conv_pairs",
+    lex="""SELECT DISTINCT phrase FROM (
+             SELECT unnest([array_to_string(w[1:3], ' '), array_to_string(w[2:4], ' '), array_to_string(w[3:3], ' '), array_to_string(w[3:4], ' ')]) AS phrase FROM texts) t
+           WHERE phrase <> ''""",
+    places="SELECT row_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts",
+    matches="""SELECT row_id, i, max(n) AS n FROM (SELECT row_id, w, i, unnest([1, 2, 3]) AS n FROM places) t
+               WHERE i + n - 1 <= len(w) AND array_to_string(w[i : i + n - 1], ' ') IN (SELECT phrase FROM lex) GROUP BY row_id, i""",
+    picked="""SELECT row_id, 0::BIGINT AS i, 1::BIGINT AS n FROM texts
+              UNION ALL
+              SELECT row_id, i, n FROM (
+                SELECT m.row_id, m.i, m.n, row_number() OVER (PARTITION BY m.row_id ORDER BY m.i) AS rn
+                FROM picked p JOIN matches m ON m.row_id = p.row_id AND m.i >= p.i + p.n) t WHERE rn = 1""",
+    ranked="""SELECT p.row_id, p.i, p.n, len(w) AS size, array_to_string(w[p.i : p.i + p.n - 1], ' ') AS phrase,
+                row_number() OVER (PARTITION BY p.row_id ORDER BY md5('42-' || p.row_id || '-1-' || (p.i - 1))) AS rk
+              FROM picked p JOIN texts USING (row_id) WHERE p.i > 0""",
+    chosen="SELECT * FROM ranked WHERE rk <= greatest(1, least(10, floor(size * 0.3::DOUBLE)))",
+    changed="""SELECT l.row_id, string_agg(CASE WHEN c.row_id IS NULL THEN l.w[l.i] WHEN c.i = l.i THEN '<' || c.phrase || '>' END, ' ' ORDER BY l.i) AS changed
+               FROM places l LEFT JOIN chosen c ON c.row_id = l.row_id AND l.i BETWEEN c.i AND c.i + c.n - 1
+               WHERE l.row_id IN (SELECT row_id FROM chosen) GROUP BY l.row_id""",
+))
 for _k, _same in (
+    ("vocab_heavy", "vocab_build"),
     ("src_csv_ranges", "src_csv"), ("src_json_array_ranges", "src_json_array"), ("src_eval_mixed", "src_eval"),
     ("batch_score_resumed", "batch_score"), ("early_stop_nan", "early_stop_step"), ("stream_early_stop", "early_stop_step"),
     ("stream_loss_nan", "stream_loss_window"), ("stream_loss_upsert", "stream_loss_window_all"), ("augment_synonym", "augment_synonym_joined"),
