@@ -22,7 +22,7 @@ MOST = 10
 
 SEED = 42
 _SALTS = 16
-BROADCAST_ENTRIES = 262_144  # lexicons up to this many rows are sent to every worker
+BROADCAST_ENTRIES = 524_288  # lexicons up to this many rows are sent to every worker
 
 
 def replicate(df: DataFrame, factor: int = 2) -> DataFrame:
@@ -103,6 +103,15 @@ def _hash(*parts: object) -> str:
     return hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()
 
 
+def _spot(salt: str, position: int) -> bytes:
+    """The same hash of a position, as bytes, which order like its digits."""
+    return hashlib.md5(f"{salt}-{position}".encode()).digest()
+
+
+def _pick(options: list[str], spot: bytes) -> str:
+    return options[0] if len(options) == 1 else min(options, key=lambda r: _hash(spot.hex(), r))
+
+
 def _replacer(spark: SparkSession, entries: list[Row], extent: Extent):
     options: dict[str, list[str]] = {}
     for word, replacement in entries:
@@ -114,11 +123,11 @@ def _replacer(spark: SparkSession, entries: list[Row], extent: Extent):
             return None
         words = text.split()
         known = shared.value
-        hits = [(_hash(salt, i), i) for i, w in enumerate(words) if w in known]
+        hits = [(_spot(salt, i), i) for i, w in enumerate(words) if w in known]
         if not hits:
             return text
         for h, i in heapq.nsmallest(extent.number(len(words)), hits):
-            words[i] = min(known[words[i]], key=lambda r: _hash(h, r))
+            words[i] = _pick(known[words[i]], h)
         return " ".join(words)
 
     def change_all(texts: pd.Series, salts: pd.Series) -> pd.Series:
@@ -166,11 +175,11 @@ def _phrase_replacer(spark: SparkSession, entries: list[Row], extent: Extent):
         if text is None:
             return None
         words, known = text.split(), shared.value
-        hits = [(_hash(salt, i), i, p) for i, p in phrase_matches(words, *built[0])]
+        hits = [(_spot(salt, i), i, p) for i, p in phrase_matches(words, *built[0])]
         if not hits:
             return text
         for h, i, p in heapq.nsmallest(extent.number(len(words)), hits):
-            words[i : i + len(p)] = [min(known[p], key=lambda r: _hash(h, r))] + [None] * (len(p) - 1)
+            words[i : i + len(p)] = [_pick(known[p], h)] + [None] * (len(p) - 1)
         return " ".join(w for w in words if w is not None)
 
     def change_all(texts: pd.Series, salts: pd.Series) -> pd.Series:
