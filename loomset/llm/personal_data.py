@@ -9,6 +9,7 @@ discover identifiers whose form is unknown.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ LEAST_SEEDS = 3  # different seeds that make a pattern
 ROUNDS = 3
 CONFIDENT = 0.8
 BLOOM_BITS = 1 << 22
+SLOTS = 1 << 19
 
 _SPAN = "struct<kind:int,start:int,end:int>"
 _FOUND = f"struct<spans:array<{_SPAN}>,seeds:array<struct<pattern:bigint,form:bigint>>>"
@@ -121,78 +123,132 @@ def _bloom(patterns: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
-    """(content, pattern, form, start, end, others): what follows the patterns in each (content, text).
+def _known(bloom: bytes):
+    """Whether patterns, as hashes of word pairs, are in the filter."""
+    bits = np.frombuffer(bloom, np.uint8)
+
+    def known(h: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(h), bool)
+        for shift in (0, 24):
+            at = (h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
+            hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return hit
+
+    return known
 
-    Identifier-like tokens come one by one; of other words each different one comes once per batch,
-    with ``others`` 1, and what has a known form is left out: it is among the seeds.
+
+def _followers(text: str, known) -> Iterator[tuple[int, str, int | None]]:
+    """(pattern, token, start) of what follows the patterns of a text; ``start`` is None for an ordinary word.
+
+    What has a known form is left out: it is among the seeds.
     """
+    pairs = window_hashes(word_hashes(text), 2)[:-1]
+    at = np.flatnonzero(known(pairs)) if len(pairs) else []
+    if not len(at):
+        return
+    words = text.encode().split()
+    places = None
+    for i in at.tolist():
+        pattern, raw = int(pairs[i].view(np.int64)), words[i + 2]
+        if not _TELLING.search(raw):
+            yield pattern, raw.decode().strip(_EDGES), None
+            continue
+        places = places or [m.start() for m in _WORD.finditer(text)]
+        start = places[i + 2]
+        if any(a < len(raw) for _, a, _ in base_spans(text[start : start + 2 * _LONGEST])):
+            continue  # a seed of the pattern
+        token = raw.decode().strip(_EDGES)
+        if len(token) > _LONGEST or not _IDENTIFIER.fullmatch(token):
+            yield pattern, token, None
+        else:
+            yield pattern, token, start + raw.decode().index(token)
 
-    def run(batches):
-        bits = np.frombuffer(bloom, np.uint8)
 
-        def known(h):
-            hit = np.ones(len(h), bool)
-            for shift in (0, 24):
-                at = (h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
-                hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            return hit
+def _extractions(texts: DataFrame, bloom: bytes) -> DataFrame:
+    """(content, pattern, form, start, end): identifier-like tokens that follow the patterns in each (content, text)."""
 
+    def run(batches):
+        known = _known(bloom)
         for batch in batches:
-            rows = {n: [] for n in ("content", "pattern", "form", "start", "end", "others")}
-            others: set[tuple[int, int]] = set()
+            rows = {n: [] for n in ("content", "pattern", "form", "start", "end")}
             for contents, some in zip(slices(batch.column(0)), slices(batch.column(1))):
                 for content, text in zip(contents, some):
-                    pairs = window_hashes(word_hashes(text), 2)[:-1]
-                    at = np.flatnonzero(known(pairs)) if len(pairs) else []
-                    if not len(at):
-                        continue
-                    words = text.encode().split()
-                    places = None
-                    for i in at.tolist():
-                        pattern = int(pairs[i].view(np.int64))
-                        raw = words[i + 2]
-                        if not _TELLING.search(raw):
-                            others.add((pattern, form(raw.decode().strip(_EDGES))))
-                            continue
-                        places = places or [m.start() for m in _WORD.finditer(text)]
-                        start = places[i + 2]
-                        if any(a < len(raw) for _, a, _ in base_spans(text[start : start + 2 * _LONGEST])):
-                            continue  # a seed of the pattern
-                        token = raw.decode().strip(_EDGES)
-                        if len(token) > _LONGEST or not _IDENTIFIER.fullmatch(token):
-                            others.add((pattern, form(token)))
-                            continue
-                        start += raw.decode().index(token)
-                        for n, v in zip(rows, (content, pattern, form(token), start, start + len(token), 0)):
-                            rows[n].append(v)
-            for pattern, missed in sorted(others):
-                for name, v in zip(rows, ("", pattern, missed, 0, 0, 1)):
-                    rows[name].append(v)
+                    for pattern, token, start in _followers(text, known):
+                        if start is not None:
+                            for n, v in zip(rows, (content, pattern, form(token), start, start + len(token))):
+                                rows[n].append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["content"], pa.string()), *[pa.array(rows[n], pa.int64()) for n in list(rows)[1:]]], names=list(rows)
             )
 
-    return texts.mapInArrow(run, "content string, pattern bigint, form bigint, start bigint, end bigint, others bigint")
+    return texts.mapInArrow(run, "content string, pattern bigint, form bigint, start bigint, end bigint")
 
 
-def _confident(extracted: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(pattern) with high confidence, after ``ROUNDS`` turns over the graph of patterns and instances.
+def _enough(n: Column) -> Column:
+    """So many different misses, one to spare, keep a pattern of ``n`` instances from being confident."""
+    return F.floor(n / F.lit(CONFIDENT) - n) + 1
 
-    A pattern's confidence is the mean score of all different forms it extracts, ordinary words
-    scoring 0, with one more miss added, so that copies and repeats on either side change nothing; an instance's score is 1 for a seed, else the chance that one of its
-    patterns is right. Edges and counts are combined before each shuffle.
+
+def _misses(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, form): different ordinary words that follow the ``patterns`` (pattern, n), as many as can matter.
+
+    A task gives of a pattern no more of them than are enough to reject it, so that a pattern
+    that is not rejected has all of its own. The numbers travel as powers of two, the greatest of
+    those whose patterns share a slot.
     """
+    power = F.ceil(F.log2(_enough(F.col("n")))).cast("int")
+    slots = patterns.groupBy(F.pmod("pattern", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.max(power).alias("power"))
+    powers = bytearray(SLOTS)
+    for row in slots.toLocalIterator():
+        powers[row["slot"]] = row["power"]
+    bloom, powers = _bloom(patterns), bytes(powers)
+
+    def run(batches):
+        known = _known(bloom)
+        missed: dict[int, set[int]] = {}
+        for batch in batches:
+            for some in slices(batch.column(0)):
+                for text in some:
+                    for pattern, token, start in _followers(text, known):
+                        if start is None:
+                            seen = missed.setdefault(pattern, set())
+                            if len(seen) < 1 << powers[pattern % SLOTS]:
+                                seen.add(form(token))
+        pairs = [(p, f) for p in sorted(missed) for f in sorted(missed[p])]
+        for low in range(0, len(pairs), 1 << 16):
+            columns = zip(*pairs[low : low + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pattern", "form"])
+
+    return texts.mapInArrow(run, "pattern bigint, form bigint")
+
+
+def _links(extracted: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, form, seed) of all instances of the patterns, and (pattern, n) of those with enough instances to be confident."""
     known = seeds.select("form").distinct().withColumn("seed", F.lit(True))
-    links = extracted.where("others = 0").select("pattern", "form").union(seeds.select("pattern", "form")).distinct()
+    links = extracted.select("pattern", "form").union(seeds.select("pattern", "form")).distinct()
     links = materialise(links.join(known, "form", "left").withColumn("seed", F.coalesce("seed", F.lit(False))), "links")
-    misses = extracted.where("others > 0").select("pattern", "form").distinct().groupBy("pattern").agg(F.count("*").alias("misses"))
-    misses = materialise(misses, "misses")
+    sizes = links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(CONFIDENT) * (F.col("n") + 1))
+    return links, materialise(sizes, "sizes")
+
+
+def _confident(links: DataFrame, sizes: DataFrame, missed: DataFrame) -> DataFrame:
+    """(pattern) with high confidence, after ``ROUNDS`` turns over the graph of patterns and instances.
+
+    A pattern's confidence is the mean score of all different forms it extracts, ordinary words
+    scoring 0, with one more miss added, so that copies and repeats on either side change nothing;
+    an instance's score is 1 for a seed, else the chance that one of its patterns is right. Patterns
+    that would not be confident if all their instances were right have no part in it. Edges and
+    counts are combined before each shuffle.
+    """
+    misses = missed.distinct().groupBy("pattern").agg(F.count("*").alias("misses"))
+    hopeful = sizes.join(misses, "pattern", "left").withColumn("misses", F.coalesce("misses", F.lit(0)))
+    hopeful = materialise(hopeful.where(F.col("n") >= F.lit(CONFIDENT) * (F.col("n") + F.col("misses") + 1)), "hopeful")
+    links = materialise(links.join(hopeful.select("pattern"), "pattern", "left_semi"), "links")
     scored = links.withColumn("score", F.col("seed").cast("double"))
     for _ in range(ROUNDS):
-        held = scored.groupBy("pattern").agg(F.sum("score").alias("held"), F.count("*").alias("n"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
-        p = F.col("held") / (F.col("n") + F.coalesce("misses", F.lit(0)) + 1)
-        patterns = materialise(held.join(misses, "pattern", "left").select("pattern", "seeds", p.alias("p")), "patterns")
+        held = scored.groupBy("pattern").agg(F.sum("score").alias("held"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
+        p = F.col("held") / (F.col("n") + F.col("misses") + 1)
+        patterns = materialise(held.join(hopeful, "pattern").select("pattern", "seeds", p.alias("p")), "patterns")
         doubted = salted_join(links, patterns, "pattern", "inner", hot_keys(links, "pattern"))
         chance = doubted.groupBy("form").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("chance"))
         scored = links.join(chance, "form", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("chance", F.lit(0.0))))
@@ -221,8 +277,12 @@ def find(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     texts = docs.select(digest(whole).alias("content"), whole.alias("text"))
     found = _extractions(texts, _bloom(patterns)).join(patterns.select("pattern"), "pattern", "left_semi")
     found = materialise(found, "extracted")
-    adopted = materialise(_confident(found, seeds), "adopted")
-    hits = found.where("others = 0").join(adopted, "pattern", "left_semi")
+    links, sizes = _links(found, seeds)
+    if sizes.isEmpty():
+        return rows.select(*names, "spans")
+    missed = _misses(texts.select("text"), sizes).join(sizes.select("pattern"), "pattern", "left_semi")
+    adopted = materialise(_confident(links, sizes, missed), "adopted")
+    hits = found.join(adopted, "pattern", "left_semi")
     span = F.struct(F.lit(len(KINDS)).alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     more = hits.select("content", span.alias("span")).distinct().groupBy("content").agg(F.array_sort(F.collect_list("span")).alias("more"))
     joined = salted_join(rows, more, "content", "left", hot_keys(rows, "content"))

@@ -116,8 +116,7 @@ def test_forms_equal_plain_expressions(text):
 def test_forms_on_long_runs():
     for run in ("a" * 60000, "1" * 60000 + ".", "a@" * 20000, "a@b-" * 15000, "+1" * 30000, "1.2." * 20000, "1 " * 30000):
         pd_.base_spans(run)
-    card = "4785 3805 9239 1139 "
-    assert [s[0] for s in pd_.base_spans("x " + "4111111111111111 " + "a@b.co_x@y.zz 10.20.30.255 +1 (743) 555-3824")] == [0, 0, 1, 2, 3] or card
+    assert [s[0] for s in pd_.base_spans("x " + "4111111111111111 " + "a@b.co_x@y.zz 10.20.30.255 +1 (743) 555-3824")] == [0, 0, 1, 2, 3]
 
 
 def bootstrap_documents():
@@ -168,3 +167,44 @@ def test_masking_keeps_rows_and_columns(rows):
     assert len(masked) == 40 and not any("@mail" in t for t in masked)
     assert sum("[CONTEXT]" in (r.text or "") for r in out) == 4
     assert Counter(r.text for r in out if "[" not in (r.text or "")) == Counter(t for i, t, _ in data if "[" not in (t or "") and not private_of(t) and not 100 <= (i or 0) < 104)
+
+
+def plain_confidence(links, misses, seeds):
+    """The confidence of every pattern, over dicts: pattern -> instances, pattern -> ordinary words."""
+    hopeful = {p for p, fs in links.items() if len(fs) >= pd_.CONFIDENT * (len(fs) + len(misses.get(p, ())) + 1)}
+    score = {f: float(f in seeds) for p in hopeful for f in links[p]}
+    for _ in range(pd_.ROUNDS):
+        trust = {p: sum(score[f] for f in links[p]) / (len(links[p]) + len(misses.get(p, ())) + 1) for p in hopeful}
+        for f in score:
+            if f not in seeds:
+                wrong = 1.0
+                for p in hopeful:
+                    if f in links[p]:
+                        wrong *= 1 - min(trust[p], 0.999)
+                score[f] = 1 - wrong
+    return {p for p in hopeful if trust[p] >= pd_.CONFIDENT and len(links[p] & seeds) >= pd_.LEAST_SEEDS}
+
+
+def test_scores_equal_a_plain_version(rows):
+    rng = random.Random(11)
+    seeds = set(range(40))
+    links = {p: {rng.randrange(60) if rng.random() < 0.2 else rng.randrange(40) for _ in range(rng.randrange(3, 40))} for p in range(60)}
+    misses = {p: {rng.randrange(10**6) for _ in range(rng.choice([0, 0, 1, 2, 9, 30]))} for p in links}
+    pairs = [(p, f) for p, fs in links.items() for f in fs]
+    seeded = rows([(p, f) for p, f in pairs if f in seeds], "pattern bigint, form bigint")
+    table, sizes = pd_._links(rows([(p, f) for p, f in pairs if f not in seeds], "pattern bigint, form bigint"), seeded)
+    # Of each pattern only so many misses as a task gives.
+    enough = {r.pattern: r.e for r in sizes.select("pattern", pd_._enough(sizes.n).alias("e")).collect()}
+    some = [(p, f) for p, fs in misses.items() if p in enough for f in sorted(fs)[: enough[p]]]
+    got = {r.pattern for r in pd_._confident(table, sizes, rows(some, "pattern bigint, form bigint")).collect()}
+    assert got == plain_confidence(links, misses, {f for _, f in pairs if f in seeds}) and 0 < len(got) < 60
+
+
+def test_misses_of_a_task_are_bounded(rows):
+    from loomset.llm.words import window_hashes, word_hashes
+
+    texts = rows([(f"write to {w} now",) for w in (f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))], "text string").repartition(3)
+    pattern = int(window_hashes(word_hashes("write to"), 2).astype("int64")[0])
+    count = lambda n: pd_._misses(texts, rows([(pattern, n)], "pattern bigint, n bigint")).count()
+    assert count(2000) == 300
+    assert 3 <= count(8) <= 3 * 4
