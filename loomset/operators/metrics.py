@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomset.functions.overlap import clipped_counts, match_counts
 from loomset.functions.stem import stemmed_words
-from loomset.runtime import spread
 from loomset.functions.text import alnum_text, tokens
+from loomset.runtime import spread
 
 # BLEU orders with equal weights, the smoothing constant.
 ORDERS = (1, 2, 3, 4)
@@ -60,13 +60,16 @@ def f_measure(common: Column, pred: Column, ref: Column) -> Column:
 
 
 def score_rows(df: DataFrame, key: str, bleu: bool = True, rouge_n: bool = True, rouge_l: bool = True,
-               stem: bool = True) -> DataFrame:
-    """(key, bleu, rouge1, rouge2, rougeL as asked), row by row.
+               stem: bool = True, deal: bool = False) -> DataFrame:
+    """(key, bleu, rouge1, rouge2, rougeL as asked), row by row without a shuffle.
 
     Tasks count matches; the scores are column expressions over the counts. Counting costs far more
-    per byte than reading, so that rows are dealt out over all shuffle partitions first.
+    per byte than reading: with ``deal`` the rows go over all shuffle partitions first, for tables
+    that come from few tasks, such as joins whose tasks hold what is little to read.
     """
-    rows = spread(df.select(key, "prediction", "reference"), key)
+    rows = df.select(key, "prediction", "reference")
+    if deal:
+        rows = spread(rows, key)
     if bleu:
         rows = rows.withColumn("_b", match_counts(F.col("prediction"), F.col("reference"), len(ORDERS)))
     if rouge_n or rouge_l:
@@ -105,7 +108,7 @@ def evaluate(df: DataFrame, key: str, stem: bool = True) -> DataFrame | None:
     """The metric report, or None without references (automatic metrics are skipped)."""
     if "reference" not in df.columns:
         return None
-    return metric_report(score_rows(df, key, stem=stem))
+    return metric_report(score_rows(df, key, stem=stem, deal=True))
 
 
 def assemble_results(prompts: DataFrame, predictions: DataFrame, key: str, references: DataFrame | None = None,

@@ -503,29 +503,29 @@ def ngram_overlap(spark, sf):
 
 @query
 def bleu_rows(spark, sf):
-    return _rounded(metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", rouge_n=False, rouge_l=False), "row_id")
+    return _rounded(metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", deal=True, rouge_n=False, rouge_l=False), "row_id")
 
 
 @query
 def rouge_n_rows(spark, sf):
-    rows = metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", bleu=False, rouge_l=False, stem=False)
+    rows = metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", deal=True, bleu=False, rouge_l=False, stem=False)
     return _rounded(rows, "row_id")
 
 
 @query
 def rouge_l_rows(spark, sf):
-    rows = metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", bleu=False, rouge_n=False, stem=False)
+    rows = metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", deal=True, bleu=False, rouge_n=False, stem=False)
     return _rounded(rows, "row_id")
 
 
 @query
 def rouge_stemmed(spark, sf):
-    return _rounded(metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", bleu=False), "row_id")
+    return _rounded(metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", deal=True, bleu=False), "row_id")
 
 
 @query
 def eval_metrics(spark, sf):
-    return metrics.metric_report(metrics.score_rows(fx.eval_pairs(spark, sf), "row_id"))
+    return metrics.metric_report(metrics.score_rows(fx.eval_pairs(spark, sf), "row_id", deal=True))
 
 
 @query

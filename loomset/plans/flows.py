@@ -121,7 +121,7 @@ def evaluate(eval_rows: DataFrame, predictions: DataFrame, key: str,
     results = assemble_results(prompts, predictions.select(key, "prediction"), key, references, judgments)
     if references is None:
         return None, results
-    scored = score_rows(results.where(F.col("reference").isNotNull()), key, stem=stem)
+    scored = score_rows(results.where(F.col("reference").isNotNull()), key, stem=stem, deal=True)
     report = metric_report(scored)
     if embed_with is not None:
         pairs = results.where(F.col("reference").isNotNull())

@@ -162,3 +162,10 @@ def test_embedding_report_of_nothing(spark):
     none = spark.createDataFrame([], "pair_id int, side string, pos int, vec array<double>")
     report = embedding.match_report(embedding.embedding_match(none))
     assert {r.metric: r.value for r in report.collect()} == {"BERTScore-P": 0.0, "BERTScore-R": 0.0, "BERTScore-F1": 0.0}
+
+
+def test_rows_of_one_task_are_dealt_out(rows):
+    df = rows([(i, f"a b {i}", "a b") for i in range(200)], "id int, prediction string, reference string").coalesce(1)
+    scored = metrics.score_rows(df, "id", deal=True)
+    assert scored.rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, metrics.score_rows(df, "id").collect()))
