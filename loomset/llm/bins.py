@@ -1,18 +1,21 @@
 """Bin completion over counts of sizes.
 
 There are at most ``capacity`` sizes however many pieces have them, so that a plan is made from
-their counts alone: around the largest size left, undominated fillings are enumerated, the best
-is used as often as the counts allow, and at the end, when few pieces are left, a branch and
-bound over fillings replaces the greedy choice. Best-fit decreasing is the incumbent throughout.
+their counts alone, by branch and bound from its first bin to its last: around the largest size
+left, undominated fillings are enumerated, the fullest first, each used as often as the counts
+allow, half as often, or once. A branch ends where the room left empty exceeds what the aimed-at
+number of bins can spare. Best-fit decreasing is the incumbent throughout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-FILLINGS = 8  # undominated fillings that a branch compares
-TAIL_PIECES = 64  # from here on branch and bound
-NODES = 20_000  # branches looked at before the incumbent stands
+NODES = 8_000  # fillings looked at beyond one pass per aim before the incumbent stands
+
+
+END = object()  # of an iterator
 
 
 class Pattern(NamedTuple):
@@ -53,55 +56,61 @@ def _reach(counts: list[int], sizes: list[int], room: int) -> list[int]:
     return sums
 
 
-def fillings(counts: list[int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the pieces left, the fullest first, then those of fewer, larger pieces.
+def fillings(counts: list[int], room: int, least: int = 0) -> Iterator[tuple[int, ...] | None]:
+    """Undominated fillings of ``room`` with a total of ``least`` or more, the fullest first, then those of larger pieces.
 
-    An exact single piece dominates all others, and is the only one returned.
+    An exact single piece dominates all others, and is the only one given; an exact pair comes
+    before other full fillings, and without a look at the rest. None stands for a dominated one.
     """
     if room and counts[room]:
-        return [(room,)]
-    sizes = [s for s in range(room, 0, -1) if counts[s]]
-    if not sizes:
-        return [()]
-    for a in sizes:  # an exact pair, larger piece first
-        b = room - a
-        if b > a:
-            continue
-        if b <= 0 or 2 * a < room:
+        yield (room,)
+        return
+    given: list[tuple[int, ...]] = []
+    for a in range(room - 1, (room - 1) // 2, -1):
+        if counts[a] and counts[room - a] >= (2 if 2 * a == room else 1):
+            given.append((a, room - a))
+            yield given[0]
             break
-        if counts[b] >= (2 if a == b else 1) and most == 1:
-            return [(a, b)]
+    sizes = [s for s in range(room, 0, -1) if counts[s]]
     sums = _reach(counts, sizes, room)
-    found: list[tuple[int, ...]] = []
-    top = sums[0]
-    while top and len(found) < most:
-        total = top.bit_length() - 1
-        top ^= 1 << total
-        if not total:
-            break
-        chosen, left, i = [], total, 0
-        while left:
+
+    def made(i: int, left: int) -> Iterator[tuple[int, ...]]:
+        """All ways to make up ``left`` from ``sizes[i:]``, larger pieces first; each look finds one."""
+        if not left:
+            yield ()
+            return
+        while i < len(sizes) and sums[i] >> left & 1:
             s = sizes[i]
-            used = 0
-            # The largest pieces first, as long as the rest can still be made up.
-            while used < counts[s] and left >= s and (sums[i + 1] >> (left - s) & 1 or _more(counts, s, used + 1, sums[i + 1], left - s)):
-                chosen.append(s)
-                left -= s
-                used += 1
+            for k in range(min(counts[s], left // s), 0, -1):
+                if sums[i + 1] >> (left - k * s) & 1:
+                    for rest in made(i + 1, left - k * s):
+                        yield (s,) * k + rest
             i += 1
-        if not any(_dominates(other, tuple(chosen)) for other in found):
-            found.append(tuple(chosen))
-    return found or [()]
 
+    top = sums[0] >> least << least
+    while top:
+        total = top.bit_length() - 1
+        top ^= 1 << total
+        for chosen in made(0, total):
+            if any(_dominates(other, chosen) for other in given):
+                yield None
+            else:
+                given.append(chosen)
+                yield chosen
 
-def _more(counts: list[int], size: int, used: int, below: int, left: int) -> bool:
-    """Whether ``left`` can be made up with more pieces of ``size`` and smaller ones."""
-    for k in range(1, counts[size] - used + 1):
-        if left < k * size:
-            return False
-        if below >> (left - k * size) & 1:
-            return True
-    return False
+
+def least_waste(counts: list[int], capacity: int) -> int:
+    """A lower bound on empty room: what all small pieces together cannot fill of the bins that large ones open."""
+    waste = spare = fits = 0
+    for s in range(capacity, capacity // 2, -1):
+        if counts[s]:
+            while fits < capacity - s:
+                fits += 1
+                spare += fits * counts[fits]
+            spare -= (capacity - s) * counts[s]
+            waste += max(0, -spare)
+            spare = max(0, spare)
+    return waste
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -143,62 +152,93 @@ def best_fit(counts: list[int], capacity: int) -> list[Pattern]:
     return done + [Pattern(h, n) for bins in open_bins.values() for h, n in bins]
 
 
-def _branch(counts: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Bins for the few pieces left: depth-first over fillings of the largest, pruned by the bound."""
-    best = [p.sizes for p in best_fit(counts, capacity) for _ in range(p.times)]
-    bound = least_bins({s: n for s, n in enumerate(counts) if n}, capacity)
-    nodes = 0
+def _options(counts: list[int], capacity: int, largest: int, room_left: int, barred: tuple[int, ...]) -> Iterator[Pattern | None]:
+    """Bins around a piece of size ``largest`` that together leave at most ``room_left`` empty."""
+    held = counts.copy()
+    held[largest] -= 1
+    for filling in fillings(held, capacity - largest, max(0, capacity - largest - room_left)):
+        sizes = (largest, *(filling or ()))
+        if filling is None or sizes == barred:
+            yield None
+            continue
+        waste = capacity - sum(sizes)
+        times = min(counts[s] // sizes.count(s) for s in set(sizes))
+        if waste:
+            times = min(times, room_left // waste)
+        yield from (Pattern(sizes, t) for t in sorted({times, (times + 1) // 2, 1}, reverse=True))
 
-    def go(chosen: list[tuple[int, ...]]) -> None:
-        nonlocal best, nodes
-        nodes += 1
-        if nodes > NODES or len(best) == bound:
-            return
-        largest = next((s for s in range(capacity, 0, -1) if counts[s]), 0)
-        if not largest:
-            if len(chosen) < len(best):
-                best = list(chosen)
-            return
-        rest = sum(s * n for s, n in enumerate(counts))
-        if len(chosen) + -(-rest // capacity) >= len(best):
-            return
-        counts[largest] -= 1
-        for filling in fillings(counts, capacity - largest):
-            for s in filling:
-                counts[s] -= 1
-            go(chosen + [(largest, *filling)])
-            for s in filling:
-                counts[s] += 1
-        counts[largest] += 1
-
-    go([])
-    return best
 
+def search(counts: list[int], capacity: int, target: int, nodes: int) -> tuple[list[Pattern] | None, int]:
+    """Bins for all pieces, at most ``target``, or None if none are found among ``nodes`` fillings; and how many were looked at.
 
-def complete(sizes: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns that hold every piece once: ``sizes`` maps a size from 1 to ``capacity`` to how many have it."""
+    Depth first. Fewer uses of a filling than possible are followed by another filling of the
+    same size, so that no set of bins is looked at in two orders.
+    """
+    counts = counts.copy()
+    room_left = target * capacity - sum(s * n for s, n in enumerate(counts))
+    if room_left < least_waste(counts, capacity):
+        return None, 0
+    plan: list[Pattern] = []
+    stack: list[Iterator[Pattern | None]] = []
+    used, largest, barred = 0, capacity, ()
+    while True:
+        while largest and not counts[largest]:
+            largest -= 1
+        if not largest:
+            return plan, used
+        stack.append(_options(counts, capacity, largest, room_left, barred))
+        while stack:
+            step = next(stack[-1], END)
+            if step is not END:
+                used += 1
+                if used > nodes:
+                    return None, used
+                if step is None:
+                    continue
+                for s in step.sizes:
+                    counts[s] -= step.times
+                room_left -= step.times * (capacity - sum(step.sizes))
+                plan.append(step)
+                if room_left >= least_waste(counts, capacity):
+                    break
+            else:
+                stack.pop()
+                if not stack:
+                    return None, used
+            undone = plan.pop()
+            for s in undone.sizes:
+                counts[s] += undone.times
+            room_left += undone.times * (capacity - sum(undone.sizes))
+        largest = plan[-1].sizes[0]
+        barred = plan[-1].sizes
+
+
+def complete(sizes: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
+    """Patterns that hold every piece once: ``sizes`` maps a size from 1 to ``capacity`` to how many have it.
+
+    The lower bound is aimed at first, then one bin less than the incumbent, then numbers halfway
+    between, until they meet. An aim may look at enough fillings for one pass over all sizes and at
+    half of what is left of ``nodes``; missed for lack of these, it is taken for out of reach.
+    ``gap`` tells what stays open.
+    """
     counts = [0] * (capacity + 1)
     for s, n in sizes.items():
         counts[s] = n
-    incumbent = best_fit(counts, capacity)
-    at_most = sum(p.times for p in incumbent)
-    if at_most == least_bins(sizes, capacity):
-        return incumbent
-    plan: list[Pattern] = []
-    left, largest = sum(counts), capacity
-    while left > TAIL_PIECES:
-        while not counts[largest]:
-            largest -= 1
-        counts[largest] -= 1
-        filling = fillings(counts, capacity - largest, most=1)[0]
-        counts[largest] += 1
-        pattern = tuple(sorted((largest, *filling), reverse=True))
-        times = min(counts[s] // pattern.count(s) for s in set(pattern))
-        if len(pattern) > 1 and times > 1 and left - times * len(pattern) < TAIL_PIECES:
-            times = max(1, (left - TAIL_PIECES) // len(pattern))
-        for s in pattern:
-            counts[s] -= times
-        left -= times * len(pattern)
-        plan.append(Pattern(pattern, times))
-    plan += [Pattern(tuple(sorted(b, reverse=True)), 1) for b in _branch(counts, capacity)]
-    return plan if sum(p.times for p in plan) < at_most else incumbent
+    best = best_fit(counts, capacity)
+    bins, low = sum(p.times for p in best), least_bins(sizes, capacity)
+    aims = [bins - 1, low]
+    one_pass = 2 * len(sizes)
+    while low < bins:
+        aim = min(aims.pop(), bins - 1) if aims else (low + bins) // 2
+        found, used = search(counts, capacity, max(aim, low), one_pass + nodes // 2)
+        nodes -= min(nodes, max(0, used - one_pass))
+        if found is None:
+            low = max(aim, low) + 1
+        else:
+            best, bins = found, sum(p.times for p in found)
+    return best
+
+
+def gap(plan: list[Pattern], sizes: dict[int, int], capacity: int) -> int:
+    """Bins of a plan above the lower bound: 0 proves that there are no fewer."""
+    return sum(p.times for p in plan) - least_bins(sizes, capacity)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomset.llm.bins import complete
-from loomset.llm.common import slices, text_of
+from loomset.llm.common import BROADCAST_ROWS, slices, text_of
 from loomset.llm.token_ids import encoder
 from loomset.runtime import materialise
 
@@ -50,8 +50,8 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Ranks within a length are local ranks in the parts in which the table was written plus the
     sizes of the parts before, so that a length with a third of all pieces is spread. The
-    places of a length are runs of ranks, few for all the corpus: every pattern of the plan but
-    the last few uses up a length.
+    places of a length are runs of ranks, as many as patterns hold it: some thousands for all the
+    corpus, as the fillings that a plan looks at are bounded. They are broadcast up to a checked number.
     """
     spark = cut_pieces.sparkSession
     rows = materialise(cut_pieces.withColumn("part", F.spark_partition_id()), "pieces")
@@ -74,7 +74,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = rows.withColumn("local", F.row_number().over(inside) - 1).join(starts, ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("local"))
     within = (ranked["length"] == slot_table["length"]) & (ranked["rank"] >= slot_table["low"]) & (ranked["rank"] < slot_table["high"])
-    return ranked.join(F.broadcast(slot_table), within).select(
+    return ranked.join(F.broadcast(slot_table) if len(slots) <= BROADCAST_ROWS else slot_table, within).select(
         *[ranked[c] for c in cut_pieces.columns],
         F.expr("base + (rank - low) div each").alias("sequence_id"),
         (F.col("at") + (F.col("rank") - F.col("low")) % F.col("each") * ranked["length"]).alias("offset"),

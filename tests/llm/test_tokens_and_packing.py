@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from array import array
@@ -80,6 +81,33 @@ def test_plans_hold_every_piece(sizes):
     assert bins.least_bins(dict(Counter(sizes)), 40) <= n <= sum(p.times for p in bins.best_fit(counts, 40))
 
 
+@pytest.mark.parametrize("n", [100, 10_000, 1_000_000])
+def test_hot_sizes_are_packed_without_waste(n):
+    sizes = {60: n, 52: n, 30: n, 18: n, 10: n, 20: 2 * n}  # the fullest bins first would need 2.2n
+    plan = bins.complete(sizes, 100)
+    assert bins.gap(plan, sizes, 100) == 0 and sum(p.times for p in plan) == 21 * n // 10
+    assert all(sum(p.times * p.sizes.count(s) for p in plan) == k for s, k in sizes.items())
+
+
+@pytest.mark.parametrize("seed,n", [(0, 3_000), (1, 200_000)])
+def test_plans_of_many_sizes_come_near_the_bound(seed, n):
+    rng = random.Random(seed)
+    sizes = dict(Counter(min(2048, int(rng.lognormvariate(6, 0.8)) + 1) for _ in range(n)))
+    assert bins.gap(bins.complete(sizes, 2048), sizes, 2048) <= 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=9), st.integers(0, 14))
+def test_fillings_are_all_that_no_other_dominates(sizes, room):
+    counts = [Counter(sizes)[s] for s in range(15)]
+    subsets = {tuple(sorted(c, reverse=True)) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= room}
+    got = [f for f in bins.fillings(counts, room) if f is not None]
+    assert len(got) == len(set(got)) and set(got) <= subsets
+    for s in subsets:
+        assert any(bins._dominates(f, s) for f in got)
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_small_plans_are_the_best_there_are(seed):
     rng = random.Random(seed)
