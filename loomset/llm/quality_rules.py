@@ -19,8 +19,12 @@ LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
-#: A host goes if its shrunken rate of failing documents exceeds this.
-MOST_FAILING = 0.6
+#: The rate of failing documents that a host may have lies between these, where the prior of the other hosts puts it.
+LEAST_LIMIT, MOST_LIMIT = 0.2, 0.5
+#: Standard deviations above the mean of the other hosts' rates, to that limit.
+DEVIATIONS = 3.0
+#: Standard deviations of a host's own rate by which it must exceed the limit (99 per cent of its posterior).
+SURENESS = 2.33
 #: Weight of the prior, in documents, if hosts differ no more than chance makes them, or there is only one.
 PRIOR_DOCUMENTS = 100.0
 
@@ -76,11 +80,13 @@ def host_key(host: Column) -> Column:
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
-    """(host, n, n_failed, rate, host_kept) from (host, base_failed).
+    """(host, n, n_failed, rate, rate_limit, host_kept) from (host, base_failed).
 
     The prior's mean is the rate of all documents; its weight follows from how much the rates
     of hosts vary beyond what chance gives (moments), so that a small host is judged mostly by
-    the others and a large one by itself.
+    the others and a large one by itself. A host's limit lies three deviations above the mean
+    of the prior that all other hosts give, so that a bad one does not hide behind itself, and
+    between a fifth and a half; the host goes if its rate exceeds that almost surely.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("base_failed"), 1)).alias("n_failed"))
     hosts = materialise(hosts, "hosts")
@@ -96,23 +102,38 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
         common = (spread - (k - 1) * chance) / (chance * max(total - squares / total - (k - 1), 1e-9))
         weight = 1 / common - 1 if 0 < common < 1 else PRIOR_DOCUMENTS if common <= 0 else 0.0
     rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= MOST_FAILING)
+    # The sums without the host's own part give the prior of the others; it is never surer than the weakest one.
+    ratio = hosts.agg(F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n"))).first()[0]
+    n, bad = F.col("n").cast("double"), F.col("n_failed").cast("double")
+    others, other_fails, other_hosts = F.lit(float(total or 0)) - n, F.lit(float(fails or 0)) - bad, k - 1
+    own = other_fails / F.nullif(others, F.lit(0.0))  # NULL for an only host
+    chance = own * (1 - own)
+    apart = F.lit(ratio or 0.0) - bad * bad / n - other_fails * own - F.lit(float(other_hosts - 1)) * chance
+    room = F.greatest(others - (F.lit(squares or 0.0) - n * n) / F.nullif(others, F.lit(0.0)) - F.lit(float(other_hosts - 1)), F.lit(1e-9))
+    common = F.least(F.lit(1.0), F.greatest(F.lit(1 / (PRIOR_DOCUMENTS + 1)), apart / F.nullif(chance * room, F.lit(0.0))))
+    limit = F.greatest(F.lit(LEAST_LIMIT), F.least(F.lit(MOST_LIMIT), own + DEVIATIONS * F.sqrt(chance * common)))
+    limit = F.when(others <= 0, MOST_LIMIT).when(chance <= 0, F.when(own > 0, MOST_LIMIT).otherwise(LEAST_LIMIT)).otherwise(limit)
+    # Wilson's lower bound, which a handful of documents cannot bring above the limit.
+    p, seen = F.col("rate"), n + F.lit(weight)
+    least = (p + SURENESS**2 / 2 / seen - SURENESS * F.sqrt(p * (1 - p) / seen + (SURENESS / 2 / seen) ** 2)) / (1 + SURENESS**2 / seen)
+    judged = hosts.withColumn("rate", rate).withColumn("rate_limit", limit)
+    return judged.withColumn("host_kept", least <= F.col("rate_limit"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """(doc_id, host, measures, base_failed, host_rate, kept), one row per row of ``docs``.
+    """(doc_id, host, measures, base_failed, host_rate, host_limit, kept), one row per row of ``docs``.
 
-    ``kept`` is false if the base rules fail or the host's shrunken rate is too high. A NULL
+    ``kept`` is false if the base rules fail or the host's shrunken rate is surely above its limit. A NULL
     text has no words and fails; documents without a host are a host of their own; numbers may
     be NULL or repeat; an empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), host_key(F.col(host)).alias("host"), measured(text_of(text)).alias("m"))
     rows = materialise(rows.select("doc_id", "host", "m.*", failed(F.col("m")).alias("base_failed")), "measures")
-    verdicts = host_verdicts(rows).select("host", "rate", "host_kept")
+    verdicts = host_verdicts(rows).select("host", "rate", "rate_limit", "host_kept")
     joined = salted_join(rows, verdicts, "host", "left", hot_keys(rows, "host"))
     return joined.select(
         "doc_id", F.when(F.col("host") != "-", F.substring("host", 2, 1 << 30)).alias("host"), *MEASURES, "base_failed",
-        F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.col("host_kept")).alias("kept"),
+        F.col("rate").alias("host_rate"), F.col("rate_limit").alias("host_limit"), (~F.col("base_failed") & F.col("host_kept")).alias("kept"),
     )
 
 

@@ -34,14 +34,67 @@ def test_measures_and_verdicts(rows):
     overall = sum(r.base_failed for r in got) / len(got)
     for h, rate in rates.items():  # shrunk towards the rate of all
         assert min(fails[h], overall) - 1e-9 <= rate <= max(fails[h], overall) + 1e-9
-    assert all(r.kept == (not r.base_failed and r.host_rate <= qr.MOST_FAILING) for r in got)
+    good = host_verdicts({h: (sum(r.base_failed for r in got if r.host == h), sum(r.host == h for r in got)) for h in rates})
+    assert not good["bad host"] and sum(good.values()) == len(good) - 1
+    assert all(r.kept == (not r.base_failed and good[r.host]) for r in got)
     kept = qr.keep_good(corpora.frame(rows, data))
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
-        (i, t) for i, t, s in data if not base_failed(measures(t)) and rates[s] <= qr.MOST_FAILING
+        (i, t) for i, t, s in data if not base_failed(measures(t)) and good[s]
     )
     assert qr.judge(corpora.frame(rows, [])).count() == 0 and qr.keep_good(corpora.frame(rows, [])).count() == 0
 
 
+def prior(hosts):
+    """Mean of (failed, all) pairs, and the correlation of two documents of a host, by moments."""
+    total = sum(n for _, n in hosts)
+    mean = Fraction(sum(f for f, _ in hosts), total)
+    chance = mean * (1 - mean)
+    spread = sum(n * (Fraction(f, n) - mean) ** 2 for f, n in hosts) - (len(hosts) - 1) * chance
+    pairs = total - Fraction(sum(n * n for _, n in hosts), total) - (len(hosts) - 1)
+    return float(mean), float(spread / (chance * pairs)) if chance and pairs > 0 else 0.0
+
+
+def host_verdicts(hosts):
+    """host -> kept, from host -> (failed, all), one host after the other."""
+    mean, common = prior(list(hosts.values()))
+    weight = 100.0 if common <= 0 or len(hosts) < 2 else 1 / common - 1 if common < 1 else 0.0
+    kept = {}
+    for h, (f, n) in hosts.items():
+        m, c = prior([v for g, v in hosts.items() if g != h])
+        limit = min(0.5, max(0.2, m + 3 * (m * (1 - m) * min(1, max(c, 1 / 101))) ** 0.5))
+        rate = (f + mean * weight) / (n + weight)
+        # The smallest rate that 2.33 deviations bring up to the one seen, by halving.
+        low, high = 0.0, rate
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if mid + 2.33 * (mid * (1 - mid) / (n + weight)) ** 0.5 < rate else (low, mid)
+        kept[h] = high <= limit
+    return kept
+
+
+def test_limits_follow_the_other_hosts(rows):
+    def judged(hosts):
+        table = rows([(h, f, n) for h, (f, n) in hosts.items()], "host string, f int, n int")
+        table = table.select("host", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "f").select("host", (F.col("i") <= F.col("f")).alias("base_failed"))
+        return {r.host: r.host_kept for r in qr.host_verdicts(table).collect()}
+
+    alike = {f"h{i}": (20 + i % 5, 500) for i in range(20)}
+    cases = [
+        alike,  # no more apart than by chance: all stay
+        {**alike, "x": (150, 500)},  # far from the others, if below a half
+        {**alike, "x": (3, 4)},  # too few documents to be sure of
+        {**alike, "x": (450, 500), "y": (480, 500), "z": (900, 1000)},  # several cannot hide one another
+        {**{f"h{i}": (40 * i, 400) for i in range(11)}},  # hosts of all rates: the worse half goes, where sure
+        {"only": (60, 100)}, {"clean": (0, 50), "spotless": (0, 9)}, {"a": (9, 9), "b": (0, 9)},
+        {**{f"h{i}": (0, 300) for i in range(9)}, "x": (5, 300)},
+    ]
+    got = [judged(c) for c in cases]
+    assert [{h for h, k in g.items() if not k} for g in got[:4]] == [set(), {"x"}, set(), {"x", "y", "z"}]
+    assert all(got[8].values()) and not got[4]["h10"] and got[4]["h4"]
+    for hosts, verdicts in zip(cases[:5], got):
+        assert verdicts == host_verdicts(hosts)
+
+
 def test_one_host_of_many_is_rejected_whole(rows):
     fine = [(i, corpora.prose(__import__("random").Random(i), 80), f"h{i % 8}") for i in range(80)]
     bad = [(500 + i, "too short", "worst") for i in range(200)] + [(900, fine[0][1], "worst")]
