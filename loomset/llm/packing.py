@@ -71,7 +71,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("local", F.row_number().over(inside) - 1).join(starts, ["length", "part"])
+    ranked = rows.withColumn("local", F.row_number().over(inside) - 1).join(starts.hint("merge"), ["length", "part"])  # laid out for it by the window
     ranked = ranked.withColumn("rank", F.col("first") + F.col("local"))
     within = (ranked["length"] == slot_table["length"]) & (ranked["rank"] >= slot_table["low"]) & (ranked["rank"] < slot_table["high"])
     return ranked.join(F.broadcast(slot_table) if len(slots) <= BROADCAST_ROWS else slot_table, within).select(
