@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = 256  # vectors per block: two blocks and their cosines stay small in a task
 CHUNK = 16  # blocks per chunk: a task matches one chunk of either side at a time
@@ -47,15 +47,21 @@ def embedding_match(vectors: DataFrame, block: int = BLOCK, chunk: int = CHUNK)
         F.col("pred.pos").alias("pred_pos"),
         F.col("ref.pos").alias("ref_pos"),
     )
-    sided = met.select(
-        "pair_id",
-        F.inline(
-            F.concat(
-                F.zip_with("pred_pos", "best.pred", lambda i, c: F.struct(F.lit("pred").alias("side"), i.alias("pos"), c.alias("cos"))),
-                F.zip_with("ref_pos", "best.ref", lambda i, c: F.struct(F.lit("ref").alias("side"), i.alias("pos"), c.alias("cos"))),
-            )
-        ),
+    return match_scores(met.select("pair_id", sides_apart()), vectors)
+
+
+def sides_apart() -> Column:
+    """(side, pos, cos) rows of columns best, pred_pos and ref_pos."""
+    return F.inline(
+        F.concat(
+            F.zip_with("pred_pos", "best.pred", lambda i, c: F.struct(F.lit("pred").alias("side"), i.alias("pos"), c.alias("cos"))),
+            F.zip_with("ref_pos", "best.ref", lambda i, c: F.struct(F.lit("ref").alias("side"), i.alias("pos"), c.alias("cos"))),
+        )
     )
+
+
+def match_scores(sided: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(pair_id, p, r, f1) for every pair of ``vectors``, from cosines (pair_id, side, pos, cos) that have each vector's best."""
     best = sided.groupBy("pair_id", "side", "pos").agg(F.max("cos").alias("cos"))
     mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("cos")))
     p, r = F.col("p"), F.col("r")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomset.functions import chat
 from loomset.functions.text import first_tokens, tokens
 from loomset.operators import (
-    answers, augment, batching, chatting, clean, embedding, encode, losses, metrics, preview, projection,
+    answers, augment, batching, chatting, clean, embedding, encode, losses, metrics, preview, projection, pruned,
     scoring, split, stats,
 )
 from loomset.plans import exports, fixtures as fx
@@ -543,6 +543,11 @@ def embedding_match(spark, sf):
     return _rounded(embedding.embedding_match(fx.emb_pairs(spark, sf)), "pair_id")
 
 
+@query
+def embedding_match_pruned(spark, sf):
+    return _rounded(pruned.embedding_match_pruned(fx.emb_groups(spark, sf), 16), "pair_id")
+
+
 @query
 def embedding_report(spark, sf):
     return embedding.match_report(embedding.embedding_match(fx.emb_pairs(spark, sf)))

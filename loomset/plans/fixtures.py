@@ -114,6 +114,16 @@ def prefs_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def emb_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, side, pos, vec): sixty vectors make a pair; every third pair has one side only."""
+    v = F.col("vec_id")
+    pair = F.floor(v / 60).cast("long")
+    return table(spark, sf_dir, "embeddings").select(
+        pair.alias("pair_id"), F.when((v % 2 == 0) | (pair % 3 == 2), "pred").otherwise("ref").alias("side"),
+        v.alias("pos"), F.col("embedding").alias("vec"),
+    )
+
+
 def emb_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, side, pos, vec): ten vectors make a pair, five on each side."""
     v = F.col("vec_id")

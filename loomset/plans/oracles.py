@@ -75,6 +75,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT row_id, CASE WHEN length(prompt) < 250 THEN '' ELSE prompt END AS prompt,
                CASE WHEN length(chosen) < 250 THEN '' ELSE chosen END AS chosen,
                CASE WHEN length(rejected) < 250 THEN '' ELSE rejected END AS rejected FROM conv_prefs"""),
+    "emb_groups": ((), """
+        SELECT vec_id // 60 AS pair_id, CASE WHEN vec_id % 2 = 0 OR vec_id // 60 % 3 = 2 THEN 'pred' ELSE 'ref' END AS side,
+               vec_id AS pos, embedding::DOUBLE[] AS vec FROM embeddings"""),
     "emb_pairs": ((), """
         SELECT vec_id // 10 AS pair_id, CASE WHEN vec_id % 10 < 5 THEN 'pred' ELSE 'ref' END AS side,
                vec_id % 5 AS pos, embedding::DOUBLE[] AS vec FROM embeddings"""),
@@ -682,6 +685,11 @@ ORACLES: dict[str, str] = {
         "eval_pairs",
     ),
     "embedding_match": with_ctes("SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM m", "emb_pairs", **_EMBEDDING),
+    "embedding_match_pruned": with_ctes(
+        """SELECT e.pair_id, round(coalesce(p, 0), 6) AS p, round(coalesce(r, 0), 6) AS r, round(coalesce(f1, 0), 6) AS f1
+           FROM (SELECT DISTINCT pair_id FROM emb_groups) e LEFT JOIN m USING (pair_id)""",
+        "emb_groups", **{**_EMBEDDING, "c": _EMBEDDING["c"].replace("emb_pairs", "emb_groups")},
+    ),
     "embedding_report": with_ctes(
         """SELECT 'BERTScore-P' AS metric, round(avg(p), 4) AS value FROM m UNION ALL SELECT 'BERTScore-R', round(avg(r), 4) FROM m
            UNION ALL SELECT 'BERTScore-F1', round(avg(f1), 4) FROM m""",
