@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterable
+from functools import reduce
 from typing import NamedTuple
 
 import ahocorasick
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from loomset.functions.text import bind, tokens
-from loomset.runtime import materialise, small_table
+from loomset.runtime import BROADCAST_BYTES, hot_keys, materialise, salted_join
 from loomset.schema import INSTRUCTION_KIND, Kind, TEXT_KIND
 
 # Share of the words to change, and the least and most words per text.
@@ -21,7 +22,6 @@ LEAST = 1
 MOST = 10
 
 SEED = 42
-_SALTS = 16
 BROADCAST_ENTRIES = 524_288  # lexicons up to this many rows are sent to every worker
 
 
@@ -60,8 +60,8 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
     at most ``most`` (None: no such bound).
 
     Entries may have several words. A text is then cut into matches from the left, the longest one first
-    at each place, and each match changes as one word would, by the position of its first one. Such
-    a lexicon has to be small enough for the workers; one of single words may have any size.
+    at each place, and each match changes as one word would, by the position of its first one. A lexicon
+    may have any size: one too large for the workers is joined, and the rows are then read more than once.
     """
     extent = Extent(share, least, most)
     column = {TEXT_KIND: "text", INSTRUCTION_KIND: "instruction"}.get(kind)
@@ -74,16 +74,22 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
         return copies.withColumn(column, F.when(changes, _without_words(F.col(column), salt, extent)).otherwise(F.col(column)))
     if lexicon is None:
         raise ValueError(f"{method} needs a lexicon of (word, replacement)")
-    lexicon = lexicon.select("word", "replacement").where("word is not null and replacement is not null")
-    entries = small_table(lexicon, inline_limit, F.octet_length("word") + F.octet_length("replacement"))
-    if entries is None and not lexicon.where(F.size(tokens("word")) > 1).isEmpty():
-        raise ValueError("a lexicon with entries of several words must fit the workers")
-    if entries is not None:
-        phrases = any(len(e["word"].split()) > 1 for e in entries)
-        replace = (_phrase_replacer if phrases else _replacer)(df.sparkSession, entries, extent)
+    lexicon = materialise(lexicon.select("word", "replacement").where("word is not null and replacement is not null"), "lexicon")
+    rows, size, longest = lexicon.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("word") + F.octet_length("replacement")), F.lit(0)), F.max(F.size(tokens("word")))
+    ).first()
+    phrases = (longest or 0) > 1
+    if rows <= inline_limit and size <= BROADCAST_BYTES:
+        replace = (_phrase_replacer if phrases else _replacer)(df.sparkSession, lexicon.collect(), extent)
         changed = replace(F.when(changes, F.col(column)), salt)  # originals do not travel to Python
         return copies.withColumn(column, F.coalesce(changed, F.col(column)))
-    return _replace_by_join(copies, key, column, lexicon, seed, extent).select(*copies.columns)
+    lengths = _lengths(lexicon) if phrases else [1]
+    return _replace_by_join(copies, key, column, lexicon, lengths, seed, extent)
+
+
+def _lengths(lexicon: DataFrame) -> list[int]:
+    """How many words the entries have."""
+    return sorted(n for n, in lexicon.select(F.size(tokens("word"))).distinct().collect() if n)
 
 
 def _without_words(text: Column, salt: Column, extent: Extent) -> Column:
@@ -191,37 +197,121 @@ def _phrase_replacer(spark: SparkSession, entries: list[Row], extent: Extent):
     return F.pandas_udf(change_all, "string")
 
 
-def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFrame, seed: int, extent: Extent) -> DataFrame:
-    """The same with a lexicon of any size: words join it, salted, and only the hits come back.
+def _replace_by_join(copies: DataFrame, key: str, column: str, lexicon: DataFrame, lengths: list[int], seed: int, extent: Extent) -> DataFrame:
+    """The same with a lexicon of any size, whose words or runs of words join it; texts move once, to meet their hits.
 
-    Hits are counted down to those that change before they meet their row again.
+    What changes in a text follows from it, its key and its copy, which stand for the row. Single words
+    join in the order in which they would change, no more of a text than can, and more
+    only if some are not in the lexicon. Runs of words, of the ``lengths`` that entries have, all join, by hashes; what
+    they meet is compared in the text.
     """
+    changes = (F.col("copy_no") > 0) & F.col(column).isNotNull()
     salt = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy_no").cast("string"))
-    copies = materialise(copies.withColumn("_row", F.monotonically_increasing_id()), "copies")
-    # What stands beside a generator is computed per word: the text is left behind first.
-    split = copies.where("copy_no > 0").select("_row", salt.alias("_key"), tokens(column).alias("_words"))
-    words = split.select("_row", "_key", F.size("_words").alias("_size"), F.posexplode_outer("_words").alias("pos", "word"))
-    words = words.select("_row", "_key", extent.of(F.col("_size")).alias("_most"), "pos", "word")
-    hits = (
-        words.withColumn("h", F.md5(F.concat_ws("-", "_key", F.col("pos").cast("string"))))
-        .withColumn("_salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(_SALTS)).cast("int"))
-        .join(lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["word", "_salt"])
-        .groupBy("_row", "_most", "pos", "h")
-        .agg(F.min_by("replacement", F.md5(F.concat_ws("-", "h", "replacement"))).alias("new"))
-        .groupBy("_row", "_most")
-        .agg(F.sort_array(F.collect_list(F.struct("h", "pos", "new"))).alias("_hits"))
-        .select("_row", F.slice("_hits", F.lit(1), F.col("_most")).alias("_hits"))
-    )
-    changed = F.map_from_entries(F.transform("_hits", lambda s: F.struct(s["pos"], s["new"])))
-    text = bind(
-        changed,
-        lambda m: F.array_join(
-            F.transform(tokens(column), lambda w, i: F.coalesce(F.try_element_at(m, i), w)), " "
-        ),
+    texts = copies.where(changes).withColumns({"_key": salt, "_text": F.xxhash64(F.col(column))})
+    phrases = lengths != [1]
+    found = _phrase_hits(texts, column, lexicon, lengths) if phrases else _word_hits(texts, column, lexicon, extent)
+    text = bind(tokens(column), lambda words: _with_hits(words, F.col("_key"), F.col("_hits"), extent, phrases))
+    met = texts.join(found, ["_key", "_text"], "left")
+    met = met.withColumn(column, F.when(F.size("_hits") > 0, F.coalesce(text, F.col(column))).otherwise(F.col(column)))
+    return copies.where(~changes).unionByName(met.select(*copies.columns))
+
+
+def _spot_at(salt: Column, position: Column) -> Column:
+    return F.md5(F.concat_ws("-", salt, position.cast("string")))
+
+
+def _met(candidates: DataFrame, lexicon: DataFrame, how: str) -> DataFrame:
+    """The words of texts with what the lexicon has for their (code)."""
+    candidates = materialise(candidates, "candidates")
+    return salted_join(candidates, lexicon, "code", how, hot_keys(candidates, "code"))
+
+
+def _word_hits(texts: DataFrame, column: str, lexicon: DataFrame, extent: Extent) -> DataFrame:
+    """(_key, _text, _hits): the words that may change, at least as many as do.
+
+    Words join in the order of their spots: first as many as may change, then, of texts in which too few of
+    these are in the lexicon, three times as many as before, and so on.
+    """
+    options = lexicon.groupBy(F.col("word").alias("code")).agg(F.collect_set("replacement").alias("options"))
+    options = materialise(options.withColumn("n", F.lit(1)), "options")
+    hit = F.struct("pos", "n", "options")
+    low, high, rounds, still = F.lit(0), F.col("_most"), [], None
+    while True:
+        asked = texts if still is None else texts.join(still.select("_key", "_text"), ["_key", "_text"], "left_semi")
+        spots = bind(
+            tokens(column),
+            lambda words: F.struct(
+                F.size(words).alias("size"),
+                F.sort_array(F.transform(words, lambda w, i: F.struct(_spot_at(F.col("_key"), i).alias("h"), i.alias("pos"), w.alias("code")))).alias("all"),
+            ),
+        )
+        # What stands beside a generator is computed per word: the texts are left behind first.
+        split = asked.select("_key", "_text", spots.alias("_spots")).select("_key", "_text", "_spots", extent.of(F.col("_spots.size")).alias("_most"))
+        split = split.select(
+            "_key", "_text", "_most", F.col("_spots.size").alias("_size"),
+            F.transform(F.slice("_spots.all", low + 1, F.greatest(high - low, F.lit(0))), lambda s: F.struct(s["pos"], s["code"])).alias("_asked"),
+        )
+        words = split.select("_key", "_text", "_most", "_size", F.inline_outer("_asked")).where("pos is not null")
+        met = _met(words, options, "left").groupBy("_key", "_text", "_most", "_size").agg(
+            F.collect_set(F.when(F.col("n").isNotNull(), hit)).alias("_hits")
+        )
+        rounds.append(materialise(met, "hits"))
+        had = rounds[-1].select("_key", "_text", "_most", "_size", F.size("_hits").alias("_had"))
+        if still is not None:
+            before = still.select("_key", "_text", F.col("_had").alias("_before"))
+            had = had.join(before, ["_key", "_text"]).withColumn("_had", F.col("_had") + F.col("_before")).drop("_before")
+        still = materialise(had.where((F.col("_had") < F.col("_most")) & (F.col("_size") > high)), "still")
+        if still.isEmpty():
+            break
+        low, high = high, high * 4
+    found = [r.where(F.size("_hits") > 0).select("_key", "_text", "_hits") for r in rounds]
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.union, found).groupBy("_key", "_text").agg(F.flatten(F.collect_list("_hits")).alias("_hits"))
+
+
+def _phrase_hits(texts: DataFrame, column: str, lexicon: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_key, _text, _hits): the runs of words whose hashes entries of the lexicon have."""
+    entry = lexicon.select(tokens("word").alias("words"), "replacement").where(F.size("words") > 0)
+    options = entry.groupBy("words").agg(F.collect_set("replacement").alias("options"))
+    options = options.select(F.xxhash64("words").alias("code"), F.size("words").alias("n"), F.array_join("words", " ").alias("phrase"), "options")
+    # Entries of one hash stay together, so that a word meets one row.
+    options = materialise(options.groupBy("code").agg(F.collect_list(F.struct("n", "phrase", "options")).alias("entries")), "options")
+    runs = lambda words, n: F.transform(
+        F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))),
+        lambda _, i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, F.lit(n))).alias("code")),
     )
-    return copies.join(hits, "_row", "left").withColumn(
-        column, F.when(F.col("_hits").isNotNull(), text).otherwise(F.col(column))
-    ).drop("_hits")
+    split = texts.select("_key", "_text", bind(tokens(column), lambda words: F.concat(*[runs(words, n) for n in lengths])).alias("_asked"))
+    words = split.select("_key", "_text", F.inline_outer("_asked")).where("pos is not null")
+    met = _met(words, options, "inner").select("_key", "_text", "pos", F.inline("entries"))
+    return met.groupBy("_key", "_text").agg(F.collect_set(F.struct("pos", "n", "phrase", "options")).alias("_hits"))
+
+
+def _with_hits(words: Column, salt: Column, hits: Column, extent: Extent, phrases: bool) -> Column:
+    """The text of ``words`` with the first of the hits changed; NULL if it has none."""
+    if phrases:
+        stands = F.filter(hits, lambda s: F.array_join(F.slice(words, s["pos"] + 1, s["n"]), " ") == s["phrase"])
+        order = F.array_sort(F.transform(stands, lambda s: F.struct(s["pos"].alias("pos"), (-s["n"]).alias("less"), s["n"].alias("n"), s["options"].alias("options"))))
+        none = F.struct(F.lit(0).alias("free"), F.filter(order, lambda _: F.lit(False)).alias("taken"))
+        hits = F.aggregate(
+            order, none,
+            lambda done, s: F.when(s["pos"] < done["free"], done).otherwise(
+                F.struct((s["pos"] + s["n"]).alias("free"), F.array_append(done["taken"], s).alias("taken"))
+            ),
+            lambda done: done["taken"],
+        )
+
+    def change(chosen: Column) -> Column:
+        new = lambda s: F.array_min(F.transform(s["options"], lambda r: F.struct(F.md5(F.concat_ws("-", s["h"], r)).alias("h"), r.alias("r"))))["r"]
+        places = F.flatten(F.transform(chosen, lambda s: F.transform(
+            F.sequence(F.lit(0), s["n"] - 1),
+            lambda i: F.struct((s["pos"] + i).alias("pos"), F.when(i == 0, F.array(new(s))).otherwise(F.array().cast("array<string>")).alias("new")),
+        )))
+        changed = bind(F.map_from_entries(places), lambda m: F.flatten(F.transform(words, lambda w, i: F.coalesce(F.try_element_at(m, i), F.array(w)))))
+        return F.when(F.size(chosen) > 0, F.array_join(changed, " "))
+
+    spots = F.transform(hits, lambda s: F.struct(_spot_at(salt, s["pos"]).alias("h"), s["pos"].alias("pos"), s["n"].alias("n"), s["options"].alias("options")))
+    return bind(F.slice(F.array_sort(spots), F.lit(1), extent.of(F.size(words))), change)
 
 
 def augment_report(augmented: DataFrame) -> DataFrame:

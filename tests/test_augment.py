@@ -83,3 +83,20 @@ def test_small_tables_are_small_in_bytes_too(rows):
     assert len(small_table(table, 2, F.octet_length("word"))) == 2
     assert small_table(table, 1, F.octet_length("word")) is None
     assert small_table(table, 2, F.octet_length("word"), max_bytes=50) is None
+
+
+def test_texts_send_no_more_words_to_a_large_lexicon_than_may_change(rows, monkeypatch):
+    import random
+
+    rng, asked, met = random.Random(2), [], augment._met
+    words = [f"w{i}" for i in range(300)]
+    data = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 400)))) for i in range(30)] + [(3, "w1 w2"), (3, "w1 w2"), (None, "w5"), (None, None)]
+    texts = rows(data, "id int, text string")
+    monkeypatch.setattr(augment, "_met", lambda candidates, *rest: asked.append(candidates.count()) or met(candidates, *rest))
+    for known, rounds in ((300, 1), (40, 2)):
+        lexicon = rows([(w, f"{w}{x}") for w in words[:known] for x in "ab"], "word string, replacement string")
+        asked.clear()
+        runs = [augment.augment(texts, TEXT_KIND, "id", 3, "synonym", lexicon, inline_limit=n).collect() for n in (1000, 0)]
+        assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+        assert len(asked) >= rounds and asked[0] <= 10 * 2 * len(data)
+        assert any("a " in str(r) for r in runs[1])
