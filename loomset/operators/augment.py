@@ -23,6 +23,7 @@ MOST = 10
 
 SEED = 42
 BROADCAST_ENTRIES = 524_288  # lexicons up to this many rows are sent to every worker
+BROADCAST_PHRASES = 32_768  # the same if entries have several words, whose automaton is many times their size
 
 
 def replicate(df: DataFrame, factor: int = 2) -> DataFrame:
@@ -79,7 +80,7 @@ def augment(df: DataFrame, kind: Kind, key: str, factor: int = 2, method: str =
         F.count("*"), F.coalesce(F.sum(F.octet_length("word") + F.octet_length("replacement")), F.lit(0)), F.max(F.size(tokens("word")))
     ).first()
     phrases = (longest or 0) > 1
-    if rows <= inline_limit and size <= BROADCAST_BYTES:
+    if rows <= (min(inline_limit, BROADCAST_PHRASES) if phrases else inline_limit) and size <= BROADCAST_BYTES:
         replace = (_phrase_replacer if phrases else _replacer)(df.sparkSession, lexicon.collect(), extent)
         changed = replace(F.when(changes, F.col(column)), salt)  # originals do not travel to Python
         return copies.withColumn(column, F.coalesce(changed, F.col(column)))

@@ -100,3 +100,17 @@ def test_texts_send_no_more_words_to_a_large_lexicon_than_may_change(rows, monke
         assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
         assert len(asked) >= rounds and asked[0] <= 10 * 2 * len(data)
         assert any("a " in str(r) for r in runs[1])
+
+
+def test_phrases_of_a_large_lexicon(rows):
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices("abcdefg", k=n))
+    texts = rows([(i, text(rng.randrange(60))) for i in range(60)] + [(1, "a  b\tc"), (1, "a  b\tc"), (None, "a b"), (None, None), (7, "")], "id int, text string")
+    entries = [(text(rng.randrange(1, 4)), f"<{i}>") for i in range(60)] + [("  a   b ", "<ab>"), ("", "x"), (" ", "y"), (None, "z"), ("c d e f g", "<five>")]
+    lexicon = rows(entries, "word string, replacement string")
+    for options in ({}, {"most": None, "share": 0.9}):
+        runs = [augment.augment(texts, TEXT_KIND, "id", 3, "synonym", lexicon, inline_limit=n, **options).collect() for n in (1000, 0)]
+        assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+        assert any("<" in str(r) for r in runs[1])
