@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from loomset.functions.text import bind, tokens
@@ -222,9 +223,38 @@ def _spot_at(salt: Column, position: Column) -> Column:
 
 
 def _met(candidates: DataFrame, lexicon: DataFrame, how: str) -> DataFrame:
-    """The words of texts with what the lexicon has for their (code)."""
+    """The words of texts with what the lexicon has for their (code).
+
+    Only hot words are salted, so that a lexicon grouped by code joins the others where it has been grouped.
+    """
     candidates = materialise(candidates, "candidates")
-    return salted_join(candidates, lexicon, "code", how, hot_keys(candidates, "code"))
+    hot = hot_keys(candidates, "code")
+    if not hot:
+        return candidates.join(lexicon, "code", how)
+    is_hot = F.col("code").isin(hot)
+    rest = candidates.where(~is_hot).join(lexicon.where(~is_hot), "code", how)
+    return rest.unionByName(salted_join(candidates.where(is_hot), lexicon.where(is_hot), "code", how, hot))
+
+
+def _first_spots(extent: Extent, turn: int):
+    """(size, asked): the number of words of a text, and those of its words that are asked for in a round, in order of their spots."""
+
+    @F.arrow_udf("struct<size:int,asked:array<struct<pos:int,code:string>>>")
+    def first(texts: pa.Array, salts: pa.Array) -> pa.Array:
+        sizes, ends, places, asked = [], [0], [], []
+        for text, salt in zip(texts, salts):
+            words, salt = text.as_py().split(), salt.as_py()
+            most = extent.number(len(words))
+            spots = heapq.nsmallest(most * 4**turn, [(_spot(salt, i), i) for i in range(len(words))])
+            own = [i for _, i in spots[most * 4 ** (turn - 1) if turn else 0 :]]
+            sizes.append(len(words))
+            places += own
+            asked += [words[i] for i in own]
+            ends.append(len(places))
+        each = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(asked, pa.string())], names=["pos", "code"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["size", "asked"])
+
+    return first
 
 
 def _word_hits(texts: DataFrame, column: str, lexicon: DataFrame, extent: Extent) -> DataFrame:
@@ -233,25 +263,17 @@ def _word_hits(texts: DataFrame, column: str, lexicon: DataFrame, extent: Extent
     Words join in the order of their spots: first as many as may change, then, of texts in which too few of
     these are in the lexicon, three times as many as before, and so on.
     """
+    # Not written: what is grouped by word joins in the same shuffle.
     options = lexicon.groupBy(F.col("word").alias("code")).agg(F.collect_set("replacement").alias("options"))
-    options = materialise(options.withColumn("n", F.lit(1)), "options")
+    options = options.withColumn("n", F.lit(1))
     hit = F.struct("pos", "n", "options")
-    low, high, rounds, still = F.lit(0), F.col("_most"), [], None
+    rounds, still = [], None
     while True:
+        turn = len(rounds)
         asked = texts if still is None else texts.join(still.select("_key", "_text"), ["_key", "_text"], "left_semi")
-        spots = bind(
-            tokens(column),
-            lambda words: F.struct(
-                F.size(words).alias("size"),
-                F.sort_array(F.transform(words, lambda w, i: F.struct(_spot_at(F.col("_key"), i).alias("h"), i.alias("pos"), w.alias("code")))).alias("all"),
-            ),
-        )
         # What stands beside a generator is computed per word: the texts are left behind first.
-        split = asked.select("_key", "_text", spots.alias("_spots")).select("_key", "_text", "_spots", extent.of(F.col("_spots.size")).alias("_most"))
-        split = split.select(
-            "_key", "_text", "_most", F.col("_spots.size").alias("_size"),
-            F.transform(F.slice("_spots.all", low + 1, F.greatest(high - low, F.lit(0))), lambda s: F.struct(s["pos"], s["code"])).alias("_asked"),
-        )
+        split = asked.select("_key", "_text", _first_spots(extent, turn)(F.col(column), F.col("_key")).alias("_spots"))
+        split = split.select("_key", "_text", extent.of(F.col("_spots.size")).alias("_most"), F.col("_spots.size").alias("_size"), F.col("_spots.asked").alias("_asked"))
         words = split.select("_key", "_text", "_most", "_size", F.inline_outer("_asked")).where("pos is not null")
         met = _met(words, options, "left").groupBy("_key", "_text", "_most", "_size").agg(
             F.collect_set(F.when(F.col("n").isNotNull(), hit)).alias("_hits")
@@ -261,10 +283,9 @@ def _word_hits(texts: DataFrame, column: str, lexicon: DataFrame, extent: Extent
         if still is not None:
             before = still.select("_key", "_text", F.col("_had").alias("_before"))
             had = had.join(before, ["_key", "_text"]).withColumn("_had", F.col("_had") + F.col("_before")).drop("_before")
-        still = materialise(had.where((F.col("_had") < F.col("_most")) & (F.col("_size") > high)), "still")
+        still = materialise(had.where((F.col("_had") < F.col("_most")) & (F.col("_size") > F.col("_most") * 4**turn)), "still")
         if still.isEmpty():
             break
-        low, high = high, high * 4
     found = [r.where(F.size("_hits") > 0).select("_key", "_text", "_hits") for r in rounds]
     if len(found) == 1:
         return found[0]

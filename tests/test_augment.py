@@ -114,3 +114,23 @@ def test_phrases_of_a_large_lexicon(rows):
         runs = [augment.augment(texts, TEXT_KIND, "id", 3, "synonym", lexicon, inline_limit=n, **options).collect() for n in (1000, 0)]
         assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
         assert any("<" in str(r) for r in runs[1])
+
+
+def test_a_large_lexicon_is_shuffled_once_to_join_its_words(rows, monkeypatch):
+    written, plain = [], augment.materialise
+    monkeypatch.setattr(augment, "materialise", lambda df, label: written.append((label, df)) or plain(df, label))
+    texts = rows([(i, f"w{i} w{i + 1} of") for i in range(50)], "id int, text string")
+    lexicon = rows([(f"w{i}", f"v{i}") for i in range(40)] + [("of", "on"), ("of", "in")], "word string, replacement string")
+    monkeypatch.setattr(augment, "hot_keys", lambda df, key: ["of"])
+    runs = [augment.augment(texts, TEXT_KIND, "id", 3, "synonym", lexicon, inline_limit=n).collect() for n in (1000, 0)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    assert "options" not in [label for label, _ in written]
+    texts.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = augment._met(texts.selectExpr("id", "concat('w', id) as code"), lexicon.groupBy(lexicon.word.alias("code")).count(), "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        texts.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Words that are not hot: one shuffle of each side, none after the lexicon has been grouped.
+    assert plan.split("Union")[1].split("\n   +- ")[0].count("Exchange hashpartitioning(") == 2
+    assert met.count() == 50
