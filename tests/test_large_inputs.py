@@ -115,3 +115,23 @@ def test_rank_is_found_digit_by_digit(rows, monkeypatch):
     tied = rows([("0" * 32, f"{i % 3}") for i in range(30)], "h string, k string")
     assert split._at_rank(tied, 0.5, 1, 1).k == "1"
     assert split._at_rank(rows([], "h string, k string"), 0.5) is None
+
+
+def test_shuffle_files_of_a_written_table_go_with_the_write(spark):
+    import glob
+    import time
+
+    from pyspark.sql import functions as F
+    from loomset.runtime import CLEANUP_KEY, materialise
+
+    jvm = spark.sparkContext._jvm
+    folders = [str(d) for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before, setting = held(), spark.conf.get(CLEANUP_KEY, "false")
+    written = materialise(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    for _ in range(50):  # the files are removed in the background
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert written.count() == 100 and spark.conf.get(CLEANUP_KEY) == setting
