@@ -10,9 +10,11 @@ number of bins can spare. Best-fit decreasing is the incumbent throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 NODES = 8_000  # fillings looked at beyond one pass per aim before the incumbent stands
+LIVE = 16  # choices of a search, the last ones, whose fillings are held at once: each may take 700 kB, and there are thousands
 
 
 END = object()  # of an iterator
@@ -56,6 +58,20 @@ def _reach(counts: list[int], sizes: list[int], room: int) -> list[int]:
     return sums
 
 
+def _made(counts: list[int], sizes: list[int], sums: list[int], i: int, left: int) -> Iterator[tuple[int, ...]]:
+    """All ways to make up ``left`` from ``sizes[i:]``, larger pieces first; each look finds one."""
+    if not left:  # no closure: one that calls itself would keep the sums until Python collects its garbage
+        yield ()
+        return
+    while i < len(sizes) and sums[i] >> left & 1:
+        s = sizes[i]
+        for k in range(min(counts[s], left // s), 0, -1):
+            if sums[i + 1] >> (left - k * s) & 1:
+                for rest in _made(counts, sizes, sums, i + 1, left - k * s):
+                    yield (s,) * k + rest
+        i += 1
+
+
 def fillings(counts: list[int], room: int, least: int = 0) -> Iterator[tuple[int, ...] | None]:
     """Undominated fillings of ``room`` with a total of ``least`` or more, the fullest first, then those of larger pieces.
 
@@ -74,24 +90,11 @@ def fillings(counts: list[int], room: int, least: int = 0) -> Iterator[tuple[int
     sizes = [s for s in range(room, 0, -1) if counts[s]]
     sums = _reach(counts, sizes, room)
 
-    def made(i: int, left: int) -> Iterator[tuple[int, ...]]:
-        """All ways to make up ``left`` from ``sizes[i:]``, larger pieces first; each look finds one."""
-        if not left:
-            yield ()
-            return
-        while i < len(sizes) and sums[i] >> left & 1:
-            s = sizes[i]
-            for k in range(min(counts[s], left // s), 0, -1):
-                if sums[i + 1] >> (left - k * s) & 1:
-                    for rest in made(i + 1, left - k * s):
-                        yield (s,) * k + rest
-            i += 1
-
     top = sums[0] >> least << least
     while top:
         total = top.bit_length() - 1
         top ^= 1 << total
-        for chosen in made(0, total):
+        for chosen in _made(counts, sizes, sums, 0, total):
             if any(_dominates(other, chosen) for other in given):
                 yield None
             else:
@@ -168,28 +171,44 @@ def _options(counts: list[int], capacity: int, largest: int, room_left: int, bar
         yield from (Pattern(sizes, t) for t in sorted({times, (times + 1) // 2, 1}, reverse=True))
 
 
+class _Choice:
+    """A bin to be filled: its largest piece, and how many of its options have been seen."""
+
+    def __init__(self, largest: int, barred: tuple[int, ...]):
+        self.largest, self.barred, self.seen = largest, barred, 0
+        self.options: Iterator[Pattern | None] | None = None
+
+
 def search(counts: list[int], capacity: int, target: int, nodes: int) -> tuple[list[Pattern] | None, int]:
     """Bins for all pieces, at most ``target``, or None if none are found among ``nodes`` fillings; and how many were looked at.
 
     Depth first. Fewer uses of a filling than possible are followed by another filling of the
-    same size, so that no set of bins is looked at in two orders.
+    same size, so that no set of bins is looked at in two orders. A choice further up than the
+    last ``LIVE`` keeps only how many of its options have been seen, and lists them anew if the
+    search comes back to it, when the counts are again what they were.
     """
     counts = counts.copy()
     room_left = target * capacity - sum(s * n for s, n in enumerate(counts))
     if room_left < least_waste(counts, capacity):
         return None, 0
     plan: list[Pattern] = []
-    stack: list[Iterator[Pattern | None]] = []
+    stack: list[_Choice] = []
     used, largest, barred = 0, capacity, ()
     while True:
         while largest and not counts[largest]:
             largest -= 1
         if not largest:
             return plan, used
-        stack.append(_options(counts, capacity, largest, room_left, barred))
+        stack.append(_Choice(largest, barred))
+        if len(stack) > LIVE:
+            stack[-1 - LIVE].options = None
         while stack:
-            step = next(stack[-1], END)
+            choice = stack[-1]
+            if choice.options is None:
+                choice.options = islice(_options(counts, capacity, choice.largest, room_left, choice.barred), choice.seen, None)
+            step = next(choice.options, END)
             if step is not END:
+                choice.seen += 1
                 used += 1
                 if used > nodes:
                     return None, used

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -96,6 +97,27 @@ def test_plans_of_many_sizes_come_near_the_bound(seed, n):
     assert bins.gap(bins.complete(sizes, 2048), sizes, 2048) <= 2
 
 
+def test_plans_take_little_memory():
+    rng = random.Random(1)
+    sizes = dict(Counter(rng.randint(1, 1100) for _ in range(20_000)))
+    tracemalloc.start()
+    bins.complete(sizes, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # 112 MB where all choices of a search held their fillings
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=80), st.integers(1, 3), st.integers(0, 1))
+def test_choices_listed_anew_change_no_plan(sizes, live, above):
+    counts = [Counter(sizes)[s] for s in range(31)]
+    target = bins.least_bins(dict(Counter(sizes)), 30) + above
+    whole = bins.search(counts, 30, target, 1000)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bins, "LIVE", live)
+        assert bins.search(counts, 30, target, 1000) == whole
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=9), st.integers(0, 14))
 def test_fillings_are_all_that_no_other_dominates(sizes, room):
